@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carespend.functions.clean import number, numeric_columns
-from carespend.operators.quantiles import interpolate, order_statistics, ranks_for
+from carespend.operators.quantiles import Span, quantiles_within
 from carespend.sources.schema import TARGET
 
 # The candidate cost drivers to look at, and the column behind each.
@@ -64,15 +64,12 @@ def describe(df: DataFrame, cols: Iterable[str] = (TARGET,)) -> DataFrame:
             for c in cols
         ]
     ).first()
+    spans = [Span(c, stats[c]["min"], stats[c]["max"], stats[c]["n"]) for c in cols if stats[c]["n"]]
+    quartiles = quantiles_within(df, spans, (0.25, 0.5, 0.75))
     rows = []
     for c in cols:
         s = stats[c]
-        quartiles = [None] * 3
-        if s["n"]:
-            qs = (0.25, 0.5, 0.75)
-            found = order_statistics(df, c, ranks_for(s["n"], qs), s["n"], s["min"], s["max"])
-            quartiles = [interpolate(found, s["n"], q) for q in qs]
-        rows.append((c, s["n"], s["mean"], s["std"], s["min"], *quartiles, s["max"]))
+        rows.append((c, s["n"], s["mean"], s["std"], s["min"], *quartiles.get(c, [None] * 3), s["max"]))
     schema = "column_name string, n long, mean double, std double, min double, p25 double, p50 double, p75 double, max double"
     return df.sparkSession.createDataFrame(rows, schema)
 

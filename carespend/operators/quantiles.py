@@ -1,15 +1,15 @@
 """Exact quantiles that hold at any size.
 
 The built-in exact percentile keeps every distinct value in one task. Here each pass counts
-values in equal-width bins between the bounds of the interval that holds the wanted rank,
-and the next pass looks only inside the bin that holds it. Only bin counts, or a bounded
-number of values at the end, reach the driver.
+values in equal-width bins between the bounds of the interval that holds a wanted rank, and
+the next pass looks only inside the bin that holds it. Only bin counts, or a bounded number
+of values at the end, reach the driver. All columns and ranks share the passes.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -18,117 +18,127 @@ from pyspark.sql import functions as F
 from carespend.functions.clean import cap_at, number
 
 BINS = 4096
+# An interval with at most this many rows is read as a whole.
 SMALL = 100_000
 
 
-@dataclass
-class _Target:
-    rank: int
+@dataclass(frozen=True)
+class Span:
+    """An interval of one column that holds ``rows`` values, with ``below`` values under it."""
+
+    col: str
     lo: float
     hi: float
-    below: int
     rows: int
-
-
-def _within(v: Column, lo: float, hi: float) -> Column:
-    return v.between(F.lit(lo), F.lit(hi))
-
-
-def _bin(v: Column, lo: float, hi: float) -> Column:
-    return F.least(F.floor((v - F.lit(lo)) / F.lit(hi - lo) * BINS), F.lit(BINS - 1)).cast("int")
-
-
-def order_statistics(df: DataFrame, col: str, ranks: Iterable[int], n: int, lo: float, hi: float) -> dict[int, float]:
-    """The values at the given 0-based ranks among the ``n`` non-null values in [lo, hi]."""
-    if not math.isfinite(hi - lo):
-        raise ValueError(f"{col} has infinite values")
-    v = F.col("v")
-    values = df.select(number(col).alias("v")).where(v.isNotNull())
-    found: dict[int, float] = {}
-    open_targets = [_Target(r, lo, hi, 0, n) for r in sorted(set(ranks))]
-    while open_targets:
-        rest = []
-        for t in open_targets:
-            if t.lo == t.hi:
-                found[t.rank] = t.lo
-            else:
-                rest.append(t)
-        open_targets = rest
-        spans = sorted({(t.lo, t.hi) for t in open_targets})
-        if not spans:
-            break
-        span_rows = {(t.lo, t.hi): t.rows for t in open_targets}
-        small = [s for s in spans if span_rows[s] <= SMALL]
-        large = [s for s in spans if span_rows[s] > SMALL]
+    below: int = 0
+
+    def holds(self, v: Column) -> Column:
+        return v.between(F.lit(self.lo), F.lit(self.hi))
+
+    def bin(self, v: Column) -> Column:
+        at = F.floor((v - F.lit(self.lo)) / F.lit(self.hi - self.lo) * BINS)
+        return F.least(at, F.lit(BINS - 1)).cast("int")
+
+
+def _in_spans(df: DataFrame, spans: list[Span], with_bins: bool) -> DataFrame:
+    """The values inside the spans as rows (s, v, b); several columns make several rows."""
+    by_col: dict[str, list[int]] = {}
+    for i, s in enumerate(spans):
+        by_col.setdefault(s.col, []).append(i)
+    entries = []
+    for c, members in by_col.items():
+        v = number(c)
+        s_, b_ = F.lit(None).cast("int"), F.lit(None).cast("int")
+        for i in members:
+            inside = spans[i].holds(v)
+            s_ = F.when(inside, F.lit(i)).otherwise(s_)
+            if with_bins:
+                b_ = F.when(inside, spans[i].bin(v)).otherwise(b_)
+        entries.append((s_, v, b_))
+    if len(entries) == 1:
+        s_, v, b_ = entries[0]
+        rows = df.select(s_.alias("s"), v.alias("v"), b_.alias("b"))
+    else:
+        rows = df.select(F.inline(F.array(*[F.struct(s_.alias("s"), v.alias("v"), b_.alias("b")) for s_, v, b_ in entries])))
+    return rows.where(F.col("s").isNotNull())
+
+
+def order_statistics(df: DataFrame, wanted: Mapping[Span, Iterable[int]]) -> dict[tuple[str, int], float]:
+    """The values at 0-based ranks, given for each column the span of all its values."""
+    found: dict[tuple[str, int], float] = {}
+    targets = []
+    for span, ranks in wanted.items():
+        if not math.isfinite(span.hi - span.lo):
+            raise ValueError(f"{span.col} has infinite values")
+        targets += [(rank, span) for rank in sorted(set(ranks))]
+    while targets:
+        for rank, span in targets:
+            if span.lo == span.hi:
+                found[span.col, rank] = span.lo
+        targets = [t for t in targets if (t[1].col, t[0]) not in found]
+        small = sorted({s for _, s in targets if s.rows <= SMALL}, key=lambda s: (s.col, s.lo))
+        large = sorted({s for _, s in targets if s.rows > SMALL}, key=lambda s: (s.col, s.lo))
         if small:
-            wanted = F.lit(False)
-            for a, b in small:
-                wanted = wanted | _within(v, a, b)
-            # Bounded: the spans together hold at most SMALL rows for each rank.
-            counts = sorted((r[0], r[1]) for r in values.where(wanted).groupBy("v").count().collect())
-            for t in open_targets:
-                if (t.lo, t.hi) not in small:
+            # Bounded: each span holds at most SMALL rows, and there are at most two per quantile.
+            values: dict[int, list] = {}
+            for i, v, n in _in_spans(df, small, False).groupBy("s", "v").count().collect():
+                values.setdefault(i, []).append((v, n))
+            for rank, span in targets:
+                if span not in small:
                     continue
-                seen = t.below
-                for value, rows in counts:
-                    if t.lo <= value <= t.hi:
-                        seen += rows
-                        if seen > t.rank:
-                            found[t.rank] = value
-                            break
-        if large:
-            open_targets = [t for t in open_targets if (t.lo, t.hi) in large]
-            bins: dict[tuple[float, float], list] = {}
-            span = F.lit(None).cast("int")
-            bin_ = F.lit(None).cast("int")
-            for i, (a, b) in enumerate(large):
-                inside = _within(v, a, b)
-                span = F.when(inside, F.lit(i)).otherwise(span)
-                bin_ = F.when(inside, _bin(v, a, b)).otherwise(bin_)
-            grouped = (
-                values.select("v", span.alias("s"), bin_.alias("b"))
-                .where("s IS NOT NULL")
-                .groupBy("s", "b")
-                .agg(F.count(F.lit(1)), F.min("v"), F.max("v"))
-            )
-            for s, b, rows, low, high in grouped.collect():
-                bins.setdefault(large[s], []).append((b, rows, low, high))
-            for t in open_targets:
-                seen = t.below
-                for _, rows, low, high in sorted(bins[(t.lo, t.hi)]):
-                    if seen + rows > t.rank:
-                        t.lo, t.hi, t.below, t.rows = low, high, seen, rows
+                seen = span.below
+                for v, n in sorted(values[small.index(span)]):
+                    seen += n
+                    if seen > rank:
+                        found[span.col, rank] = v
                         break
-                    seen += rows
-        else:
-            open_targets = []
+        if large:
+            counts: dict[int, list] = {}
+            binned = _in_spans(df, large, True).groupBy("s", "b").agg(F.count(F.lit(1)), F.min("v"), F.max("v"))
+            for i, b, n, lo, hi in binned.collect():
+                counts.setdefault(i, []).append((b, n, lo, hi))
+        narrowed = []
+        for rank, span in targets:
+            if span not in large:
+                continue
+            seen = span.below
+            for _, n, lo, hi in sorted(counts[large.index(span)]):
+                if seen + n > rank:
+                    narrowed.append((rank, Span(span.col, lo, hi, n, seen)))
+                    break
+                seen += n
+        targets = narrowed
     return found
 
 
-def interpolate(found: dict[int, float], n: int, q: float) -> float:
-    at = (n - 1) * q
-    lower = math.floor(at)
-    a, b = found[lower], found[min(lower + 1, n - 1)]
-    return a + (b - a) * (at - lower)
+def _ranks(n: int, qs: Iterable[float]) -> set[int]:
+    lower = [math.floor((n - 1) * q) for q in qs]
+    return {r for k in lower for r in (k, min(k + 1, n - 1))}
 
 
-def ranks_for(n: int, qs: Iterable[float]) -> set[int]:
-    out: set[int] = set()
-    for q in qs:
-        lower = math.floor((n - 1) * q)
-        out |= {lower, min(lower + 1, n - 1)}
+def quantiles_within(df: DataFrame, spans: Iterable[Span], qs: Iterable[float]) -> dict[str, list[float]]:
+    """Quantiles per column with linear interpolation between order statistics."""
+    qs, spans = list(qs), list(spans)
+    found = order_statistics(df, {s: _ranks(s.rows, qs) for s in spans})
+    out = {}
+    for s in spans:
+        out[s.col] = []
+        for q in qs:
+            at = (s.rows - 1) * q
+            lower = math.floor(at)
+            a, b = found[s.col, lower], found[s.col, min(lower + 1, s.rows - 1)]
+            out[s.col].append(a + (b - a) * (at - lower))
     return out
 
 
 def exact_quantiles(df: DataFrame, col: str, qs: Iterable[float]) -> list[float | None]:
-    """Quantiles with linear interpolation between order statistics; nulls and NaN are left out."""
+    """Quantiles of one column; nulls and NaN are left out."""
     qs = list(qs)
     v = number(col)
     n, lo, hi = df.agg(F.count(v), F.min(v), F.max(v)).first()
     if not n:
         return [None] * len(qs)
-    found = order_statistics(df, col, ranks_for(n, qs), n, lo, hi)
-    return [interpolate(found, n, q) for q in qs]
+    return quantiles_within(df, [Span(col, lo, hi, n)], qs)[col]
 
 
 def winsorise(df: DataFrame, col: str, q: float = 0.995, fit_on: DataFrame | None = None) -> DataFrame:

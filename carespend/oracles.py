@@ -604,7 +604,7 @@ SELECT member_id, monthly_medical_cost AS cost,
             WHEN member_id % 50 = 1 THEN 13 ELSE month(month) END AS m
 FROM claims)
 SELECT member_id, printf('%04d-%02d', y, m) AS prediction_period, round(pow(1.114e0, y - 2026), 3) AS trend_multiplier,
-       round(coalesce(f, 1e0), 3) AS season_factor, round(cost * pow(1.114e0, y - 2026) * coalesce(f, 1e0), 2) AS adjusted_cost
+       round(coalesce(f, 1e0), 3) AS season_factor, cost * pow(1.114e0, y - 2026) * coalesce(f, 1e0) AS adjusted_cost
 FROM asked LEFT JOIN season USING (m)""",
         SEASON,
     )
@@ -742,8 +742,8 @@ scaled AS (
 SELECT member_id, month, cost_3m_avg * f AS point, greatest(0e0, prev_month_cost * 0.7e0 * f) AS lower,
        CASE WHEN member_id % 9 <> 0 THEN prev_month_cost * 0.72e0 * f END AS high
 FROM history JOIN season ON m = month(month))
-SELECT member_id, CAST(month AS VARCHAR) AS month, round(lower, 4) AS lower,
-       round(CASE WHEN high IS NULL THEN point * 1.15e0 ELSE greatest(lower * 1.05e0, high) END, 4) AS upper FROM scaled""",
+SELECT member_id, CAST(month AS VARCHAR) AS month, lower,
+       CASE WHEN high IS NULL THEN point * 1.15e0 ELSE greatest(lower * 1.05e0, high) END AS upper FROM scaled""",
         PANEL, HISTORY, SEASON,
     )
     o["log_inversion"] = _with(

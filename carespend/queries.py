@@ -498,7 +498,7 @@ def period_rows(df: DataFrame) -> DataFrame:
 @query
 def time_adjusted(spark, sf):
     out = forecast.adjust_period(period_rows(raw(spark, sf)))
-    return rounded(out, trend_multiplier=3, season_factor=3, adjusted_cost=2).select(
+    return rounded(out, trend_multiplier=3, season_factor=3).select(
         "member_id", "prediction_period", "trend_multiplier", "season_factor", "adjusted_cost"
     )
 
@@ -696,7 +696,7 @@ def band(spark, sf):
     df = history(spark, sf).withColumns({"factor": factor, **q})
     df = df.withColumn("adjusted_cost", F.col("cost_3m_avg") * F.col("factor"))
     out = pipeline.band(df, factor="factor")
-    return rounded(out.select("member_id", day(), "lower", "upper"), lower=4, upper=4)
+    return out.select("member_id", day(), "lower", "upper")
 
 
 @query
