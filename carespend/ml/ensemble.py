@@ -59,6 +59,17 @@ def binned_boosted(**params: object):
     return boosted(**{**options, **params})
 
 
+def fit(estimator, df: DataFrame):
+    """Fit with the rows kept while the fit reads them repeatedly."""
+    if df.is_cached:
+        return estimator.fit(df)
+    kept = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return estimator.fit(kept)
+    finally:
+        kept.unpersist()
+
+
 def _predict(model, df: DataFrame, name: str) -> DataFrame:
     return model.copy({model.predictionCol: name}).transform(df)
 
@@ -149,7 +160,7 @@ class Stacked:
     cv: int = 3
     fold_by: tuple[str, ...] = ("member_id",)
     label: str = TARGET
-    parallelism: int = 2
+    parallelism: int = 4
 
     def with_folds(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_fold", F.pmod(F.xxhash64(*self.fold_by), F.lit(self.cv)).cast("int"))
@@ -173,7 +184,9 @@ class Stacked:
 
     def fit(self, df: DataFrame) -> StackedModel:
         ensure_checkpoint_dir(df.sparkSession)
-        folded = self.with_folds(df).persist(StorageLevel.MEMORY_AND_DISK)
+        folded = self.with_folds(df)
+        if not df.is_cached:
+            folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             with ThreadPoolExecutor(self.parallelism) as pool:
                 oof = self.out_of_fold(folded, pool)

@@ -8,13 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def is_holdout(df: DataFrame, holdout: int = 3, index: str = "time_index") -> Column:
+def is_holdout(df: DataFrame, holdout: int = 3, month: str = "month") -> Column:
     """True for the last months, from ``holdout`` before the last one on (so holdout + 1 months)."""
-    return F.col(index) >= df.agg(F.max(index)).scalar() - holdout
 
+    def ordinal(c: Column) -> Column:
+        return F.year(c) * 12 + F.month(c)
 
-def time_split(df: DataFrame, holdout: int = 3, index: str = "time_index") -> tuple[DataFrame, DataFrame]:
-    late = is_holdout(df, holdout, index)
+    return ordinal(F.col(month)) >= ordinal(df.agg(F.max(month)).scalar()) - holdout
+
+
+def time_split(df: DataFrame, holdout: int = 3, month: str = "month") -> tuple[DataFrame, DataFrame]:
+    """Rows before the holdout months, and the holdout. Rows without a month are in neither."""
+    late = is_holdout(df, holdout, month)
     return df.where(~late), df.where(late)
 
 

@@ -720,18 +720,17 @@ _bundles: dict[tuple[str, str], pipeline.Bundle] = {}
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """The training frame, staged: every model reads it many times."""
-    rows = io.stage(fixture.member_months(raw(spark, sf)), "member-months")
-    return io.stage(pipeline.training_frame(rows), "training")
+    # Staged, because fitting the cap reads the rows several times.
+    return pipeline.training_frame(io.stage(fixture.member_months(raw(spark, sf)), "member-months"))
 
 
 def design_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, encode.Design]:
-    frame = training_rows(spark, sf)
+    frame = io.stage(training_rows(spark, sf), "training")
     train = frame.where(~F.col("holdout"))
     numeric = clean.feature_columns(frame, drop=("record_id", "member_id", "month", TARGET, "holdout"))
     design = encode.Design.fit(train, numeric)
     keep = ["record_id", "member_id", "time_index", TARGET]
-    return design.transform(train, keep), design.transform(frame.where("holdout"), keep), design
+    return design.transform(io.spread(train), keep), design.transform(frame.where("holdout"), keep), design
 
 
 def bundle(spark: SparkSession, sf: str) -> pipeline.Bundle:
@@ -746,21 +745,21 @@ def bundle(spark: SparkSession, sf: str) -> pipeline.Bundle:
 @query
 def forest_predictions(spark, sf):
     train, test, _ = design_rows(spark, sf)
-    model = ensemble.forest(**SMALL["rf"]).fit(train)
+    model = ensemble.fit(ensemble.forest(**SMALL["rf"]), train)
     return model.transform(test).select("record_id", TARGET, "prediction")
 
 
 @query
 def boosted_predictions(spark, sf):
     train, test, _ = design_rows(spark, sf)
-    model = ensemble.boosted(**SMALL["gb"]).fit(train)
+    model = ensemble.fit(ensemble.boosted(**SMALL["gb"]), train)
     return model.transform(test).select("record_id", TARGET, "prediction")
 
 
 @query
 def binned_boosted_predictions(spark, sf):
     train, test, _ = design_rows(spark, sf)
-    model = ensemble.binned_boosted(**SMALL["hist_gb"]).fit(train)
+    model = ensemble.fit(ensemble.binned_boosted(**SMALL["hist_gb"]), train)
     return model.transform(test).select("record_id", TARGET, "prediction")
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from carespend.sources.io import spread
+
 
 def _case(c: str, mapping: dict, default: str | None = None) -> Column:
     out = None
@@ -34,6 +36,7 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines, orders, customers, parts = (
         table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer", "part")
     )
+    lines = spread(lines)
     # No broadcast hints: the sizes of these tables decide, at run time, how they join.
     rows = (
         lines.join(orders, lines.l_orderkey == orders.o_orderkey)

@@ -123,3 +123,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """At least one partition per core, for files that hold too few row groups to keep all cores busy.
+
+    For stored frames only, as counting the partitions of anything else would compute it. A
+    table of many files has enough partitions and is not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
