@@ -351,7 +351,7 @@ FROM claims WHERE year(month) >= 1998 GROUP BY year(month)"""
     o["catalog_table"] = _with("SELECT city_type, count(*) AS n, max(age) AS oldest FROM claims GROUP BY city_type")
     o["sql_text"] = _with(
         """
-SELECT provider_type, insurance_type, count(*) AS n, round(avg(drug_cost), 4) AS avg_drug_cost
+SELECT provider_type, insurance_type, count(*) AS n, round(sum(drug_cost), 2) AS drug_cost
 FROM claims WHERE emergency_visits > 0 GROUP BY provider_type, insurance_type"""
     )
     o["json_records"] = _with(

@@ -108,7 +108,7 @@ def catalog_table(spark, sf):
 def sql_text(spark, sf):
     return io.run_sql(
         {"claims": raw(spark, sf)},
-        """SELECT provider_type, insurance_type, count(*) AS n, round(avg(drug_cost), 4) AS avg_drug_cost
+        """SELECT provider_type, insurance_type, count(*) AS n, round(sum(drug_cost), 2) AS drug_cost
            FROM {claims} WHERE emergency_visits > 0 GROUP BY provider_type, insurance_type""",
     )
 
