@@ -78,16 +78,22 @@ def driver_trend(df: DataFrame) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, col: str, name: str = "share", by: Iterable[str] = ()) -> DataFrame:
-    """Each row's percentage of the total; for grouped results."""
-    return df.withColumn(name, F.col(col) / F.sum(col).over(Window.partitionBy(*by)) * 100)
+    """Each row's percentage of the total, or of the total of its ``by`` group.
+
+    The grand total is a scalar subquery over the same grouped rows, whose shuffle is reused,
+    so the rows stay distributed. Totals per group use a window and are for grouped results.
+    """
+    by = list(by)
+    total = F.sum(col).over(Window.partitionBy(*by)) if by else df.agg(F.sum(col)).scalar()
+    return df.withColumn(name, F.col(col) / total * 100)
 
 
 def share_by(df: DataFrame, key: str, value: str = TARGET, name: str = "share") -> DataFrame:
     """Percentage of the grand total per key. Null keys are left out; no rows if the total is not positive."""
     rows = df.select(key, number(value).alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
     grouped = rows.groupBy(key).agg(F.sum("v").alias("v"))
-    whole = F.sum("v").over(Window.partitionBy())
-    return grouped.withColumn("_all", whole).where(F.col("_all") > 0).select(key, (F.col("v") / F.col("_all") * 100).alias(name))
+    total = grouped.agg(F.sum("v")).scalar()
+    return grouped.where(total > 0).select(key, (F.col("v") / total * 100).alias(name))
 
 
 def driver_averages(df: DataFrame, by: Iterable[str] = (), threshold: float = 0.70) -> DataFrame:

@@ -207,6 +207,11 @@ NAMED = [
     "pharmacy_spend", "provider_mix_index", "unit_cost", "drug_cost",
 ]
 
+TEXT = {
+    "month", "site_of_care", "provider_type", "drug_category", "insurance_type", "city_type", "gender", "smoking_status",
+    "physical_activity", "stress_level",
+}
+
 CORRELATED = [
     "age", "bmi", "diabetes", "doctor_visits", "hospital_admissions", "emergency_visits", "medication_count",
     "out_of_network_rate", "pharmacy_spend", "unit_cost", "drug_cost", "thin_spend", "monthly_medical_cost",
@@ -549,6 +554,27 @@ FROM (SELECT count(*) AS n FROM claims GROUP BY """
         """
 SELECT member_id, site_of_care, provider_type, drug_category, count(*) AS copies FROM claims
 GROUP BY member_id, site_of_care, provider_type, drug_category HAVING count(*) > 1"""
+    )
+    numeric = [c for c in NAMED if c not in TEXT]
+    o["numeric_summary"] = _with(
+        "\nUNION ALL\n".join(f"SELECT '{c}' AS column_name, round(sum(CAST({c} AS DOUBLE)), 2) AS total FROM claims" for c in numeric)
+    )
+    o["driver_profile"] = _with(
+        "\nUNION ALL\n".join(
+            f"SELECT '{d}' AS driver, '{c}' AS column_name, count({c}) AS non_null FROM claims"
+            for d, c in (
+                ("Specialty / Drug Category", "drug_category"),
+                ("Site of Care", "site_of_care"),
+                ("Provider Type", "provider_type"),
+                ("Hospital Admissions", "hospital_admissions"),
+                ("Emergency Visits", "emergency_visits"),
+            )
+        )
+    )
+    o["member_share"] = _with(
+        """
+SELECT member_id, total_cost, round(total_cost / sum(total_cost) OVER () * 100, 8) AS share
+FROM (SELECT member_id, round(sum(monthly_medical_cost), 4) AS total_cost FROM claims GROUP BY member_id)"""
     )
     o["histogram"] = _with(
         """,

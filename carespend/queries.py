@@ -223,7 +223,8 @@ def conform_columns(spark, sf):
 
 @query
 def winsorised_cost(spark, sf):
-    df = raw(spark, sf).select("member_id", day(), TARGET)
+    # Staged, as the quantile is found in several passes.
+    df = io.stage(raw(spark, sf).select("member_id", day(), TARGET), "costs")
     return rounded(quantiles.winsorise(df, TARGET), monthly_medical_cost=4)
 
 
@@ -391,7 +392,7 @@ def null_profile(spark, sf):
 @query
 def describe_cost(spark, sf):
     cols = [TARGET, "drug_cost", "generic_rate"]
-    out = profile.describe(raw(spark, sf).select(*cols), cols)
+    out = profile.describe(io.stage(raw(spark, sf).select(*cols), "described"), cols)
     return rounded(out, **{c: 4 for c in ("mean", "std", "min", "p25", "p50", "p75", "max")})
 
 
@@ -412,6 +413,29 @@ def duplicate_rows(spark, sf):
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+@query
+def numeric_summary(spark, sf):
+    """Sum of every column that is numeric by type."""
+    df = raw(spark, sf)
+    cols = clean.numeric_columns(df)
+    one = df.agg(*[F.sum(F.col(c).cast("double")).alias(c) for c in cols])
+    return rounded(one.unpivot([], cols, "column_name", "total"), total=2)
+
+
+@query
+def driver_profile(spark, sf):
+    """The candidate drivers with the number of claims that have a value for them."""
+    known = profile.overview(raw(spark, sf)).select("column_name", "non_null")
+    return profile.driver_list(spark).join(known, "column_name").select("driver", "column_name", "non_null")
+
+
+@query
+def member_share(spark, sf):
+    """Each member's share of all cost, for any number of members."""
+    totals = rounded(aggregates.sum_by(raw(spark, sf), "member_id"), total_cost=4)
+    return rounded(aggregates.share_of_total(totals, "total_cost"), share=8)
+
+
 @query
 def histogram(spark, sf):
     return rounded(profile.histogram(raw(spark, sf)), bin_start=4)
@@ -448,6 +472,7 @@ CORRELATED = [
 def corr_matrix(spark, sf):
     # thin_spend is null in some rows, so its pairs use fewer rows.
     df = raw(spark, sf).withColumn("thin_spend", F.when(F.col("age") > 40, F.col("pharmacy_spend")))
+    df = io.stage(df.select(*CORRELATED), "correlated")
     return rounded(profile.correlations(df, CORRELATED), corr=6)
 
 
@@ -636,16 +661,16 @@ def season_lookup(spark, sf):
 
 @query
 def one_hot(spark, sf):
-    df = fixed(spark, sf).select("member_id", day(), *CATEGORICAL)
+    df = io.stage(fixed(spark, sf).select("member_id", day(), *CATEGORICAL), "categories")
     return encode.OneHotDropFirst.fit(df).transform(df).drop(*CATEGORICAL)
 
 
 @query
 def scaled(spark, sf):
     cols = ["age", "bmi", "pharmacy_spend", "unit_cost", "drug_cost"]
-    dated = features.date_features(raw(spark, sf))
-    train, _ = split.time_split(dated)
-    out = encode.Scale.fit(train, cols).transform(dated.select("member_id", day(), *cols))
+    rows = io.stage(raw(spark, sf).select("member_id", "month", *cols), "to-scale")
+    train, _ = split.time_split(rows)
+    out = encode.Scale.fit(train, cols).transform(rows.select("member_id", day(), *cols))
     return rounded(out, **{c: 6 for c in cols})
 
 
@@ -658,7 +683,7 @@ def time_split(spark, sf):
 @query
 def time_folds(spark, sf):
     """Rows and months of each expanding-window fold."""
-    dated = features.date_features(panel(spark, sf))
+    dated = features.date_features(io.stage(panel(spark, sf), "panel"))
     out = None
     for i, (train, valid) in enumerate(split.time_folds(dated), 1):
         for part, rows in (("fit", train), ("validate", valid)):
