@@ -13,7 +13,15 @@ from carespend.sources.schema import CATEGORICAL, CATEGORY_FIXES, IDS, INDEX_COL
 
 def parse_dates(df: DataFrame, cols: Iterable[str], strict: bool = False) -> DataFrame:
     """Text to dates. What does not parse becomes null, or fails the query when ``strict``."""
-    return df.withColumns({c: F.to_date(c) if strict else F.col(c).try_cast("date") for c in cols})
+
+    def parsed(c: str) -> Column:
+        date = F.col(c).try_cast("date")
+        if not strict:
+            return date
+        bad = F.raise_error(F.concat(F.lit(f"not a date in {c}: "), F.col(c).cast("string")))
+        return F.when(F.col(c).isNotNull() & date.isNull(), bad).otherwise(date)
+
+    return df.withColumns({c: parsed(c) for c in cols})
 
 
 def parse_numbers(df: DataFrame, cols: Iterable[str]) -> DataFrame:

@@ -30,7 +30,10 @@ def _d(c: str) -> Column:
 
 
 def clinical_features(df: DataFrame, serving: bool = False) -> DataFrame:
-    """Risk, utilization, spend and exposure scores. ``serving`` adds the two that only scoring uses."""
+    """Risk, utilization, spend and exposure scores. ``serving`` adds the two that only scoring uses.
+
+    A ratio whose denominator is 0, which takes a negative count or amount, is null.
+    """
     prior = _d(PRIOR_YEAR)
     out = {
         "comorbidity_score": _d("diabetes") + _d("hypertension") + _d("heart_disease") + _d("asthma"),
@@ -39,9 +42,9 @@ def clinical_features(df: DataFrame, serving: bool = False) -> DataFrame:
         + _d("specialist_visits") * 2
         + _d("emergency_visits") * 4
         + _d("hospital_admissions") * 6,
-        "cost_per_med": _d("pharmacy_spend") / (_d("medication_count") + 1),
-        "drug_spend_ratio": _d("drug_cost") / (_d("pharmacy_spend") + 1),
-        "rx_burden_ratio": _d("pharmacy_spend") / (prior + 1),
+        "cost_per_med": F.try_divide(_d("pharmacy_spend"), _d("medication_count") + 1),
+        "drug_spend_ratio": F.try_divide(_d("drug_cost"), _d("pharmacy_spend") + 1),
+        "rx_burden_ratio": F.try_divide(_d("pharmacy_spend"), prior + 1),
         "oon_exposure": _d("out_of_network_rate") / 100 * prior,
         "oop_exposure": (100 - _d("insurance_coverage_percent")) / 100 * prior,
         "inpatient_intensity": _d("average_length_of_stay_days") * _d("unit_cost"),

@@ -183,9 +183,9 @@ def correlations(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     )
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy")])
     n = F.col("n")
-    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
-    vx = F.col("sxx") - F.col("sx") * F.col("sx") / n
-    vy = F.col("syy") - F.col("sy") * F.col("sy") / n
+    cov = F.col("sxy") - F.try_divide(F.col("sx") * F.col("sy"), n)
+    vx = F.col("sxx") - F.try_divide(F.col("sx") * F.col("sx"), n)
+    vy = F.col("syy") - F.try_divide(F.col("sy") * F.col("sy"), n)
     r = F.when((n > 1) & (vx > 0) & (vy > 0), cov / F.sqrt(vx * vy))
     names = F.array(*[F.lit(c) for c in cols])
     pairs = sums.select("i", "j", r.alias("r"))

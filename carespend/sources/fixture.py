@@ -27,8 +27,20 @@ def _cycle(key: Column, labels: list[str]) -> Column:
     return out
 
 
+# Known types, so that opening a table does not read a file footer first.
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+    "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+    "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,7 +135,7 @@ def member_months(rows: DataFrame) -> DataFrame:
     money = ["pharmacy_spend", "drug_cost", "monthly_medical_cost"]
     rest = [c for c in rows.columns if c not in {*add, *mean, *money, "member_id", "month"}]
     grouped = rows.groupBy("member_id", "month").agg(
-        *[F.sum(c).cast("int").alias(c) for c in add],
+        *[F.sum(c).alias(c) for c in add],
         *[F.round(F.avg(c), 4).alias(c) for c in mean],
         *[F.round(F.sum(c), 4).alias(c) for c in money],
         *[F.max(c).alias(c) for c in rest],

@@ -115,3 +115,31 @@ def test_time_index_starts_at_first_month(spark):
     df = spark.createDataFrame([(dt.date(2022, 11, 1),), (dt.date(2024, 2, 1),)], "month date")
     out = features.date_features(df).orderBy("month").collect()
     assert [(r["time_index"], r["quarter"], r["month_num"]) for r in out] == [(0, 4, 11), (15, 1, 2)]
+
+
+def test_ratios_with_a_zero_denominator_are_null(spark):
+    one = spark.createDataFrame([(-1, -1.0, -1.0)], "medication_count int, pharmacy_spend double, previous_year_medical_cost double")
+    r = features.clinical_features(clean.impute_defaults(one)).first()
+    assert r["cost_per_med"] is None and r["drug_spend_ratio"] is None and r["rx_burden_ratio"] is None
+
+
+def test_feature_values(spark):
+    """Worked out by hand from the default record."""
+    r = features.clinical_features(clean.impute_defaults(spark.createDataFrame([("m",)], "member_id string")), serving=True).first()
+    want = {
+        "comorbidity_score": 0,
+        "cardio_metabolic_risk": 0,
+        "utilization_score": 3 + 2 * 2 + 0 * 4 + 1 * 6,
+        "cost_per_med": 5000 / 4,
+        "drug_spend_ratio": 500 / 5001,
+        "rx_burden_ratio": 5000 / 60001,
+        "oon_exposure": 6000,
+        "oop_exposure": 12000,
+        "inpatient_intensity": 2000,
+        "provider_risk_index": 1.1,
+        "active_lifestyle_score": 1.3,
+        "bmi_age_interaction": 1.1 * 0.9,
+        "cardio_hypertension": 0,
+    }
+    for c, v in want.items():
+        assert r[c] == pytest.approx(v), c

@@ -85,12 +85,13 @@ def test_correlations_are_pairwise_complete(spark):
     data["b"] = data["a"] * 2 + rng.normal(size=400)
     data.loc[data.index % 3 == 0, "c"] = np.nan
     data["e"] = 1.0
+    data["f"] = np.nan
     got = profile.correlations(spark.createDataFrame(data).repartition(3)).toPandas().pivot(index="x", columns="y", values="corr")
     want = data.corr()
     for x in "abcd":
         for y in "abcd":
             assert got.loc[x, y] == pytest.approx(want.loc[x, y], abs=1e-9)
-    assert got.loc["a", "e"] is None or math.isnan(got.loc["a", "e"])
+    assert math.isnan(got.loc["a", "e"]) and math.isnan(got.loc["f", "b"]) and math.isnan(got.loc["f", "f"])
 
 
 def test_driver_list(spark):
