@@ -166,6 +166,24 @@ def test_quantile_forest(spark):
     assert 0.6 < inside <= 1.0
 
 
+def test_leaf_quantiles_match_pandas(spark):
+    """With more bins than rows, the quantiles in a leaf are those of its labels."""
+    from pyspark.ml.functions import vector_to_array
+
+    df = vectors(spark, 300)
+    learner = QuantileForest(qs=(0.1, 0.5, 0.9), params={"numTrees": 3, "maxDepth": 3, "minInstancesPerNode": 20}, bins=5000)
+    model = learner.fit(df)
+    leaves = model.forest.copy({model.forest.leafCol: "leaf"}).transform(df)
+    rows = leaves.select(vector_to_array("leaf").alias("leaf"), TARGET).toPandas()
+    width = rows[TARGET].max() - rows[TARGET].min()
+    for tree in range(3):
+        for leaf, group in rows.groupby(rows["leaf"].map(lambda a: int(a[tree])))[TARGET]:
+            want = group.quantile([0.1, 0.5, 0.9], interpolation="lower").to_numpy()
+            above = group.quantile([0.1, 0.5, 0.9], interpolation="higher").to_numpy()
+            got = model.tables[:, tree, leaf]
+            assert (got >= want - 0.02 * width).all() and (got <= above + 0.02 * width).all()
+
+
 def test_metrics(spark):
     df = spark.createDataFrame(
         [(10.0, 12.0, 9.0, 13.0), (20.0, 19.0, 21.0, 25.0), (0.0, 1.0, 0.0, 1.0)], "y double, p double, lo double, hi double"
