@@ -14,9 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carespend.functions.features import monthly_prior
-from carespend.session import ensure_checkpoint_dir
+from carespend.sources.io import stage
 from carespend.sources.schema import PRIOR_YEAR, TARGET
 
+# Beyond this many hot keys their list is joined by a shuffle instead of a broadcast.
+MAX_HOT_KEYS = 100_000
+
 _RUN, _TIE, _POS, _SIZE = "_run", "_tie", "_pos", "_size"
 
 
@@ -26,7 +29,7 @@ def _names(n: int) -> list[str]:
 
 def _plain(df: DataFrame, key: str, order: list[str], value: str, n: int) -> DataFrame:
     # Rows without a key belong to no group; the hash spreads them over many partitions.
-    spread = F.when(F.col(key).isNull(), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))
+    spread = F.when(F.col(key).isNull(), F.xxhash64(*order, value))
     w = Window.partitionBy(key, spread).orderBy(*order)
     return df.withColumns(
         {name: F.when(F.col(key).isNotNull(), F.lag(value, k).over(w)) for k, name in enumerate(_names(n), 1)}
@@ -34,15 +37,12 @@ def _plain(df: DataFrame, key: str, order: list[str], value: str, n: int) -> Dat
 
 
 def _in_runs(hot: DataFrame, runs: int, key: str, order: list[str], value: str, n: int) -> DataFrame:
-    ensure_checkpoint_dir(hot.sparkSession)
     names = _names(n)
-    # The checkpoint fixes which run a row is in and how ties are ordered, so the two
-    # passes below see the same rows. The random part lets equal rows spread over runs.
-    cut = (
-        hot.repartitionByRange(runs, key, *order, F.rand(7))
-        .withColumns({_RUN: F.spark_partition_id(), _TIE: F.monotonically_increasing_id()})
-        .checkpoint()
-    )
+    # Rows read back from files always come in the same order, so their numbers stay the same
+    # if a task runs again. The number makes the order total, and lets equal rows be cut apart.
+    numbered = stage(hot, "hot-members").withColumn(_TIE, F.monotonically_increasing_id())
+    cut = numbered.repartitionByRange(runs, key, *order, _TIE).withColumn(_RUN, F.spark_partition_id())
+    cut = stage(cut, "hot-runs")
     in_run = Window.partitionBy(key, _RUN)
     w = in_run.orderBy(*order, _TIE)
     placed = cut.withColumns(
@@ -76,22 +76,29 @@ def _in_runs(hot: DataFrame, runs: int, key: str, order: list[str], value: str,
 def with_before(
     df: DataFrame, key: str, order: Iterable[str], value: str, n: int, hot_rows: int | None = None
 ) -> DataFrame:
-    """Add the values of the ``n`` rows before each row of the same key as ``_before_1`` … ``_before_n``."""
+    """Add the values of the ``n`` rows before each row of the same key as ``_before_1`` … ``_before_n``.
+
+    With ``hot_rows`` the rows are read several times, so give a stored frame.
+    """
     order = list(order)
     if hot_rows is None:
         return _plain(df, key, order, value, n)
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
-    hot_keys = sizes.where(F.col("_rows") > hot_rows)
-    total = hot_keys.agg(F.sum("_rows")).first()[0]
-    if total is None:
-        return _plain(df, key, order, value, n)
-    # Few keys can be above the bound, so the adaptive planner may broadcast them once it
-    # has seen their size.
-    marked = df.join(hot_keys.select(key, F.lit(True).alias("_hot")), key, "left").select(*df.columns, "_hot")
+    # Rows without a key have no predecessors and need no shuffle.
+    none = F.lit(None).cast(df.schema[value].dataType)
+    alone = df.where(F.col(key).isNull()).withColumns({name: none for name in _names(n)})
+    df = df.where(F.col(key).isNotNull())
+    sizes = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot_keys = stage(sizes.where(F.col("_rows") > hot_rows), "hot-keys")
+    total, keys = hot_keys.agg(F.sum("_rows"), F.count(F.lit(1))).first()
+    if not keys:
+        return _plain(df, key, order, value, n).unionByName(alone)
+    flags = hot_keys.select(key, F.lit(True).alias("_hot"))
+    marked = df.join(F.broadcast(flags) if keys <= MAX_HOT_KEYS else flags, key, "left").select(*df.columns, "_hot")
     rest = marked.where(F.col("_hot").isNull()).drop("_hot")
     hot = marked.where(F.col("_hot")).drop("_hot")
     runs = max(2, -(-total // hot_rows))
-    return _plain(rest, key, order, value, n).unionByName(_in_runs(hot, runs, key, order, value, n))
+    known = _plain(rest, key, order, value, n).unionByName(_in_runs(hot, runs, key, order, value, n))
+    return known.unionByName(alone)
 
 
 def _mean_of(names: list[str]) -> Column:

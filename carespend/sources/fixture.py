@@ -127,17 +127,39 @@ def panel(rows: DataFrame) -> DataFrame:
     )
 
 
+# The labels of each category in the view, in alphabetical order.
+LABELS = {
+    "site_of_care": ["Emergency", "Inpatient", "Outpatient", "in patient"],
+    "provider_type": ["Clinic", "Hospital", "Specialist", "hospital"],
+    "drug_category": ["Brand", "Generic", "High Cost Specialty", "High-Cost Specialty", "generic"],
+    "insurance_type": ["Government", "Private", "private"],
+    "city_type": ["Metro", "Rural", "Semi-Urban", "Urban"],
+    "gender": ["Female", "Male"],
+    "smoking_status": ["Current", "Former", "Never"],
+    "physical_activity": ["High", "Low", "Moderate"],
+    "stress_level": ["High", "Low", "Moderate"],
+}
+
+
+def _last_label(c: str) -> Column:
+    """The alphabetically last label of a group. Labels are compared by number, as an aggregate
+    that keeps text would sort the rows instead of hashing them."""
+    labels = F.array(*[F.lit(v) for v in LABELS[c]])
+    return F.get(labels, F.max(F.array_position(labels, F.col(c))).cast("int") - 1).alias(c)
+
+
 def member_months(rows: DataFrame) -> DataFrame:
     """All claims columns at one row per member and month, with a record key; used for training."""
     add = ["doctor_visits", "hospital_admissions", "emergency_visits", "specialist_visits", "lab_tests"]
     add += ["medication_count"]
     mean = ["average_length_of_stay_days", "out_of_network_rate", "generic_rate", "provider_mix_index", "unit_cost"]
     money = ["pharmacy_spend", "drug_cost", "monthly_medical_cost"]
-    rest = [c for c in rows.columns if c not in {*add, *mean, *money, "member_id", "month"}]
+    rest = [c for c in rows.columns if c not in {*add, *mean, *money, *LABELS, "member_id", "month"}]
     grouped = rows.groupBy("member_id", "month").agg(
         *[F.sum(c).alias(c) for c in add],
         *[F.round(F.avg(c), 4).alias(c) for c in mean],
         *[F.round(F.sum(c), 4).alias(c) for c in money],
         *[F.max(c).alias(c) for c in rest],
+        *[_last_label(c) for c in LABELS],
     )
     return grouped.withColumn("record_id", F.concat_ws("/", "member_id", "month"))

@@ -66,6 +66,14 @@ def test_hot_members_match_brute_force(spark, hot_rows):
         assert r["cost_3m_avg"] == pytest.approx(avg) if avg is not None else r["cost_3m_avg"] is None
 
 
+def test_many_hot_members_are_joined_without_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(windows, "MAX_HOT_KEYS", 1)
+    rows = [(i % 4, months(i // 4), i, float(i), 12.0) for i in range(80)]
+    out = windows.cost_history(spark.createDataFrame(rows, SCHEMA), order=("month", "record_id"), hot_rows=5).collect()
+    want = brute_force(rows)
+    assert all((r["prev_month_cost"], r["cost_3m_avg"]) == want[r["record_id"]] for r in out) and len(out) == 80
+
+
 def test_copies_of_one_row_are_split(spark):
     rows = [(1, months(0), 0, 5.0, 12.0)] * 200 + [(2, months(0), 0, 7.0, 12.0)]
     out = windows.cost_history(spark.createDataFrame(rows, SCHEMA), order=("month", "record_id"), hot_rows=20)
