@@ -19,7 +19,7 @@ from carespend.functions.clean import cap_at, number
 
 BINS = 4096
 # An interval with at most this many rows is read as a whole.
-SMALL = 100_000
+SMALL = 20_000
 
 
 @dataclass(frozen=True)

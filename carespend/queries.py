@@ -50,6 +50,11 @@ def panel(spark: SparkSession, sf: str) -> DataFrame:
     return fixture.panel(raw(spark, sf))
 
 
+def staged_panel(spark: SparkSession, sf: str) -> DataFrame:
+    """For queries that read the panel more than once."""
+    return io.stage(panel(spark, sf), "panel")
+
+
 def history(spark: SparkSession, sf: str) -> DataFrame:
     # A member has one panel row per month, so its window is small.
     return windows.cost_history(panel(spark, sf))
@@ -230,7 +235,7 @@ def winsorised_cost(spark, sf):
 
 @query
 def date_features(spark, sf):
-    df = features.date_features(panel(spark, sf))
+    df = features.date_features(staged_panel(spark, sf))
     return df.select("member_id", day(), "year", "month_num", "quarter", "time_index")
 
 
@@ -356,7 +361,8 @@ def order_history(spark, sf):
         F.col("o_totalprice").alias(TARGET),
         (F.abs("c_acctbal") * 12).alias("previous_year_medical_cost"),
     )
-    out = windows.cost_history(df, order=("month", "record_id"), hot_rows=HOT_ROWS)
+    # Staged, as the sizes of the members are counted first.
+    out = windows.cost_history(io.stage(df, "orders"), order=("month", "record_id"), hot_rows=HOT_ROWS)
     return out.select("record_id", "member_id", day(), "prev_month_cost", F.round("cost_3m_avg", 6).alias("cost_3m_avg"))
 
 
@@ -438,7 +444,8 @@ def member_share(spark, sf):
 
 @query
 def histogram(spark, sf):
-    return rounded(profile.histogram(raw(spark, sf)), bin_start=4)
+    costs = io.stage(raw(spark, sf).select(TARGET), "costs")
+    return rounded(profile.histogram(costs), bin_start=4)
 
 
 @query
@@ -479,8 +486,8 @@ def corr_matrix(spark, sf):
 # --- forecast, scenario, advice ------------------------------------------------------
 
 
-def horizon_years(spark: SparkSession, sf: str, shift: int = TO_PROJECTION) -> DataFrame:
-    return aggregates.years(raw(spark, sf)).select((F.col("year") + shift).alias("year"))
+def horizon_years(spark: SparkSession, sf: str) -> DataFrame:
+    return aggregates.years(raw(spark, sf)).select((F.col("year") + TO_PROJECTION).alias("year"))
 
 
 @query
@@ -501,8 +508,9 @@ def forecast_from_actuals(spark, sf):
 
 @query
 def actual_vs_forecast(spark, sf):
-    actual = yearly_totals(spark, sf).select((F.col("year") + TO_HISTORY).alias("year"), F.col("total_cr").alias("value"))
-    ahead = forecast.project_years(horizon_years(spark, sf, TO_PROJECTION + 1))
+    yearly = io.stage(yearly_totals(spark, sf), "yearly")
+    actual = yearly.select((F.col("year") + TO_HISTORY).alias("year"), F.col("total_cr").alias("value"))
+    ahead = forecast.project_years(yearly.select((F.col("year") + TO_PROJECTION + 1).alias("year")))
     return forecast.actual_vs_forecast(actual, ahead.select("year", F.col("projected_cr").alias("value")))
 
 
@@ -676,14 +684,14 @@ def scaled(spark, sf):
 
 @query
 def time_split(spark, sf):
-    dated = features.date_features(panel(spark, sf))
+    dated = features.date_features(staged_panel(spark, sf))
     return dated.select("member_id", day(), "time_index", split.is_holdout(dated).alias("holdout"))
 
 
 @query
 def time_folds(spark, sf):
     """Rows and months of each expanding-window fold."""
-    dated = features.date_features(io.stage(panel(spark, sf), "panel"))
+    dated = io.stage(features.date_features(staged_panel(spark, sf)), "dated")
     out = None
     for i, (train, valid) in enumerate(split.time_folds(dated), 1):
         for part, rows in (("fit", train), ("validate", valid)):
