@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carespend.functions import clean, features
-from carespend.ml import encode, ensemble, evaluate, pipeline, search, split
+from carespend.ml import encode, ensemble, evaluate, scoring, search, split
 from carespend.ml.quantile import QuantileForest
 from carespend.operators import aggregates, lookup, profile, quantiles, windows
 from carespend.plans import advice, forecast, kpis, scenario
@@ -728,14 +728,14 @@ def band(spark, sf):
     q = {"q10": base * 0.7, "q90": F.when(F.col("member_id") % 9 != 0, base * 0.72)}
     df = history(spark, sf).withColumns({"factor": factor, **q})
     df = df.withColumn("adjusted_cost", F.col("cost_3m_avg") * F.col("factor"))
-    out = pipeline.band(df, factor="factor")
+    out = scoring.band(df, factor="factor")
     return out.select("member_id", day(), "lower", "upper")
 
 
 @query
 def log_inversion(spark, sf):
     df = history(spark, sf).withColumn("prediction", F.log1p("prev_month_cost"))
-    out = pipeline.invert_log(df, True)
+    out = scoring.invert_log(df, True)
     return out.select("member_id", day(), F.round("prediction", 4).alias("prediction"))
 
 
@@ -749,12 +749,12 @@ SMALL = {
 }
 SMALL_QUANTILES = {"numTrees": 12, "maxDepth": 6}
 
-_bundles: dict[tuple[str, str], pipeline.Bundle] = {}
+_bundles: dict[tuple[str, str], scoring.Bundle] = {}
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     # Staged, because fitting the cap reads the rows several times.
-    return pipeline.training_frame(io.stage(fixture.member_months(raw(spark, sf)), "member-months"))
+    return scoring.training_frame(io.stage(fixture.member_months(raw(spark, sf)), "member-months"))
 
 
 def design_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, encode.Design]:
@@ -766,12 +766,12 @@ def design_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, enc
     return design.transform(io.spread(train), keep), design.transform(frame.where("holdout"), keep), design
 
 
-def bundle(spark: SparkSession, sf: str) -> pipeline.Bundle:
+def bundle(spark: SparkSession, sf: str) -> scoring.Bundle:
     """One trained bundle per application and data set."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _bundles:
         frame = training_rows(spark, sf)
-        _bundles[key] = pipeline.train_bundle(frame, pipeline.default_bases(SMALL), SMALL_QUANTILES)
+        _bundles[key] = scoring.train_bundle(frame, scoring.default_bases(SMALL), SMALL_QUANTILES)
     return _bundles[key]
 
 
@@ -800,7 +800,15 @@ def binned_boosted_predictions(spark, sf):
 def stack_predictions(spark, sf):
     b = bundle(spark, sf)
     frame = training_rows(spark, sf).where("holdout")
-    return pipeline.predict(b, frame, ["record_id", TARGET])
+    return scoring.predict(b, frame, ["record_id", TARGET])
+
+
+@query
+def voting_predictions(spark, sf):
+    bases = bundle(spark, sf).model.bases
+    voters = ensemble.Voting({"rf": bases["rf"], "gb": bases["gb"]}, {"rf": 1.0, "gb": 3.0})
+    rows = bundle(spark, sf).design.transform(training_rows(spark, sf).where("holdout"), ["record_id", TARGET])
+    return voters.transform(rows).drop("features")
 
 
 @query
@@ -818,10 +826,18 @@ def feature_importances(spark, sf):
 
 @query
 def parameter_search(spark, sf):
+    """Settings drawn from narrowed ranges for both learners, with their error over the time folds."""
     train, _, _ = design_rows(spark, sf)
-    space = {**search.FOREST_SPACE, "numTrees": ("int", 3, 8), "maxDepth": ("int", 3, 6)}
-    table, _ = search.random_search(ensemble.forest, train, space, 3)
-    return table
+    learners = {
+        "forest": (ensemble.forest, {**search.FOREST_SPACE, "numTrees": ("int", 3, 8), "maxDepth": ("int", 3, 6)}, 3),
+        "boosted": (ensemble.boosted, {**search.BOOSTED_SPACE, "maxIter": ("int", 3, 8)}, 2),
+    }
+    out = None
+    for name, (make, space, n) in learners.items():
+        table, _ = search.random_search(make, train, space, n)
+        table = table.withColumn("learner", F.lit(name)).withColumn("setting", F.to_json("setting"))
+        out = table if out is None else out.unionByName(table)
+    return out
 
 
 @query
@@ -831,18 +847,18 @@ def batch_score(spark, sf):
             "prediction_month": F.format_string("%04d-%02d", F.year("month") + TO_PROJECTION, F.month("month")),
         }
     )
-    return pipeline.score(bundle(spark, sf), rows.drop("month", TARGET))
+    return scoring.score(bundle(spark, sf), rows.drop("month", TARGET))
 
 
 @query
 def forecast_latest(spark, sf):
-    return pipeline.forecast_latest(bundle(spark, sf), fixture.member_months(raw(spark, sf)))
+    return scoring.forecast_latest(bundle(spark, sf), fixture.member_months(raw(spark, sf)))
 
 
 @query
 def bundle_roundtrip(spark, sf):
     """Predictions of a bundle that was saved and loaded again."""
     path = shared_path(spark, "bundle")
-    pipeline.save_bundle(bundle(spark, sf), spark, path)
+    scoring.save_bundle(bundle(spark, sf), spark, path)
     frame = training_rows(spark, sf).where("holdout")
-    return pipeline.predict(pipeline.load_bundle(spark, path), frame, ["record_id", TARGET])
+    return scoring.predict(scoring.load_bundle(spark, path), frame, ["record_id", TARGET])

@@ -6,7 +6,7 @@ import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from carespend.ml import encode, ensemble, evaluate, pipeline, search, split
+from carespend.ml import encode, ensemble, evaluate, scoring, search, split
 from carespend.ml.quantile import QuantileForest
 from carespend.sources.schema import TARGET
 
@@ -35,12 +35,12 @@ def claims(spark, members=60, months=12):
 
 @pytest.fixture(scope="module")
 def frame(spark):
-    return pipeline.training_frame(claims(spark)).cache()
+    return scoring.training_frame(claims(spark)).cache()
 
 
 @pytest.fixture(scope="module")
 def bundle(frame):
-    return pipeline.train_bundle(frame, pipeline.default_bases(TINY), {"numTrees": 10, "maxDepth": 4, "minInstancesPerNode": 10})
+    return scoring.train_bundle(frame, scoring.default_bases(TINY), {"numTrees": 10, "maxDepth": 4, "minInstancesPerNode": 10})
 
 
 def test_one_hot_drops_the_first_and_zeroes_the_unknown(spark):
@@ -228,7 +228,7 @@ def test_bundle_beats_the_mean(frame, bundle):
 def test_scoring_a_batch(spark, bundle):
     rows = [("r1", "m1", 30, 100.0, "2027-06"), ("r2", "m2", None, None, None), ("r3", "m3", 70, 9000.0, "2026-08")]
     records = spark.createDataFrame(rows, "record_id string, member_id string, age int, pharmacy_spend double, prediction_month string")
-    out = {r["record_id"]: r for r in pipeline.score(bundle, records).collect()}
+    out = {r["record_id"]: r for r in scoring.score(bundle, records).collect()}
     assert out["r1"]["prediction_period"] == "2027-06" and out["r2"]["prediction_period"] == "2027-01"
     assert out["r1"]["adjusted_cost"] == pytest.approx(out["r1"]["prediction"] * 1.114 * 0.9937)
     assert out["r3"]["prediction"] > out["r1"]["prediction"]
@@ -238,33 +238,33 @@ def test_scoring_a_batch(spark, bundle):
 
 def test_band_without_quantiles(spark):
     df = spark.createDataFrame([(100.0,)], "adjusted_cost double")
-    r = pipeline.band(df).first()
+    r = scoring.band(df).first()
     assert (r["lower"], r["upper"]) == (85.0, pytest.approx(115.0))
     df = spark.createDataFrame([(100.0, -5.0, 1.0, 2.0), (100.0, 90.0, 91.0, 2.0)], "adjusted_cost double, q10 double, q90 double, k double")
-    a, b = pipeline.band(df, factor="k").collect()
+    a, b = scoring.band(df, factor="k").collect()
     assert (a["lower"], a["upper"]) == (0.0, 2.0)
     assert (b["lower"], b["upper"]) == (180.0, pytest.approx(189.0))
 
 
 def test_log_target(spark):
     df = spark.createDataFrame([(0.0, 1.0)], "prediction double, q10 double")
-    assert tuple(pipeline.invert_log(df, True).first()) == (0.0, pytest.approx(np.e - 1))
-    assert pipeline.invert_log(df, False) is df
+    assert tuple(scoring.invert_log(df, True).first()) == (0.0, pytest.approx(np.e - 1))
+    assert scoring.invert_log(df, False) is df
 
 
 def test_saved_bundle_predicts_the_same(spark, frame, bundle):
     from carespend.session import shared_path
 
     path = shared_path(spark, "bundle")
-    pipeline.save_bundle(bundle, spark, path)
-    loaded = pipeline.load_bundle(spark, path)
+    scoring.save_bundle(bundle, spark, path)
+    loaded = scoring.load_bundle(spark, path)
     rows = frame.where("holdout")
-    a = pipeline.predict(bundle, rows, ["record_id"]).orderBy("record_id").collect()
-    b = pipeline.predict(loaded, rows, ["record_id"]).orderBy("record_id").collect()
+    a = scoring.predict(bundle, rows, ["record_id"]).orderBy("record_id").collect()
+    b = scoring.predict(loaded, rows, ["record_id"]).orderBy("record_id").collect()
     assert a == b and len(a) > 0
     assert loaded.metrics == bundle.metrics and loaded.design == bundle.design
 
 
 def test_latest_record_forecast(spark, bundle):
-    r = pipeline.forecast_latest(bundle, claims(spark)).first()
+    r = scoring.forecast_latest(bundle, claims(spark)).first()
     assert r["latest_year"] == 2023 and r["predicted_cost"] > 0
