@@ -162,7 +162,8 @@ def forecast_latest(bundle: Bundle, claims: DataFrame) -> DataFrame:
     order = [c for c in ("month", "record_id") if c in claims.columns]
     newest = latest(claims, order)
     rows = serving_features(newest)
-    return predict(bundle, rows, ["month"]).select(F.year("month").alias("latest_year"), F.col("prediction").alias("predicted_cost"))
+    out = predict(bundle, rows, ["month"])
+    return out.select(F.year("month").alias("latest_year"), F.col("prediction").alias("predicted_cost"))
 
 
 def _kind(model) -> str:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carespend.functions.clean import generic_offset, inpatient_cost, number
-from carespend.functions.features import specialty_flag, utilization_sum, utilization_total
+from carespend.functions.features import crore, specialty_flag, utilization_sum, utilization_total
 from carespend.sources.schema import TARGET, UTILIZATION
 
 # Shares shown when no driver has any cost.
@@ -148,7 +148,7 @@ def driver_impact(df: DataFrame, threshold: float = 0.70) -> DataFrame:
 
 def macro_annual(df: DataFrame) -> DataFrame:
     """Total cost per year in crore."""
-    return sum_by(df, F.year("month").alias("year"), scale=10_000_000, name="total_cr")
+    return df.groupBy(F.year("month").alias("year")).agg(crore(F.sum(TARGET)).alias("total_cr"))
 
 
 def global_stats(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:

@@ -241,13 +241,7 @@ def date_features(spark, sf):
 
 @query
 def features_clinical(spark, sf):
-    df = clean.fix_categories(raw(spark, sf))
-    df = clinical_frame(df)
-    return df
-
-
-def clinical_frame(df: DataFrame) -> DataFrame:
-    have = set(df.columns)
+    df = fixed(spark, sf)
     out = features.clinical_features(df, serving=True).withColumns(
         {
             "utilization_total": features.utilization_total(),
@@ -255,7 +249,7 @@ def clinical_frame(df: DataFrame) -> DataFrame:
             "specialty_flag": features.specialty_flag(),
         }
     )
-    return out.select("member_id", day(), *[c for c in out.columns if c not in have])
+    return out.select("member_id", day(), *[c for c in out.columns if c not in df.columns])
 
 
 # --- aggregates ----------------------------------------------------------------------
