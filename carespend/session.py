@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
-_local_root: str | None = None
-
 
 def build_session(app: str = "carespend", master: str | None = None, **conf: object) -> SparkSession:
     """A session with adaptive execution, skew-join splitting and UTC times."""
@@ -28,16 +25,9 @@ def build_session(app: str = "carespend", master: str | None = None, **conf: obj
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only in local mode."""
-    global _local_root
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one in the warehouse, which is shared too."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    if _local_root is None:
-        _local_root = tempfile.mkdtemp(prefix="carespend-")
-    return _local_root
+    return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_staged").rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
