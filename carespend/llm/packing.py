@@ -19,7 +19,7 @@ from carespend.sources.io import stage
 #: Tokens of a sequence.
 SEQUENCE = 2048
 #: Pieces that one task ranks at most, about.
-RANKED = 20_000
+RANKED = 1_000
 #: Word forms whose ids a task remembers at most.
 REMEMBERED = 400_000
 #: Word forms that are encoded at a time.
