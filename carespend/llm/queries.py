@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carespend.llm import chat, decontaminate, exact, line_chunks, packing, secret_scan
+from carespend.llm import chat, decontaminate, exact, line_chunks, minhash, packing, secret_scan, suffix
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -17,6 +17,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix.suffix_dedup(table(spark, sf, "documents"))
+    left = F.octet_length("kept").cast("long")
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - left).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf, "documents"), k=3, percent=85)
+
+
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf, "documents"))
 
@@ -59,7 +71,9 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": suffix_dedup,
         "op2_exact_dedup": exact_dedup,
+        "op3_near_dedup": near_dedup,
         "op6_chat_format": chat_format,
         "op7_decontaminate": benchmark_decontamination,
         "op8_secrets": secret_spans,
