@@ -74,8 +74,10 @@ def item_windows(items: DataFrame, item_id: str, text_col: str, window: int = WI
 def windows(df: DataFrame, keys: list[str], length: int, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """A row per window of ``length`` words: the keys, ``at, length, print, content``."""
     df = fingerprints(df, length, "_prints", window, gram)
-    content = F.transform("_prints", lambda p, i: F.struct(p.alias("print"), F.array_join(F.slice("_words", i + 1, length), " ").alias("content")))
-    df = df.select(*keys, F.posexplode(content).alias("at", "w"))
+    df = _spanning(df, "_words", length, "contents", lambda a, b: F.concat_ws(" ", a, b), overlap=False)
+    pairs = F.zip_with("_prints", "contents", lambda p, c: F.struct(p.alias("print"), c.alias("content")))
+    # outer, as a filter on the number of windows would be pushed down and compute them twice
+    df = df.select(*keys, F.posexplode_outer(pairs).alias("at", "w")).where("at IS NOT NULL")
     return df.select(*keys, "at", F.lit(length).alias("length"), "w.print", "w.content")
 
 

@@ -28,18 +28,24 @@ def with_chunks(docs: DataFrame, mean_lines: int = MEAN_LINES) -> DataFrame:
     """
     df = docs.withColumn("_text", F.coalesce("text", F.lit(""))).withColumn("_lines", F.split("_text", "\n", -1))
     df = df.withColumn("_hashes", F.transform("_lines", line_hash))
-    rolled = F.transform("_hashes", lambda h, i: F.coalesce(F.get("_hashes", i - 1), F.lit(0)) * 31 + h)
-    df = df.withColumn("_rolled", rolled)
-    ends = F.filter(F.sequence(F.lit(1), F.size("_lines")), lambda i: (F.get("_rolled", i - 1) % mean_lines == 0) | (i == F.size("_lines")))
-    df = df.withColumn("_ends", ends)
+    rolled = lambda h, i: F.coalesce(F.get("_hashes", i - 1), F.lit(0)) * 31 + h
+    last = lambda h, i: (rolled(h, i) % mean_lines == 0) | (i == F.size("_hashes") - 1)
+    df = df.withColumn("_last", F.transform("_hashes", last))
+    df = df.withColumn("_ends", F.array_compact(F.transform("_last", lambda x, i: F.when(x, i + 1))))
+    # joined and split again at a mark that no text can hold, as slices would copy all lines each
+    df = df.withColumn("_mark", F.concat(F.lit("\x01"), F.md5("_text"), F.lit("\x01")))
+    joined = F.array_join(F.zip_with("_lines", "_last", lambda line, x: F.concat(line, F.when(x, F.col("_mark")).otherwise(F.lit("\n")))), "")
+    texts = F.split(joined, F.col("_mark"), -1)
     begins = F.concat(F.array(F.lit(0)), F.slice("_ends", 1, F.size("_ends") - 1))
-    chunk = lambda a, b: F.struct((b - a).alias("lines"), F.array_join(F.slice("_lines", a + 1, b - a), "\n").alias("text"))
-    return df.withColumn("_chunks", F.zip_with(begins, "_ends", chunk)).drop("_lines", "_hashes", "_rolled", "_ends")
+    sized_texts = F.zip_with(F.zip_with(begins, "_ends", lambda a, b: b - a), texts, lambda n, t: F.struct(n.alias("lines"), t.alias("text")))
+    chunks = F.filter(sized_texts, lambda c: c["lines"].isNotNull())  # what follows the last mark is no chunk
+    return df.withColumn("_chunks", chunks).drop("_lines", "_hashes", "_last", "_ends", "_mark")
 
 
 def _occurrences(docs: DataFrame, mean_lines: int, least_lines: int) -> DataFrame:
     """A row per chunk that could be removed: ``doc_id, row, at, high, low, chunk``."""
-    cut = with_chunks(docs, mean_lines).select("doc_id", F.xxhash64("_text").alias("row"), F.posexplode("_chunks").alias("at", "c"))
+    cut = with_chunks(docs, mean_lines).select("doc_id", F.xxhash64("_text").alias("row"), F.posexplode_outer("_chunks").alias("at", "c"))
+    # outer, as a filter on the number of chunks would be pushed down and compute them twice
     return cut.where((F.col("c.lines") >= least_lines) & F.col("c.text").rlike(r"\S")).select(
         "doc_id", "row", "at", F.xxhash64("c.text").alias("high"), F.xxhash64(F.lit(1), "c.text").alias("low"), F.col("c.text").alias("chunk")
     )
@@ -69,12 +75,18 @@ def repeats(docs: DataFrame, mean_lines: int = MEAN_LINES, least_lines: int = LE
 
 
 def line_dedup(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_lines: int = MEAN_LINES, least_lines: int = LEAST_LINES
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    mean_lines: int = MEAN_LINES,
+    least_lines: int = LEAST_LINES,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Texts without the multi-line chunks that occur earlier in the corpus: every chunk stays at its first place only.
 
     Returns a row per row of ``docs``: ``doc_id, text, n_lines, n_chunks, n_removed_chunks,
-    n_removed_lines``. Chunks of fewer than ``least_lines`` lines and chunks of white space
+    n_removed_lines, was_null`` and, if asked for, the columns to ``carry`` in a struct
+    ``carried``. Chunks of fewer than ``least_lines`` lines and chunks of white space
     stay. A text that loses all chunks is empty.
 
     Null text gives an empty one. Places are ordered by id, then by position; a null id comes
@@ -82,12 +94,13 @@ def line_dedup(
     none to each other at the same place. No rows give no rows; other columns are ignored,
     whatever their names.
     """
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    lost = sized(repeats(own, mean_lines, least_lines), "chunk-removals").alias("l")
+    extra = [F.struct(*carry).alias("carried")] if carry else []
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra)
+    lost = sized(repeats(own.select("doc_id", "text"), mean_lines, least_lines), "chunk-removals").alias("l")
     cut = with_chunks(own, mean_lines).withColumn("_row", F.xxhash64("_text")).alias("d")
     joined = cut.join(lost, F.col("d.doc_id").eqNullSafe(F.col("l.doc_id")) & (F.col("_row") == F.col("l.row")), "left")
     gone = F.coalesce("ats", F.array().cast("array<int>"))
-    joined = joined.select("d.*", gone.alias("_gone"))
+    joined = joined.select("d.*", gone.alias("_gone"), F.col("d.text").isNull().alias("was_null"))
     kept = F.filter("_chunks", lambda c, i: ~F.array_contains("_gone", i))
     lines = lambda chunks: F.aggregate(chunks, F.lit(0), lambda a, c: a + c["lines"])
     dropped = F.filter("_chunks", lambda c, i: F.array_contains("_gone", i))
@@ -99,4 +112,6 @@ def line_dedup(
         F.size("_chunks").cast("long").alias("n_chunks"),
         F.size("_gone").cast("long").alias("n_removed_chunks"),
         lines(dropped).cast("long").alias("n_removed_lines"),
+        F.col("was_null"),
+        *(["carried"] if carry else []),
     )

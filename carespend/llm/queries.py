@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carespend.llm import chat, decontaminate, exact, line_chunks, minhash, packing, secret_scan, suffix, toxicity
+from carespend.llm import chat, decontaminate, exact, line_chunks, minhash, packing, pii, secret_scan, suffix, toxicity
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -33,6 +33,14 @@ def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf, "documents"))
 
 
+#: A key for the registered query; a real corpus needs a secret one.
+PII_KEY = "carespend"
+
+
+def pii_surrogates(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf, "documents"), PII_KEY)
+
+
 def toxicity_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of all documents by a model of the labelled ones outside the held-out fold."""
     docs, held_out = table(spark, sf, "documents"), toxicity.fold(F.col("doc_id")) == 0
@@ -69,7 +77,7 @@ def secret_spans(spark: SparkSession, sf: str) -> DataFrame:
 
 def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = line_chunks.line_dedup(table(spark, sf, "documents"))
-    return found.select(*(c for c in found.columns if c != "text"), F.sha2("text", 256).alias("kept_sha256"))
+    return found.select("doc_id", *(c for c in found.columns if c.startswith("n_")), F.sha2("text", 256).alias("kept_sha256"))
 
 
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
@@ -81,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_suffix_dedup": suffix_dedup,
         "op2_exact_dedup": exact_dedup,
         "op3_near_dedup": near_dedup,
+        "op4_pii": pii_surrogates,
         "op5_toxicity": toxicity_scores,
         "op6_chat_format": chat_format,
         "op7_decontaminate": benchmark_decontamination,

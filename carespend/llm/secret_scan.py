@@ -26,17 +26,21 @@ SPAN = "array<struct<start:int,kind:int,end:int,value:bigint>>"
 
 
 def running_before(df: DataFrame, lengths: str, out: str) -> DataFrame:
-    """``out``: for each element of an array column the sum of the elements before it."""
+    """``out``: for each element of an array column the sum of the elements before it.
+
+    Arrays that a lambda refers to are fields of one column: the optimizer would compute a
+    column that is named once again for each element.
+    """
     add = lambda a, x: a + x
     total = lambda a: F.aggregate(a, F.lit(0), add)
     size = F.size(lengths)
     firsts = F.when(size > 0, F.sequence(F.lit(0), size - 1, F.lit(SUMMED))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_sums", F.transform(firsts, lambda k: total(F.slice(lengths, k + 1, SUMMED))))
-    grown = F.aggregate("_sums", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
-    df = df.withColumn("_heads", grown)
+    df = df.withColumn("_blocks", F.transform(firsts, lambda k: F.slice(lengths, k + 1, SUMMED)))
+    grown = F.aggregate("_blocks", F.array(F.lit(0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + total(x))))
+    df = df.withColumn("_both", F.struct(grown.alias("heads"), F.col("_blocks").alias("blocks")))
     block = lambda i: (i / SUMMED).cast("int")
-    inner = lambda i: total(F.slice(lengths, block(i) * SUMMED + 1, i - block(i) * SUMMED))
-    return df.withColumn(out, F.transform(lengths, lambda _, i: F.get("_heads", block(i)) + inner(i))).drop("_sums", "_heads")
+    inner = lambda i: total(F.slice(F.get("_both.blocks", block(i)), F.lit(1), i - block(i) * SUMMED))
+    return df.withColumn(out, F.transform(lengths, lambda _, i: F.get("_both.heads", block(i)) + inner(i))).drop("_blocks", "_both")
 
 
 def spans(df: DataFrame, number: int, pattern: str, group: int, least: int, out: str) -> DataFrame:
@@ -44,23 +48,23 @@ def spans(df: DataFrame, number: int, pattern: str, group: int, least: int, out:
 
     The text between matches is what splitting leaves, so positions are running sums of lengths.
     """
-    found = F.col("text").rlike(pattern)
-    matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-    between = F.split("text", pattern, -1)
-    empty = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(found, matches).otherwise(empty)).withColumn("_b", F.when(found, between).otherwise(empty))
-    df = df.withColumn("_v", F.when(found, F.regexp_extract_all("text", F.lit(pattern), F.lit(group))).otherwise(empty) if group else F.col("_m"))
-    steps = F.transform("_m", lambda m, i: F.length(F.get("_b", i)) + F.length(m))
-    df = running_before(df.withColumn("_steps", steps), "_steps", "_before")
-    start = lambda i: F.get("_before", i) + F.length(F.get("_b", i))
+    matches = F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("whole")
+    values = F.regexp_extract_all("text", F.lit(pattern), F.lit(group)).alias("value")
+    found = F.struct(matches, F.split("text", pattern, -1).alias("before"), values)
+    none = F.array().cast("array<string>")
+    df = df.withColumn("_f", F.when(F.col("text").rlike(pattern), found).otherwise(F.struct(none.alias("whole"), none.alias("before"), none.alias("value"))))
+    steps = F.transform("_f.whole", lambda m, i: F.length(F.get("_f.before", i)) + F.length(m))
+    df = running_before(df.withColumn("_steps", steps), "_steps", "_at")
+    df = df.withColumn("_g", F.struct("_f", "_at"))
+    start = lambda i: F.get("_g._at", i) + F.length(F.get("_g._f.before", i))
     span = F.transform(
-        "_m",
+        "_g._f.whole",
         lambda m, i: F.struct(
-            start(i).alias("start"), F.lit(number).alias("kind"), (start(i) + F.length(m)).alias("end"), F.get("_v", i).alias("text")
+            start(i).alias("start"), F.lit(number).alias("kind"), (start(i) + F.length(m)).alias("end"), F.get("_g._f.value", i).alias("text")
         ),
     )
     long_enough = F.filter(span, lambda s: F.length(s["text"]) >= least)
-    return df.withColumn(out, long_enough).drop("_m", "_b", "_v", "_steps", "_before")
+    return df.withColumn(out, long_enough).drop("_f", "_g", "_steps", "_at")
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner_col: str) -> DataFrame:
