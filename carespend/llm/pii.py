@@ -20,7 +20,7 @@ PATTERNS = {
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
     "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,2}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "card": r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])",
+    "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "name": r"(?<!\p{L})(?:" + "|".join(t for group in TITLES.values() for t in group) + r")\.? \p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -79,7 +79,7 @@ def found_parts(docs: DataFrame) -> DataFrame:
 
 def _luhn(digits: Column) -> Column:
     """Sum of the digits by Luhn's rule; a number is valid if it is a multiple of 10."""
-    number = F.reverse(F.split(digits, ""))
+    number = F.reverse(F.filter(F.split(digits, ""), lambda d: d != ""))
     weighed = F.transform(number, lambda d, i: F.when(i % 2 == 0, d.cast("int")).otherwise((2 * d.cast("int")) % 10 + F.floor(d.cast("int") / 5).cast("int")))
     return F.aggregate(weighed, F.lit(0), lambda a, d: a + d)
 
