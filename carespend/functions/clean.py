@@ -11,11 +11,11 @@ from pyspark.sql import types as T
 from carespend.sources.schema import CATEGORICAL, CATEGORY_FIXES, IDS, INDEX_COLUMN, RECORD_DEFAULTS, TARGET
 
 
-def parse_dates(df: DataFrame, cols: Iterable[str], strict: bool = False) -> DataFrame:
-    """Text to dates. What does not parse becomes null, or fails the query when ``strict``."""
+def parse_dates(df: DataFrame, cols: Iterable[str], strict: bool = False, fmt: str | None = None) -> DataFrame:
+    """Text to dates, ISO or of one pattern ``fmt``. What does not parse becomes null, or fails the query when ``strict``."""
 
     def parsed(c: str) -> Column:
-        date = F.col(c).try_cast("date")
+        date = F.col(c).try_cast("date") if fmt is None else F.try_to_timestamp(F.col(c).cast("string"), F.lit(fmt)).cast("date")
         if not strict:
             return date
         bad = F.raise_error(F.concat(F.lit(f"not a date in {c}: "), F.col(c).cast("string")))

@@ -7,11 +7,11 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from carespend.functions.clean import cap_at, drop_null, feature_columns, fix_categories, impute_defaults
-from carespend.functions.features import clinical_features, date_features
+from carespend.functions.features import clinical_features, date_features, monthly_prior, period
 from carespend.ml.encode import Design, OneHotDropFirst, Scale
 from carespend.ml.ensemble import Ridge, Stacked, StackedModel, binned_boosted, boosted, forest
 from carespend.ml.evaluate import evaluate, importances
@@ -19,7 +19,7 @@ from carespend.ml.quantile import QuantileForest, QuantileForestModel
 from carespend.ml.split import is_holdout
 from carespend.operators.lookup import latest
 from carespend.operators.quantiles import exact_quantiles
-from carespend.operators.windows import cost_history
+from carespend.operators.windows import HOT_ROWS, cost_history
 from carespend.plans.forecast import adjust_period
 from carespend.sources.io import read_meta, spread, stage, write_meta
 from carespend.sources.schema import IDS, TARGET
@@ -27,11 +27,11 @@ from carespend.sources.schema import IDS, TARGET
 _KINDS = {"forest": RandomForestRegressionModel, "boosted": GBTRegressionModel}
 
 
-def training_frame(claims: DataFrame, q: float = 0.995, fit_on: str = "train", hot_rows: int | None = None) -> DataFrame:
+def training_frame(claims: DataFrame, q: float = 0.995, fit_on: str = "train", hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Cleaned claims with every training feature, a time index and a holdout flag.
 
     The cost cap is fitted on the months before the holdout, or on all rows with
-    ``fit_on="all"``. Pass ``hot_rows`` where members are not limited to a row per month.
+    ``fit_on="all"``. Pass ``hot_rows=None`` where members are known to have a row per month.
     """
     dated = date_features(fix_categories(claims))
     marked = dated.withColumn("holdout", is_holdout(dated))
@@ -49,6 +49,9 @@ class Bundle:
     model: StackedModel
     quantiles: QuantileForestModel | None = None
     log_target: bool = False
+    #: The first month of the training rows, from which months are counted, and their greatest cost.
+    first_month: str | None = None
+    cap: float | None = None
     metrics: dict = field(default_factory=dict)
     top_features: list = field(default_factory=list)
 
@@ -88,7 +91,8 @@ def train_bundle(
     fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
     stack = Stacked(bases or default_bases(), cv=cv, parallelism=parallelism).fit(fit_rows)
     quantiles = QuantileForest(params=quantile_params).fit(fit_rows)
-    bundle = Bundle(design, stack, quantiles, log_target)
+    known = source.agg(F.min("month").cast("string") if "month" in source.columns else F.lit(None), F.max(TARGET)).first()
+    bundle = Bundle(design, stack, quantiles, log_target, known[0], known[1])
     test = design.transform(source.where("holdout"), keep)
     scored = invert_log(quantiles.transform(stack.transform(test)), log_target)
     row = evaluate(scored, TARGET, "prediction", "q10", "q90").first()
@@ -137,6 +141,35 @@ def serving_features(records: DataFrame) -> DataFrame:
     return clinical_features(fix_categories(impute_defaults(records)), serving=True)
 
 
+def recent_costs(claims: DataFrame, n: int = 3, cap: float | None = None) -> DataFrame:
+    """``member_id, prev_month_cost, cost_3m_avg`` as they are for a record after all of a member's claims."""
+    order = [F.desc(c) for c in ("month", "record_id") if c in claims.columns]
+    value = F.least(F.col(TARGET), F.lit(cap)) if cap is not None else F.col(TARGET)
+    last = claims.select("member_id", value.alias("_v"), F.row_number().over(Window.partitionBy("member_id").orderBy(*order)).alias("_r"))
+    last = last.where((F.col("_r") <= n) & F.col("member_id").isNotNull())  # ranks beyond n are dropped before the shuffle
+    newest = F.max(F.when(F.col("_r") == 1, F.col("_v")))
+    return last.groupBy("member_id").agg(newest.alias("prev_month_cost"), F.avg("_v").alias("cost_3m_avg"))
+
+
+def with_inputs(bundle: Bundle, records: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Every input the model was trained on: row-wise features, the calendar of the asked period, and the member's history.
+
+    History comes from the claims given, else from the records themselves; without either it is
+    a twelfth of last year's cost, as for a member's first claim.
+    """
+    out = serving_features(records)
+    have = out.columns
+    asked = period("prediction_month" if "prediction_month" in have else F.lit(None), *(F.col(c) if c in have else None for c in ("year", "month")))
+    out = out.withColumn("_asked", F.make_date(F.greatest(F.lit(1), F.least(F.lit(9999), asked[0])), F.greatest(F.lit(1), F.least(F.lit(12), asked[1])), F.lit(1)))
+    first = F.lit(bundle.first_month).cast("date") if bundle.first_month else F.col("_asked")
+    out = date_features(out, "_asked", first).drop("_asked")
+    if history is not None:
+        known = recent_costs(history, cap=bundle.cap)
+        out = out.drop("prev_month_cost", "cost_3m_avg").join(known, "member_id", "left")
+    prior = monthly_prior()
+    return out.withColumns({c: F.coalesce(F.col(c), prior) if c in out.columns else prior for c in ("prev_month_cost", "cost_3m_avg")})
+
+
 def predict(bundle: Bundle, rows: DataFrame, keep: list[str]) -> DataFrame:
     """Predictions and quantiles of rows that already have their features."""
     out = bundle.model.transform(bundle.design.transform(rows, keep))
@@ -145,23 +178,30 @@ def predict(bundle: Bundle, rows: DataFrame, keep: list[str]) -> DataFrame:
     return invert_log(out.drop("features"), bundle.log_target)
 
 
-def score(bundle: Bundle, records: DataFrame) -> DataFrame:
-    """Score a batch of records: base cost, cost in the asked period, and its band."""
-    keep = [c for c in ("record_id", "member_id", "prediction_month", "year", "month") if c in records.columns]
-    # The period a record asks for is not an input of the model.
-    renamed = serving_features(records).withColumnsRenamed({"year": "_asked_year", "month": "_asked_month"})
-    asked = {"year": "_asked_year", "month": "_asked_month"}
-    out = predict(bundle, renamed, [asked.get(c, c) for c in keep])
+def score(bundle: Bundle, records: DataFrame, history: DataFrame | None = None) -> DataFrame:
+    """Score a batch of records: base cost, cost in the asked period, and its band.
+
+    ``history`` holds the members' claims until then. ``year`` and ``month`` of the records, if
+    any, are kept as they were sent.
+    """
+    asked = {c: f"_sent_{c}" for c in ("year", "month") if c in records.columns}
+    keep = [c for c in ("record_id", "member_id", "prediction_month") if c in records.columns]
+    sent = records.withColumns({v: F.col(k) for k, v in asked.items()})
+    out = predict(bundle, with_inputs(bundle, sent, history), [*keep, *asked.values()])
     out = out.withColumnsRenamed({v: k for k, v in asked.items()})
     out = adjust_period(out).withColumn("_scale", F.col("trend_multiplier") * F.col("season_factor"))
     return band(out, factor="_scale").drop("_scale")
 
 
 def forecast_latest(bundle: Bundle, claims: DataFrame) -> DataFrame:
-    """The base prediction for the newest record of the table."""
+    """The base prediction for the newest record of the table, from its own month and its member's earlier claims."""
     order = [c for c in ("month", "record_id") if c in claims.columns]
-    newest = latest(claims, order)
-    rows = serving_features(newest)
+    own = claims.join(latest(claims, order).select("member_id"), "member_id", "left_semi") if "member_id" in claims.columns else claims
+    if bundle.cap is not None:
+        own = cap_at(own, TARGET, bundle.cap)
+    newest = latest(cost_history(fix_categories(impute_defaults(own)), order=order, hot_rows=None), order)
+    first = F.lit(bundle.first_month).cast("date") if bundle.first_month else None
+    rows = clinical_features(date_features(newest, start=first))
     out = predict(bundle, rows, ["month"])
     return out.select(F.year("month").alias("latest_year"), F.col("prediction").alias("predicted_cost"))
 
@@ -183,6 +223,8 @@ def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
         "std": bundle.design.scaler.std,
         "feature_names": bundle.design.names,
         "log_target": bundle.log_target,
+        "first_month": bundle.first_month,
+        "cap": bundle.cap,
         "metrics": bundle.metrics,
         "top_features": bundle.top_features,
         "quantiles": None,
@@ -213,5 +255,12 @@ def load_bundle(spark: SparkSession, path: str) -> Bundle:
         )
     model = StackedModel(bases, Ridge(meta["ridge"]["intercept"], meta["ridge"]["weights"]))
     return Bundle(
-        design, model, quantiles, meta["log_target"], meta["metrics"], [tuple(t) for t in meta["top_features"]]
+        design,
+        model,
+        quantiles,
+        meta["log_target"],
+        meta.get("first_month"),
+        meta.get("cap"),
+        meta["metrics"],
+        [tuple(t) for t in meta["top_features"]],
     )

@@ -24,7 +24,9 @@ TREND_SIGNALS = ["specialty", "utilization", "provider_mix", "unit_cost", "er_ut
 
 
 def mean_by(df: DataFrame, key: str | Column, value: str = TARGET, name: str = "avg_cost") -> DataFrame:
-    return df.groupBy(key).agg(F.avg(value).alias(name))
+    """Mean per key, greatest first."""
+    grouped = df.groupBy(key).agg(F.avg(value).alias(name))
+    return grouped.orderBy(F.desc(name), grouped.columns[0])
 
 
 def sum_by(
@@ -37,7 +39,7 @@ def sum_by(
 def cost_trend(df: DataFrame, value: str = TARGET) -> DataFrame:
     """Mean cost per year, over the rows whose month and cost both parse."""
     rows = df.select(F.year(F.col("month").try_cast("date")).alias("year"), number(value).alias("v"))
-    return rows.na.drop().groupBy("year").agg(F.avg("v").alias("avg_cost"))
+    return rows.na.drop().groupBy("year").agg(F.avg("v").alias("avg_cost")).orderBy("year")
 
 
 def driver_signals(df: DataFrame, key: Column) -> DataFrame:
@@ -89,11 +91,11 @@ def share_of_total(df: DataFrame, col: str, name: str = "share", by: Iterable[st
 
 
 def share_by(df: DataFrame, key: str, value: str = TARGET, name: str = "share") -> DataFrame:
-    """Percentage of the grand total per key. Null keys are left out; no rows if the total is not positive."""
+    """Percentage of the grand total per key, greatest first. Null keys are left out; no rows if the total is not positive."""
     rows = df.select(key, number(value).alias("v")).where(F.col(key).isNotNull() & F.col("v").isNotNull())
     grouped = rows.groupBy(key).agg(F.sum("v").alias("v"))
     total = grouped.agg(F.sum("v")).scalar()
-    return grouped.where(total > 0).select(key, (F.col("v") / total * 100).alias(name))
+    return grouped.where(total > 0).select(key, (F.col("v") / total * 100).alias(name)).orderBy(F.desc(name), key)
 
 
 def driver_averages(df: DataFrame, by: Iterable[str] = (), threshold: float = 0.70) -> DataFrame:
@@ -147,8 +149,8 @@ def driver_impact(df: DataFrame, threshold: float = 0.70) -> DataFrame:
 
 
 def macro_annual(df: DataFrame) -> DataFrame:
-    """Total cost per year in crore."""
-    return df.groupBy(F.year("month").alias("year")).agg(crore(F.sum(TARGET)).alias("total_cr"))
+    """Total cost per year in crore, by year."""
+    return df.groupBy(F.year("month").alias("year")).agg(crore(F.sum(TARGET)).alias("total_cr")).orderBy("year")
 
 
 def global_stats(df: DataFrame, aggs: Mapping[str, Column]) -> DataFrame:

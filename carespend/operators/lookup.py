@@ -30,7 +30,8 @@ def latest(df: DataFrame, order: Iterable[str], by: Iterable[str] | None = None)
 
 
 def top_k(df: DataFrame, col: str, k: int) -> DataFrame:
-    return df.orderBy(F.col(col).desc()).limit(k)
+    """The ``k`` rows with the greatest values; among equal ones the other columns decide, smallest first."""
+    return df.orderBy(F.col(col).desc(), *[F.col(f"`{c}`") for c in df.columns if c != col]).limit(k)
 
 
 def map_lookup(key: Column, mapping: Mapping, default: object) -> Column:

@@ -97,9 +97,9 @@ def duplicates(df: DataFrame) -> DataFrame:
 
 
 def duplicate_sample(df: DataFrame, k: int = 5) -> DataFrame:
-    """``k`` distinct rows that occur more than once, with how often."""
+    """The ``k`` distinct rows that occur most often, more than once, with how often; ties in column order."""
     counts = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
-    return counts.where("copies > 1").limit(k)
+    return counts.where("copies > 1").orderBy(F.desc("copies"), *[F.col(f"`{c}`") for c in df.columns]).limit(k)
 
 
 def histogram(df: DataFrame, col: str = TARGET, bins: int = 50) -> DataFrame:

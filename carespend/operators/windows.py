@@ -18,6 +18,8 @@ from carespend.sources.io import stage
 from carespend.sources.schema import PRIOR_YEAR, TARGET
 
 # Beyond this many hot keys their list is joined by a shuffle instead of a broadcast.
+# A key of more rows is cut into runs. Pass ``hot_rows=None`` where keys are known to be small.
+HOT_ROWS = 1_000_000
 MAX_HOT_KEYS = 100_000
 
 _RUN, _TIE, _POS, _SIZE = "_run", "_tie", "_pos", "_size"
@@ -117,7 +119,7 @@ def cost_history(
     value: str = TARGET,
     prior: str = PRIOR_YEAR,
     n: int = 3,
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add the member's previous cost and the mean of up to ``n`` previous costs, in one sort.
 
@@ -140,7 +142,7 @@ def prev_cost(
     order: Iterable[str] = ("month",),
     value: str = TARGET,
     prior: str = PRIOR_YEAR,
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``prev_month_cost``: the member's cost one row earlier, else a twelfth of last year's."""
     out = with_before(df, key, order, value, 1, hot_rows)
@@ -154,7 +156,7 @@ def trailing_mean(
     value: str = TARGET,
     prior: str = PRIOR_YEAR,
     n: int = 3,
-    hot_rows: int | None = None,
+    hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
     """Add ``cost_3m_avg``: the mean of up to ``n`` earlier costs, else a twelfth of last year's."""
     names = _names(n)

@@ -351,7 +351,7 @@ FROM claims GROUP BY site_of_care, insurance_type"""
     o["table_roundtrip"] = _with(
         """
 SELECT CAST(year(month) AS INT) AS year, count(*) AS n, round(sum(monthly_medical_cost), 2) AS total
-FROM claims WHERE year(month) >= 1998 GROUP BY year(month)"""
+FROM claims GROUP BY year(month)"""
     )
     o["catalog_table"] = _with("SELECT city_type, count(*) AS n, max(age) AS oldest FROM claims GROUP BY city_type")
     o["sql_text"] = _with(
@@ -362,7 +362,8 @@ FROM claims WHERE emergency_visits > 0 GROUP BY provider_type, insurance_type"""
     o["json_records"] = _with(
         """
 SELECT coalesce(drug_category, 'Generic') AS drug_category, '2027-06' AS prediction_month, count(*) AS n,
-       round(avg(CASE WHEN member_id % 4 <> 0 THEN bmi ELSE 27.5e0 END), 6) AS avg_bmi, CAST(sum(45) AS BIGINT) AS ages
+       round(avg(CASE WHEN member_id % 4 <> 0 THEN bmi ELSE 27.5e0 END), 6) AS avg_bmi, CAST(sum(45) AS BIGINT) AS ages,
+       CAST(sum(medication_count) AS BIGINT) AS medications
 FROM claims GROUP BY 1"""
     )
     o["report_csv"] = _with(
@@ -520,6 +521,7 @@ SELECT o_orderkey AS record_id, o_custkey AS member_id, CAST(CAST(o_orderdate AS
                           ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), abs(c_acctbal) * 12 / 12), 6) AS cost_3m_avg
 FROM orders JOIN customer ON o_custkey = c_custkey
 WINDOW w AS (PARTITION BY o_custkey ORDER BY CAST(o_orderdate AS DATE), o_orderkey)"""
+    o["order_history_hot"] = o["order_history"]
     o["latest_record"] = _with(
         """
 SELECT member_id, CAST(month AS VARCHAR) AS month, monthly_medical_cost FROM panel ORDER BY panel.month DESC, member_id DESC LIMIT 1""",
@@ -554,6 +556,12 @@ FROM (SELECT count(*) AS n FROM claims GROUP BY """
         """
 SELECT member_id, site_of_care, provider_type, drug_category, count(*) AS copies FROM claims
 GROUP BY member_id, site_of_care, provider_type, drug_category HAVING count(*) > 1"""
+    )
+    o["most_repeated"] = _with(
+        """
+SELECT site_of_care, provider_type, drug_category, city_type, count(*) AS copies FROM claims
+GROUP BY site_of_care, provider_type, drug_category, city_type HAVING count(*) > 1
+ORDER BY copies DESC, site_of_care NULLS FIRST, provider_type NULLS FIRST, drug_category NULLS FIRST, city_type NULLS FIRST LIMIT 5"""
     )
     numeric = [c for c in NAMED if c not in TEXT]
     o["numeric_summary"] = _with(

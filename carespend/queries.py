@@ -26,7 +26,6 @@ TO_PROJECTION = 30
 TO_HISTORY = 24
 
 # Rows of one member above which its history is cut into runs.
-HOT_ROWS = 1_000_000
 
 
 def query(f: Query) -> Query:
@@ -57,7 +56,7 @@ def staged_panel(spark: SparkSession, sf: str) -> DataFrame:
 
 def history(spark: SparkSession, sf: str) -> DataFrame:
     # A member has one panel row per month, so its window is small.
-    return windows.cost_history(panel(spark, sf))
+    return windows.cost_history(panel(spark, sf), hot_rows=None)  # a row per member and month
 
 
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
@@ -77,9 +76,9 @@ def yearly_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def csv_scan(spark, sf):
-    """Claims written as CSV and read back with the fixed schema."""
+    """Claims written as CSV, whole numbers as ``45.0``, and read back with the fixed schema."""
     path = shared_path(spark, "claims-csv")
-    raw(spark, sf).write.option("header", True).csv(path)
+    raw(spark, sf).withColumn("medication_count", F.col("medication_count").cast("double")).write.option("header", True).csv(path)
     schema = T.StructType([f for f in raw(spark, sf).schema.fields])
     df = io.read_claims(spark, path, "csv", schema)
     out = df.groupBy("site_of_care", "insurance_type").agg(
@@ -92,11 +91,11 @@ def csv_scan(spark, sf):
 
 @query
 def table_roundtrip(spark, sf):
-    """Claims replaced as a table partitioned by year; the year filter prunes folders."""
+    """Claims replaced as a table partitioned by year and read back."""
     path = shared_path(spark, "claims")
     io.write_claims(raw(spark, sf), path)
     # The written files hold the columns of the frame, so their own schema is read.
-    df = io.read_claims(spark, path, schema=None).where(F.col("year") >= 1998)
+    df = io.read_claims(spark, path, schema=None)
     out = df.groupBy("year").agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("total"))
     return rounded(out, total=2)
 
@@ -124,7 +123,8 @@ def json_records(spark, sf):
     path = shared_path(spark, "records")
     sent = raw(spark, sf).select(
         F.col("member_id").cast("string").alias("member_id"),
-        F.when(F.col("member_id") % 4 != 0, F.col("bmi")).alias("bmi"),
+        F.when(F.col("member_id") % 4 != 0, F.col("bmi")).cast("string").alias("bmi"),
+        F.col("medication_count").cast("double").alias("medication_count"),
         "drug_category",
         F.lit("2027-06").alias("prediction_month"),
     )
@@ -134,6 +134,7 @@ def json_records(spark, sf):
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("bmi"), 6).alias("avg_bmi"),
         F.sum("age").alias("ages"),
+        F.sum("medication_count").alias("medications"),
     )
 
 
@@ -336,17 +337,15 @@ def pressure_score(spark, sf):
 
 @query
 def prev_month_cost(spark, sf):
-    return windows.prev_cost(panel(spark, sf)).select("member_id", day(), TARGET, "prev_month_cost")
+    return windows.prev_cost(panel(spark, sf), hot_rows=None).select("member_id", day(), TARGET, "prev_month_cost")
 
 
 @query
 def rolling_3m(spark, sf):
-    return windows.trailing_mean(panel(spark, sf)).select("member_id", day(), TARGET, "cost_3m_avg")
+    return windows.trailing_mean(panel(spark, sf), hot_rows=None).select("member_id", day(), TARGET, "cost_3m_avg")
 
 
-@query
-def order_history(spark, sf):
-    """Previous order value per customer at order grain, where one customer may hold most orders."""
+def _order_history(spark, sf, hot_rows):
     orders, customers = fixture.table(spark, sf, "orders"), fixture.table(spark, sf, "customer")
     df = orders.join(customers, orders.o_custkey == customers.c_custkey).select(
         F.col("o_custkey").alias("member_id"),
@@ -356,10 +355,22 @@ def order_history(spark, sf):
         (F.abs("c_acctbal") * 12).alias("previous_year_medical_cost"),
     )
     # Staged, as the sizes of the members are counted first.
-    out = windows.cost_history(io.stage(df, "orders"), order=("month", "record_id"), hot_rows=HOT_ROWS)
+    out = windows.cost_history(io.stage(df, "orders"), order=("month", "record_id"), hot_rows=hot_rows)
     return out.select("record_id", "member_id", day(), "prev_month_cost", F.round("cost_3m_avg", 6).alias("cost_3m_avg"))
 
 
+@query
+def order_history(spark, sf):
+    """Previous order value per customer at order grain, where one customer may hold most orders."""
+    return _order_history(spark, sf, windows.HOT_ROWS)
+
+
+@query
+def order_history_hot(spark, sf):
+    """The same with customers of more than 20 orders cut into runs."""
+    return _order_history(spark, sf, 20)
+
+
 @query
 def latest_record(spark, sf):
     return lookup.latest(panel(spark, sf), ["month", "member_id"]).select("member_id", day(), TARGET)
@@ -413,6 +424,12 @@ def duplicate_rows(spark, sf):
     return df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
+@query
+def most_repeated(spark, sf):
+    """The attributes that most claims share, whoever they belong to."""
+    return profile.duplicate_sample(raw(spark, sf).select("site_of_care", "provider_type", "drug_category", "city_type"), 5)
+
+
 @query
 def numeric_summary(spark, sf):
     """Sum of every column that is numeric by type."""
@@ -748,7 +765,7 @@ _bundles: dict[tuple[str, str], scoring.Bundle] = {}
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
     # Staged, because fitting the cap reads the rows several times.
-    return scoring.training_frame(io.stage(fixture.member_months(raw(spark, sf)), "member-months"))
+    return scoring.training_frame(io.stage(fixture.member_months(raw(spark, sf)), "member-months"), hot_rows=None)
 
 
 def design_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, encode.Design]:
@@ -836,12 +853,10 @@ def parameter_search(spark, sf):
 
 @query
 def batch_score(spark, sf):
-    rows = raw(spark, sf).withColumns(
-        {
-            "prediction_month": F.format_string("%04d-%02d", F.year("month") + TO_PROJECTION, F.month("month")),
-        }
-    )
-    return scoring.score(bundle(spark, sf), rows.drop("month", TARGET))
+    """Every member-month scored for the same month of a projected year, with the member's claims as history."""
+    months = io.stage(fixture.member_months(raw(spark, sf)), "member-months")
+    asked = F.format_string("%04d-%02d", F.year("month") + TO_PROJECTION, F.month("month"))
+    return scoring.score(bundle(spark, sf), months.withColumn("prediction_month", asked).drop("month", TARGET), months)
 
 
 @query

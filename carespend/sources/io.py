@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,13 +12,41 @@ from carespend.session import shared_path
 from carespend.sources.schema import CLAIMS, INDEX_COLUMN, RECORDS
 
 
+def typed(c: str, kind: T.DataType) -> Column:
+    """A text column as another type. Whole numbers may be written as ``45.0``; what does not parse is null."""
+    text = F.col(f"`{c}`")
+    if not isinstance(kind, T.IntegralType):
+        return text.try_cast(kind)
+    value = text.try_cast("double")
+    return F.coalesce(text.try_cast(kind), F.when(value == F.floor(value), value.try_cast(kind)))
+
+
+def from_text(df: DataFrame, schema: T.StructType, bad_fields: str | None = None) -> DataFrame:
+    """Text columns as the types of ``schema``; absent ones are null.
+
+    With ``bad_fields``, an array column of that name lists the fields of each row that hold
+    text which does not parse, so that a bad value is told apart from an absent one.
+    """
+    values = {f.name: typed(f.name, f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType) for f in schema.fields}
+    out = [v.alias(n) for n, v in values.items()]
+    if bad_fields:
+        lost = [F.when((F.trim(F.col(f"`{n}`")) != "") & v.isNull(), F.lit(n)) for n, v in values.items() if n in df.columns]
+        out.append(F.array_compact(F.array(*lost)).alias(bad_fields))
+    return df.select(out)
+
+
 def read_claims(
-    spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | None = CLAIMS
+    spark: SparkSession,
+    path: str,
+    fmt: str = "parquet",
+    schema: T.StructType | None = CLAIMS,
+    bad_fields: str | None = None,
 ) -> DataFrame:
     """The claims table from files, with a fixed schema so that no pass is spent on inference.
 
     CSV columns are matched by header name, so the column order in the file and an
-    exported index column do not matter; cells that do not parse become null.
+    exported index column do not matter; cells that do not parse become null, and are named in
+    the column ``bad_fields`` if one is asked for.
     """
     if fmt != "csv":
         reader = spark.read.format(fmt)
@@ -26,14 +54,7 @@ def read_claims(
     text = spark.read.option("header", True).csv(path).drop(INDEX_COLUMN)
     if schema is None:
         return text
-    return text.select(
-        [
-            (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in text.columns else F.lit(None).cast(f.dataType)).alias(
-                f.name
-            )
-            for f in schema.fields
-        ]
-    )
+    return from_text(text, schema, bad_fields)
 
 
 def read_table(spark: SparkSession, name: str, **jdbc: str) -> DataFrame:
@@ -89,9 +110,14 @@ def write_claims(
     writer.format("parquet").saveAsTable(table)
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Scoring records from JSON lines; fields a record leaves out are null."""
-    return spark.read.schema(RECORDS).json(path)
+def read_records(spark: SparkSession, path: str, bad_fields: str | None = None) -> DataFrame:
+    """Scoring records from JSON lines; fields a record leaves out are null.
+
+    Numbers may come as numbers or as text, whole ones also as ``72.0``. What does not parse is
+    null, and is named in the column ``bad_fields`` if one is asked for.
+    """
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in RECORDS.fields])
+    return from_text(spark.read.schema(text).json(path), RECORDS, bad_fields)
 
 
 def write_report(df: DataFrame, path: str) -> None:

@@ -97,3 +97,31 @@ def test_fixture_grain(spark, sf):
     months = fixture.member_months(claims)
     assert months.count() == panel.count()
     assert set(months.columns) == set(CLAIMS.names)
+
+
+def test_numbers_written_otherwise(spark, tmp_path):
+    path = str(tmp_path / "claims.csv")
+    (tmp_path / "claims.csv").write_text("member_id,age,diabetes,bmi\n7,45.0,1,31.5\n8,72,0.0,x\n9,4.5,,\n")
+    rows = io.read_claims(spark, path, "csv", bad_fields="bad").orderBy("member_id").collect()
+    assert [(r["age"], r["diabetes"], r["bmi"], sorted(r["bad"])) for r in rows] == [
+        (45, 1, 31.5, []),
+        (72, 0, None, ["bmi"]),
+        (None, None, None, ["age"]),
+    ]
+
+
+def test_record_numbers_as_text(spark, tmp_path):
+    path = tmp_path / "records.json"
+    path.write_text(
+        '{"age": 72.0, "bmi": "31.5", "hospital_admissions": 4.0}\n{"age": "72", "bmi": 31, "hospital_admissions": "4"}\n{"age": "old"}\n{}\n'
+    )
+    rows = io.read_records(spark, str(path), bad_fields="bad")
+    got = sorted(map(str, rows.select("age", "bmi", "hospital_admissions", "bad").collect()))
+    assert got == sorted(
+        [
+            "Row(age=72, bmi=31.5, hospital_admissions=4, bad=[])",
+            "Row(age=72, bmi=31.0, hospital_admissions=4, bad=[])",
+            "Row(age=None, bmi=None, hospital_admissions=None, bad=['age'])",
+            "Row(age=None, bmi=None, hospital_admissions=None, bad=[])",
+        ]
+    )

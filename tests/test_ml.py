@@ -268,3 +268,24 @@ def test_saved_bundle_predicts_the_same(spark, frame, bundle):
 def test_latest_record_forecast(spark, bundle):
     r = scoring.forecast_latest(bundle, claims(spark)).first()
     assert r["latest_year"] == 2023 and r["predicted_cost"] > 0
+
+
+def test_served_inputs_are_the_trained_ones(spark, sf):
+    """A record scored for a month, with its member's claims until then, has the inputs that training gave the same row."""
+    from carespend.queries import raw
+    from carespend.sources import fixture, io
+
+    months = io.stage(fixture.member_months(raw(spark, sf)), "member-months")
+    frame = scoring.training_frame(months, hot_rows=None)
+    first = months.agg(F.min("month").cast("string")).first()[0]
+    cap = frame.agg(F.max("monthly_medical_cost")).first()[0]
+    bundle = scoring.Bundle(None, None, first_month=first, cap=cap)
+    last = months.agg(F.max("month")).first()[0]
+    inputs = ["year", "month_num", "quarter", "time_index", "prev_month_cost", "cost_3m_avg", "comorbidity_score", "oon_exposure"]
+    trained = frame.where(F.col("month") == F.lit(last)).select("member_id", *inputs).orderBy("member_id").collect()
+    records = months.where(F.col("month") == F.lit(last)).withColumn("prediction_month", F.date_format("month", "yyyy-MM")).drop("month", "monthly_medical_cost")
+    served = scoring.with_inputs(bundle, records, months.where(F.col("month") < F.lit(last)))
+    got = served.select("member_id", *inputs).orderBy("member_id").collect()
+    assert len(got) == len(trained) > 0
+    for a, b in zip(got, trained, strict=True):
+        assert [x if x is None else round(float(x), 6) for x in a] == [x if x is None else round(float(x), 6) for x in b]
