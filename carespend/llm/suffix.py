@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,12 @@ LENGTH = 100
 GRAM = 32
 #: A longer text is read in parts of so many bytes, which overlap.
 PART = 1 << 20
-#: Different runs with one print that are sorted in one task at most; more are compared window by window.
+#: Different runs with one print that are sorted in one task at most; more are told apart by longer prints first.
 VARIANTS = 2000
+#: Offsets of the least gram that share a longer print, at each step of telling apart; the last one leaves single windows.
+CELLS = (16, 4, 1)
+#: The most frequent prints, of so many rows at least, are dealt to several tasks each.
+HEAVY_PRINTS, HEAVY_ROWS, SALTS = 1024, 1000, 64
 #: Bytes that are sorted together, about; positions and word ranks must fit in 21 bits.
 SORTED_BYTES = 1 << 20
 _RANK_BITS = 21
@@ -173,8 +178,7 @@ def text_runs(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) ->
     if len(data) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
     spans = SpanHash(data)
-    at = np.arange(len(data) - gram + 1)
-    grams = mixed((spans.sums[gram:] - spans.sums[:-gram]) * spans.back[at])
+    grams = spans.of_fixed(gram)
     prints = least_after(grams, length - gram + 1)
     starts = np.arange(len(prints))
     text = np.searchsorted(offsets, starts, "right") - 1
@@ -274,25 +278,71 @@ def sorted_hits(cut: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(run, "key long, begin long, end long")
 
 
-def window_hits(cut: DataFrame, length: int) -> DataFrame:
-    """The same for prints with very many different runs: their windows are grouped one by one, whatever the print."""
+def finer_runs(hot: DataFrame, length: int, gram: int, cell: int) -> DataFrame:
+    """The given runs cut by the offset of their least gram into cells, with prints of all bytes that a cell's windows share.
+
+    Equal windows have the gram at the same offset, so they stay together; a longer print sets
+    apart runs that have little more than the gram in common. No window is in two of the runs
+    that come out, and there are at most ``length / cell`` from one.
+    """
+    names = ["print", "bytes_hash", "key", "start", "n", "anchor", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _binary(batch.column(2))
-            sizes = np.diff(offsets) - length + 1
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            k = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            at = offsets[row] + k
-            one, two = SpanHash(data).of(at, at + length), SpanHash(data[::-1]).of(len(data) - at - length, len(data) - at)
-            places = batch.column(1).to_numpy()[row] + k
-            columns = [one.view(np.int64), two.view(np.int64), batch.column(0).to_numpy()[row], places]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["one", "two", "key", "begin"])
-
-    each = cut.select("key", "start", "text").mapInArrow(run, "one long, two long, key long, begin long")
-    first = each.groupBy("one", "two").agg(F.min(F.struct("key", "begin")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = each.join(first, ["one", "two"]).where(F.struct("key", "begin") != F.col("first"))
-    return later.select("key", "begin", (F.col("begin") + length).alias("end"))
+            prints, keys, starts, n, anchors = (c.to_numpy(zero_copy_only=False) for c in batch.columns[:5])
+            data, offsets = _binary(batch.column(5))
+            spans = SpanHash(data)
+            grams = spans.of_fixed(gram)
+            owner = np.repeat(np.arange(len(batch)), np.diff(offsets))[: len(grams)]
+            same = np.flatnonzero(grams == prints.view(np.uint64)[owner])
+            first = same[np.minimum(np.searchsorted(same, offsets[:-1]), len(same) - 1)] - offsets[:-1] if len(same) else offsets[:-1]
+            at = np.where(anchors >= 0, anchors - starts, first)
+            low, high = at - n + 1, at
+            cells = high // cell - low // cell + 1
+            row = np.repeat(np.arange(len(batch)), cells)
+            begin = (low[row] // cell + np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells)) * cell
+            end = np.minimum(begin + cell - 1, length - gram)
+            low, high, at = np.maximum(low[row], begin), np.minimum(high[row], end), at[row]
+            here = offsets[row] + at
+            shared = spans.of(here - begin, here + length - end)
+            longer = mixed(shared ^ mixed(prints.view(np.uint64)[row] + (begin * 128 + cell).astype(np.uint64)))
+            size = high - low + 1
+            a, b = here - high, here - high + size + length - 1
+            whole = data.tobytes()
+            texts = [whole[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            columns = [longer.view(np.int64), spans.of(a, b).view(np.int64), keys[row], starts[row] + at - high, size, starts[row] + at]
+            yield pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.array(texts, pa.binary())], names)
+
+    return hot.select("print", "key", "start", "n", "anchor", "text").mapInArrow(
+        run, "print long, bytes_hash long, key long, start long, n long, anchor long, text binary"
+    )
+
+
+def hot_hits(hot: DataFrame, length: int, gram: int) -> DataFrame | None:
+    """``key, begin, end`` like ``sorted_hits``, for prints with very many different runs."""
+    out = []
+    for cell in CELLS:
+        if hot.isEmpty():
+            break
+        finer = stage(finer_runs(hot, length, gram, cell), "finer-runs")
+        classes = finer.groupBy("print", "bytes_hash").agg(
+            F.min(F.struct("key", "start", "n", "anchor", "text")).alias("first"), F.count(F.lit(1)).alias("rows")
+        )
+        classes = stage(classes, "finer-classes")
+        out.append(_copied(finer, classes, length))
+        variants = classes.groupBy("print").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
+        several = stage(classes.join(variants, "print").select("print", "first.*", "variants"), "finer-texts")
+        out.append(sorted_hits(several.where(F.col("variants") <= VARIANTS), length))
+        hot = several.where(F.col("variants") > VARIANTS)
+    return reduce(DataFrame.unionByName, out) if out else None
+
+
+def _copied(found: DataFrame, classes: DataFrame, length: int) -> DataFrame:
+    """The bytes of all runs but the first of each class."""
+    copies = classes.where("rows > 1").select("print", "bytes_hash", "first.key", "first.start")
+    copies = copies.withColumnsRenamed({"key": "first_key", "start": "first_start"})
+    later = found.join(copies, ["print", "bytes_hash"]).where("key <> first_key OR start <> first_start")
+    return later.select("key", F.col("start").alias("begin"), (F.col("start") + F.col("n") + length - 1).alias("end"))
 
 
 def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -313,26 +363,32 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     ``docs`` holds ``key, text``. Windows are cut into runs that share their least gram, and
     runs whose gram occurs once are dropped. Runs of the same bytes form a class: only its
     first run can hold a first occurrence, so the other ones are spans as a whole. The first
-    runs of all classes with the same gram are sorted as suffixes.
+    runs of all classes with the same gram are sorted as suffixes; where they are very many,
+    longer grams tell them apart first.
     """
     spark = docs.sparkSession
     every = runs(docs, length, gram)
-    repeated = every.groupBy("print").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("print")
-    found = stage(every.join(repeated.hint("merge"), "print", "left_semi"), "repeated-runs")
+    repeated = every.groupBy("print").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    repeated = stage(repeated, "repeated-prints")
+    heavy = F.broadcast(repeated.where(F.col("rows") > HEAVY_ROWS).orderBy(F.desc("rows"), "print").limit(HEAVY_PRINTS).select(F.col("print").alias("heavy")))
+    salted = F.col("print") == F.col("heavy")
+    salt = F.when(F.col("heavy").isNull(), 0).otherwise(F.pmod(F.xxhash64("key", "start"), F.lit(SALTS)).cast("int")).alias("salt")
+    salts = F.when(F.col("heavy").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    wanted = repeated.join(heavy, salted, "left").select("print", F.explode(salts).alias("salt"))
+    dealt = every.join(heavy, salted, "left").select("print", "bytes_hash", "key", "start", "n", salt)
+    found = stage(dealt.join(wanted.hint("merge"), ["print", "salt"], "left_semi").drop("salt"), "repeated-runs")
     drop_shuffles(spark)
-    place = F.struct("key", "start", "n")
-    classes = found.groupBy("print", "bytes_hash").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
+    classes = found.groupBy("print", "bytes_hash").agg(F.min(F.struct("key", "start", "n")).alias("first"), F.count(F.lit(1)).alias("rows"))
     classes = stage(classes, "run-classes")
     several = classes.groupBy("print").agg(F.count(F.lit(1)).alias("variants")).where("variants > 1")
-    copies = classes.where("rows > 1").select("print", "bytes_hash", "first")
-    later = found.join(copies, ["print", "bytes_hash"]).where(F.struct("key", "start") != F.struct("first.key", "first.start"))
-    whole = stage(later.select("key", F.col("start").alias("begin"), (F.col("start") + F.col("n") + length - 1).alias("end")), "copied-runs")
+    whole = stage(_copied(found, classes, length), "copied-runs")
     drop_shuffles(spark)
-    wanted = classes.join(several, "print").select("print", "first.*", "variants")
-    cut = stage(cut_texts(docs, wanted, length), "run-texts")
+    mixed_runs = classes.join(several, "print").select("print", "first.*", "variants")
+    cut = stage(cut_texts(docs, mixed_runs, length), "run-texts")
     near = sorted_hits(cut.where(F.col("variants") <= VARIANTS), length)
-    hot = window_hits(cut.where(F.col("variants") > VARIANTS), length)
-    spans = stage(whole.unionByName(near).unionByName(hot), "repeated-spans")
+    hot = hot_hits(cut.where(F.col("variants") > VARIANTS).withColumn("anchor", F.lit(-1).cast("long")), length, gram)
+    spans = whole.unionByName(near)
+    spans = stage(spans if hot is None else spans.unionByName(hot), "repeated-spans")
     drop_shuffles(spark)
     return spans
 

@@ -60,6 +60,10 @@ class SpanHash:
         np.cumsum(_CODES[data] * powers(_BASE, len(data)), out=self.sums[1:])
         self.back = powers(_INVERSE, len(data) + 1)
 
+    def of_fixed(self, n: int) -> np.ndarray:
+        """Hashes of the ``n`` bytes from each position on, comparable with each other only."""
+        return mixed((self.sums[n:] - self.sums[: len(self.sums) - n]) * self.back[: len(self.sums) - n])
+
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mixed((self.sums[ends] - self.sums[starts]) * self.back[starts] + (ends - starts).astype(np.uint64))
 
