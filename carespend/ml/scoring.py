@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
+from pyspark.ml.util import DefaultParamsReader
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -240,7 +241,24 @@ def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
     write_meta(spark, f"{path}/meta", meta)
 
 
-def load_bundle(spark: SparkSession, path: str) -> Bundle:
+def _bare_model(spark: SparkSession, path: str, design: Design | None) -> Bundle | None:
+    """A bundle around a single model, if that is what the path holds."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "meta")):
+        return None
+    if design is None:
+        raise ValueError("a model without its bundle needs the design of its inputs")
+    kind = DefaultParamsReader.loadMetadata(path, spark)["class"].rsplit(".", 1)[-1]
+    model = next(cls for cls in _KINDS.values() if cls.__name__ == kind).load(path)
+    return Bundle(design, StackedModel({"model": model}, Ridge(0.0, {"p_model": 1.0})))
+
+
+def load_bundle(spark: SparkSession, path: str, design: Design | None = None) -> Bundle:
+    """What ``save_bundle`` wrote, or a single saved model, which has no band and needs a ``design``."""
+    bare = _bare_model(spark, path, design)
+    if bare is not None:
+        return bare
     meta = read_meta(spark, f"{path}/meta")
     bases = {n: _KINDS[kind].load(f"{path}/base-{n}") for n, kind in meta["bases"]}
     encoder = OneHotDropFirst(list(meta["vocabulary"]), meta["vocabulary"])

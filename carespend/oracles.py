@@ -754,6 +754,24 @@ SELECT member_id, CAST(month AS VARCHAR) AS month, time_index, time_index >= las
         PANEL,
         _INDEXED.format(source="panel"),
     )
+    o["bundle_same"] = _with(
+        """
+SELECT member_id || '/' || CAST(month AS VARCHAR) AS record_id, true AS same FROM indexed WHERE time_index >= last_index - 3""",
+        PANEL,
+        _INDEXED.format(source="panel"),
+    )
+    o["ridge_fit"] = _with(
+        """,
+m AS (SELECT count(*) AS n, avg(monthly_medical_cost) AS y, avg(prev_month_cost) AS x1, avg(cost_3m_avg) AS x2,
+             var_pop(prev_month_cost) * count(*) + 1 AS a, var_pop(cost_3m_avg) * count(*) + 1 AS d,
+             covar_pop(prev_month_cost, cost_3m_avg) * count(*) AS b,
+             covar_pop(prev_month_cost, monthly_medical_cost) * count(*) AS r1,
+             covar_pop(cost_3m_avg, monthly_medical_cost) * count(*) AS r2 FROM history),
+w AS (SELECT *, (r1 * d - r2 * b) / (a * d - b * b) AS w1, (r2 * a - r1 * b) / (a * d - b * b) AS w2 FROM m)
+SELECT round(y - w1 * x1 - w2 * x2, 2) AS intercept, round(w1, 4) AS prev_weight, round(w2, 4) AS avg_weight FROM w""",
+        PANEL,
+        HISTORY,
+    )
     o["time_folds"] = _with(_time_folds(), PANEL, _INDEXED.format(source="panel"))
     o["metrics"] = _with(
         """

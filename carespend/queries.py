@@ -750,6 +750,14 @@ def log_inversion(spark, sf):
     return out.select("member_id", day(), F.round("prediction", 4).alias("prediction"))
 
 
+@query
+def ridge_fit(spark, sf):
+    """The stack's ridge on the two history inputs of the member panel."""
+    fitted = ensemble.fit_ridge(io.stage(history(spark, sf), "history"), ["prev_month_cost", "cost_3m_avg"])
+    row = (round(fitted.intercept, 2), *(round(w, 4) for w in fitted.weights.values()))
+    return spark.createDataFrame([row], "intercept double, prev_weight double, avg_weight double")
+
+
 # --- model training and scoring (row checks only) ------------------------------------
 
 # Fewer trees and rounds than the defaults, so that a check run stays short.
@@ -871,3 +879,16 @@ def bundle_roundtrip(spark, sf):
     scoring.save_bundle(bundle(spark, sf), spark, path)
     frame = training_rows(spark, sf).where("holdout")
     return scoring.predict(scoring.load_bundle(spark, path), frame, ["record_id", TARGET])
+
+
+@query
+def bundle_same(spark, sf):
+    """Whether each holdout row gets the same prediction from a bundle that was saved and loaded again."""
+    path = shared_path(spark, "bundle")
+    trained = bundle(spark, sf)
+    scoring.save_bundle(trained, spark, path)
+    frame = io.stage(training_rows(spark, sf).where("holdout"), "holdout")
+    before = scoring.predict(trained, frame, ["record_id"]).select("record_id", F.col("prediction").alias("p"), F.col("q10").alias("a"))
+    after = scoring.predict(scoring.load_bundle(spark, path), frame, ["record_id"])
+    same = F.col("p").eqNullSafe(F.col("prediction")) & F.col("a").eqNullSafe(F.col("q10"))
+    return before.join(after, "record_id").select("record_id", same.alias("same"))

@@ -143,3 +143,9 @@ def test_feature_values(spark):
     }
     for c, v in want.items():
         assert r[c] == pytest.approx(v), c
+
+
+def test_dates_of_one_pattern(spark):
+    df = spark.createDataFrame([("31/12/2024",), ("2024-12-31",), (None,)], "d string")
+    got = clean.parse_dates(df, ["d"], fmt="dd/MM/yyyy").collect()
+    assert [str(r["d"]) for r in got] == ["2024-12-31", "None", "None"]

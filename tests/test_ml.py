@@ -289,3 +289,18 @@ def test_served_inputs_are_the_trained_ones(spark, sf):
     assert len(got) == len(trained) > 0
     for a, b in zip(got, trained, strict=True):
         assert [x if x is None else round(float(x), 6) for x in a] == [x if x is None else round(float(x), 6) for x in b]
+
+
+def test_model_without_bundle(spark, tmp_path):
+    rows = [(float(x), "a" if x % 2 else "b", float(2 * x)) for x in range(40)]
+    df = spark.createDataFrame(rows, "x double, gender string, monthly_medical_cost double")
+    design = encode.Design.fit(df, ["x"], ["gender"])
+    fitted = ensemble.fit(ensemble.forest(numTrees=3, maxDepth=3), design.transform(df, ["monthly_medical_cost"]))
+    path = f"{tmp_path}/model"
+    fitted.write().save(path)
+    with pytest.raises(ValueError):
+        scoring.load_bundle(spark, path)
+    loaded = scoring.load_bundle(spark, path, design)
+    got = scoring.predict(loaded, df, ["x"]).select("x", "prediction").orderBy("x").collect()
+    want = fitted.transform(design.transform(df, ["x"])).select("x", "prediction").orderBy("x").collect()
+    assert [round(r["prediction"], 9) for r in got] == [round(r["prediction"], 9) for r in want]

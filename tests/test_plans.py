@@ -150,3 +150,17 @@ def test_alert_levels(spark):
     out = {r["year"]: r for r in kpis.alert(df).collect()}
     assert [out[y]["alert_level"] for y in (1, 2, 3)] == ["CRITICAL", "NORMAL", "HIGH"]
     assert out[1]["top_driver"] == "b"
+
+
+def test_results_are_ordered(spark, sf):
+    from carespend.operators import aggregates
+    from carespend.queries import raw
+
+    claims = raw(spark, sf)
+    means = [r["avg_cost"] for r in aggregates.mean_by(claims, "site_of_care").collect()]
+    assert means == sorted(means, reverse=True) and len(means) > 1
+    shares = [r["share"] for r in aggregates.share_by(claims, "drug_category").collect()]
+    assert shares == sorted(shares, reverse=True) and len(shares) > 1
+    for df in (aggregates.cost_trend(claims), aggregates.macro_annual(claims)):
+        got = [r["year"] for r in df.collect()]
+        assert got == sorted(got) and len(got) > 1
