@@ -5,7 +5,9 @@ from __spark_entry__ import entry, oracle_sql, queries
 from compare import connect, differences
 from conftest import SF
 
-QUERIES, SQL = queries(), oracle_sql()
+from carespend import oracles
+
+QUERIES, SQL = queries(), oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +24,7 @@ def test_matches_sql(spark, db, name):
 
 
 def test_every_sql_has_a_query():
-    assert set(SQL) <= set(QUERIES)
+    assert set(oracle_sql()) <= set(QUERIES)
 
 
 def test_entry(spark):
