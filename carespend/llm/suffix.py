@@ -20,7 +20,7 @@ LENGTH = 100
 #: Bytes of the grams whose least hash brings equal strings together.
 GRAM = 32
 #: A longer text is read in parts of so many bytes, which overlap.
-PART = 1 << 20
+PART = 1 << 18
 #: Different runs with one print that are sorted in one task at most; more are told apart by longer prints first.
 VARIANTS = 2000
 #: Offsets of the least gram that share a longer print, at each step of telling apart; the last one leaves single windows.
@@ -28,7 +28,7 @@ CELLS = (16, 4, 1)
 #: The most frequent prints, of so many rows at least, are dealt to several tasks each.
 HEAVY_PRINTS, HEAVY_ROWS, SALTS = 1024, 1000, 64
 #: Bytes that are sorted together, about; positions and word ranks must fit in 21 bits.
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 1 << 19
 _RANK_BITS = 21
 _NO_ID = -(1 << 63)
 
