@@ -80,6 +80,12 @@ def line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", *(c for c in found.columns if c.startswith("n_")), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def passage_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated passages of two lines or more, removed from their first to their last line."""
+    found = line_chunks.passage_dedup(table(spark, sf, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed_lines", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_decontaminate": benchmark_decontamination,
         "op8_secrets": secret_spans,
         "op9_line_dedup": line_dedup,
+        "op9_passage_dedup": passage_dedup,
         "op10_best_fit_packing": best_fit_packing,
     }
 
