@@ -1,4 +1,4 @@
-"""Secret scans whose verdict rests on how widely a value is owned."""
+"""Secret scans whose verdict rests on how widely a value is owned and copied."""
 
 from __future__ import annotations
 
@@ -14,11 +14,13 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{12,}", 0, 16),
     ("hex", r"[0-9a-f]{32,}", 0, 32),
 )
-#: A further kind, kept only where one owner alone has the value: long runs with letters of both cases and digits.
+#: A further kind, kept only where one owner alone has the value, in few repositories: long runs with letters of both cases and digits.
 OWNED = ("owned", r"[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24)
 MIXED = r"(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])"
 #: Owners from which on a value is a copied example.
 EXAMPLE_OWNERS = 3
+#: Repositories from which on a value is a copied example, even if one owner has them all.
+EXAMPLE_REPOS = 10
 #: Numbers that are added up one by one; longer arrays are summed by blocks first.
 SUMMED = 128
 
@@ -84,8 +86,8 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo_col: str, owner
 def ownership(found: DataFrame) -> DataFrame:
     """``value, repos, owners``: in how many repositories and under how many owners each candidate value occurs."""
     occurrences = found.select("repo", "owner", F.explode(F.concat("base", "more")).alias("s")).select("repo", "owner", "s.value")
-    by_owner = occurrences.distinct().groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"))
-    return by_owner.groupBy("value").agg(F.sum("repos").alias("repos"), F.count(F.lit(1)).alias("owners"))
+    # structs, as a null repository or owner counts as one
+    return occurrences.groupBy("value").agg(F.countDistinct(F.struct("repo")).alias("repos"), F.countDistinct(F.struct("owner")).alias("owners"))
 
 
 def written(spans_col: Column | str, names: Column) -> Column:
@@ -95,14 +97,21 @@ def written(spans_col: Column | str, names: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", example_owners: int = EXAMPLE_OWNERS
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    repo_col: str = "doc_id",
+    owner_col: str = "source",
+    example_owners: int = EXAMPLE_OWNERS,
+    example_repos: int = EXAMPLE_REPOS,
 ) -> DataFrame:
     """Spans of secrets in each text, and how many of them look live.
 
     Values that match a base pattern are always reported. Hashes of all candidate values are
     counted over the corpus by distinct repository and owner: a value under ``example_owners``
-    owners or more is a copied example, one that a single owner has looks live. Further long
-    values are reported only if they look live.
+    owners or more, or in ``example_repos`` repositories or more, is a copied example; one that
+    a single owner has in fewer repositories looks live. Further long values are reported only
+    if they look live.
 
     Returns a row per row of ``docs``: ``doc_id, n_assign, n_access, n_hex, n_owned, n_live,
     n_example, base, spans``; the last two list ``kind:start:end`` in code points by start.
@@ -115,10 +124,11 @@ def scan(
     some = found.where(F.size("base") + F.size("more") > 0)
     rated = sized(ownership(some), "ownership")
     each = some.select("doc_id", "row", F.explode(F.concat("base", "more")).alias("s")).distinct()
-    judged = each.join(rated, F.col("s.value") == rated["value"]).withColumn("live", F.col("owners") == 1).where("s.kind < %d OR live" % len(BASE))
+    judged = each.join(rated, F.col("s.value") == rated["value"]).withColumn("live", (F.col("owners") == 1) & (F.col("repos") < example_repos)).where("s.kind < %d OR live" % len(BASE))
+    copied = (F.col("owners") >= example_owners) | (F.col("repos") >= example_repos)
     count = lambda c: F.count(F.when(c, 1))
     totals = judged.groupBy("doc_id", "row").agg(
-        F.array_sort(F.collect_list("s")).alias("all"), count(F.col("live")).alias("n_live"), count(F.col("owners") >= example_owners).alias("n_example")
+        F.array_sort(F.collect_list("s")).alias("all"), count(F.col("live")).alias("n_live"), count(copied).alias("n_example")
     )
     kept = some.alias("d").join(totals.alias("t"), F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & (F.col("d.row") == F.col("t.row")), "left")
     kind = lambda c, k: F.size(F.filter(c, lambda s: s["kind"] == k)).cast("long")
