@@ -760,24 +760,22 @@ def ridge_fit(spark, sf):
 
 # --- model training and scoring (row checks only) ------------------------------------
 
-# Fewer trees and rounds than the defaults, so that a check run stays short.
-SMALL = {
-    "rf": {"numTrees": 12, "maxDepth": 6},
-    "gb": {"maxIter": 8, "stepSize": 0.3},
-    "hist_gb": {"maxIter": 6, "maxDepth": 4, "stepSize": 0.3},
-}
-SMALL_QUANTILES = {"numTrees": 12, "maxDepth": 6}
-
 _bundles: dict[tuple[str, str], scoring.Bundle] = {}
+_frames: dict[tuple[str, str], DataFrame] = {}
 
 
 def training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    # Staged, because fitting the cap reads the rows several times.
-    return scoring.training_frame(io.stage(fixture.member_months(raw(spark, sf)), "member-months"), hot_rows=None)
+    """The featured rows, staged once per application and data set."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _frames:
+        # Staged, because fitting the cap reads the rows several times.
+        months = io.stage(fixture.member_months(raw(spark, sf)), "member-months")
+        _frames[key] = io.stage(scoring.training_frame(months, hot_rows=None), "training")
+    return _frames[key]
 
 
 def design_rows(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, encode.Design]:
-    frame = io.stage(training_rows(spark, sf), "training")
+    frame = training_rows(spark, sf)
     train = frame.where(~F.col("holdout"))
     numeric = clean.feature_columns(frame, drop=("record_id", "member_id", "month", TARGET, "holdout"))
     design = encode.Design.fit(train, numeric)
@@ -789,29 +787,28 @@ def bundle(spark: SparkSession, sf: str) -> scoring.Bundle:
     """One trained bundle per application and data set."""
     key = (spark.sparkContext.applicationId, sf)
     if key not in _bundles:
-        frame = training_rows(spark, sf)
-        _bundles[key] = scoring.train_bundle(frame, scoring.default_bases(SMALL), SMALL_QUANTILES)
+        _bundles[key] = scoring.train_bundle(training_rows(spark, sf))
     return _bundles[key]
 
 
 @query
 def forest_predictions(spark, sf):
     train, test, _ = design_rows(spark, sf)
-    model = ensemble.fit(ensemble.forest(**SMALL["rf"]), train)
+    model = ensemble.fit(ensemble.forest(), train)
     return model.transform(test).select("record_id", TARGET, "prediction")
 
 
 @query
 def boosted_predictions(spark, sf):
     train, test, _ = design_rows(spark, sf)
-    model = ensemble.fit(ensemble.boosted(**SMALL["gb"]), train)
+    model = ensemble.fit(ensemble.boosted(), train)
     return model.transform(test).select("record_id", TARGET, "prediction")
 
 
 @query
 def binned_boosted_predictions(spark, sf):
     train, test, _ = design_rows(spark, sf)
-    model = ensemble.fit(ensemble.binned_boosted(**SMALL["hist_gb"]), train)
+    model = ensemble.fit(ensemble.binned_boosted(), train)
     return model.transform(test).select("record_id", TARGET, "prediction")
 
 
@@ -833,7 +830,7 @@ def voting_predictions(spark, sf):
 @query
 def quantile_bands(spark, sf):
     train, test, _ = design_rows(spark, sf)
-    model = QuantileForest(params=SMALL_QUANTILES).fit(train)
+    model = QuantileForest().fit(train)
     return model.transform(test).select("record_id", TARGET, "q10", "q90")
 
 
@@ -845,11 +842,11 @@ def feature_importances(spark, sf):
 
 @query
 def parameter_search(spark, sf):
-    """Settings drawn from narrowed ranges for both learners, with their error over the time folds."""
+    """Settings drawn for both learners, with their error over the time folds."""
     train, _, _ = design_rows(spark, sf)
     learners = {
-        "forest": (ensemble.forest, {**search.FOREST_SPACE, "numTrees": ("int", 3, 8), "maxDepth": ("int", 3, 6)}, 3),
-        "boosted": (ensemble.boosted, {**search.BOOSTED_SPACE, "maxIter": ("int", 3, 8)}, 2),
+        "forest": (ensemble.forest, search.FOREST_SPACE, search.FOREST_DRAWS),
+        "boosted": (ensemble.boosted, search.BOOSTED_SPACE, search.BOOSTED_DRAWS),
     }
     out = None
     for name, (make, space, n) in learners.items():
