@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from carespend.llm.joins import sized
@@ -18,7 +18,10 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     "ip": rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])",
-    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,2}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])",
+    # at least one digit and either eight groups or a double colon; addresses that end in it are left out
+    "ip6": r"(?<![\w:.])(?=[0-9A-Fa-f]{0,4}:)(?=[0-9A-Fa-f:]*[0-9])(?:(?:[0-9A-Fa-f]{1,4}:){7}|(?:[0-9A-Fa-f]{1,4}:){1,6}:(?:[0-9A-Fa-f]{1,4}:){0,5}|::(?:[0-9A-Fa-f]{1,4}:){0,6})[0-9A-Fa-f]{1,4}(?![\w:])",
+    "phone": r"(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{2,4}(?:[ .-][0-9]{2,4}){1,2}(?![0-9])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
+    r"|(?<![0-9.-])[2-9][0-9]{2}(?:-[0-9]{3}-|\.[0-9]{3}\.| [0-9]{3} )[0-9]{4}(?![0-9-]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:-[0-9]{4}){3}|[0-9]{4}(?: [0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])",
     "name": r"(?<!\p{L})(?:" + "|".join(t for group in TITLES.values() for t in group) + r")\.? \p{Lu}\p{L}+(?:[ -]\p{Lu}\p{L}+){0,2}",
@@ -62,13 +65,17 @@ def found_parts(docs: DataFrame) -> DataFrame:
     plain = cut.select("doc_id", "row", F.posexplode_outer("between").alias("at", "part")).select(
         "doc_id", "row", "at", F.lit(-1).alias("word"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("canonical"), "part"
     )
-    canonical = F.when(F.col("kind") == "email", F.lower("m")).when(F.col("kind") == "ip", F.col("m")).otherwise(_digits(F.col("m")))
+    canonical = F.when(F.col("kind") == "email", F.lower("m")).when(F.col("kind") == "ip", F.col("m")).when(F.col("kind") == "ip6", F.lower("m")).otherwise(_digits(F.col("m")))
     single = entity.where("kind <> 'name'").select("doc_id", "row", "at", F.lit(0).alias("word"), "kind", canonical.alias("canonical"), F.col("m").alias("part"))
 
     words = F.regexp_extract_all("m", F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
     named = entity.where("kind = 'name'").withColumn("words", words)
     title = F.element_at("words", 1)
     gender = F.when(title.isin(TITLES["m"]), "m").when(title.isin(TITLES["f"]), "f").otherwise("n")
+    # a person that a text also names with a title that tells the gender has that one after Dr or Prof too
+    person = Window.partitionBy("doc_id", "row", F.lower(F.array_join(F.filter(F.slice("words", 2, 100), lambda w: w.rlike(r"^\p{L}")), " ")))
+    told = F.when(gender != "n", gender)
+    gender = F.when((gender == "n") & (F.min(told).over(person) == F.max(told).over(person)), F.min(told).over(person)).otherwise(gender)
     named = named.select("doc_id", "row", "at", gender.alias("gender"), F.size("words").alias("n"), F.posexplode_outer("words").alias("word", "part"))
     is_word = (F.col("word") > 0) & F.col("part").rlike(r"^\p{L}")
     role = F.when(F.col("word") == F.col("n") - 1, F.lit("family")).otherwise(F.col("gender"))
@@ -79,6 +86,29 @@ def found_parts(docs: DataFrame) -> DataFrame:
     return plain.unionByName(single).unionByName(named)
 
 
+def with_mentions(parts: DataFrame) -> DataFrame:
+    """The parts with what is not an entity cut further: capitalised words that are part of a name found in the same text.
+
+    Such a word is the same entity as in the name, the family name if it is both. The new
+    parts have a negative ``word``, so that they stay before the entity of the same ``at``.
+    """
+    keys = ["doc_id", "row"]
+    found = parts.where(F.col("kind").startswith("name")).select(*keys, "canonical", "kind").distinct()
+    # least: family, m, f, n
+    rank = F.struct(~F.col("kind").endswith("family"), ~F.col("kind").endswith("-m"), "kind")
+    found = found.groupBy(*keys, "canonical").agg(F.min(rank)["kind"].alias("kind"))
+    found = sized(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), F.col("canonical").alias("_name"), F.col("kind").alias("_kind")), "names")
+    plain = parts.where("kind IS NULL AND word = -1")
+    here = (F.col("doc_id").eqNullSafe(F.col("_id"))) & (F.col("row") == F.col("_row"))
+    holders = found.select("_id", "_row").distinct()
+    cut = plain.join(holders, here, "left_semi").select(*keys, "at", F.posexplode(F.regexp_extract_all("part", F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))).alias("word", "part"))
+    cut = cut.join(found, here & (F.lower("part") == F.col("_name")) & F.col("part").rlike(r"^\p{Lu}"), "left")
+    name = F.when(F.col("_kind").isNotNull(), F.col("_name"))
+    cut = cut.select(*keys, "at", (F.col("word") - F.lit(1 << 30)).alias("word"), F.col("_kind").alias("kind"), name.alias("canonical"), "part")
+    rest = parts.where("kind IS NOT NULL OR word <> -1").unionByName(plain.join(holders, here, "left_anti"))
+    return rest.unionByName(cut)
+
+
 def _luhn(digits: Column) -> Column:
     """Sum of the digits by Luhn's rule; a number is valid if it is a multiple of 10."""
     number = F.reverse(F.filter(F.split(digits, ""), lambda d: d != ""))
@@ -108,6 +138,11 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
     ).otherwise(F.when(F.length(x) == 1, 1 + drawn(i) % 9).when(F.length(x) == 2, 10 + drawn(i) % 90).otherwise(100 + drawn(i) % 155))
     ip = F.array_join(F.transform(F.split(canonical, r"\."), lambda x, i: octet(x, i).cast("string")), ".")
 
+    hexed = lambda c, i: F.when(c.rlike("[a-f]"), F.char(97 + drawn(i) % 6)).when(c.rlike("[0-9]"), digit(i)).otherwise(c)
+    ip6 = join(F.transform(chars, hexed))
+    last = F.concat(digit(F.lit(28)), *(F.lower(F.hex((drawn(F.lit(i)) % 16).cast("long"))) for i in (29, 30, 31)))
+    ip6 = F.when(attempt >= WIDENED, F.concat(F.regexp_replace(ip6, "[0-9a-f]{1,4}$", ""), last)).otherwise(ip6)
+
     phone = join(F.transform(chars, lambda c, i: F.when(i == 0, c).when(i == 1, (2 + drawn(i) % 8).cast("string")).otherwise(digit(i))))
     ssn = join(F.transform(chars, lambda c, i: F.when(i == 0, (1 + drawn(i) % 8).cast("string")).otherwise(digit(i))))
     card = join(F.transform(chars, lambda c, i: F.when(i == 0, c).otherwise(digit(i))))
@@ -124,7 +159,7 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
             made = join(F.transform(F.transform(F.sequence(F.lit(1), count), drawn), picked(pool, len(syllables))))
             name = F.when(kind == f"name-{script}-{role}", F.concat(made, F.lit(ending))).otherwise(name)
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).otherwise(name)
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "phone", phone).when(kind == "ssn", ssn).when(kind == "card", card).otherwise(name)
     )
 
 
@@ -164,13 +199,17 @@ def written(kind: Column, part: Column, value: Column) -> Column:
         "",
     )
     proper = F.when(F.upper(part) == part, F.upper(value)).otherwise(F.concat(F.upper(F.substr(value, F.lit(1), F.lit(1))), F.substr(value, F.lit(2))))
-    return F.when(kind == "email", cased).when(kind == "ip", value).when(kind.startswith("name"), proper).otherwise(digits)
+    return F.when(kind == "email", cased).when(kind.isin("ip", "ip6"), value).when(kind.startswith("name"), proper).otherwise(digits)
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Texts in which personal data gave way to surrogates: mail and IP addresses, phone, card and social security numbers, titled names.
 
-    Returns a row per row of ``docs``: ``doc_id, text, n_entities``. The same entity has the
+    Words of a titled name are replaced wherever the same text has them with a capital, with
+    or without a title. Names that a text never gives a title are not found, nor are IPv6
+    addresses that end in a double colon; two writings of an IPv6 address are two entities.
+
+    Returns a row per row of ``docs``: ``doc_id, text, n_entities``, each untitled word of a name being counted. The same entity has the
     same surrogate everywhere, different ones have different ones, all depend on ``key``.
     Numbers keep length, separators and a valid check digit; names keep gender and script.
 
@@ -179,7 +218,7 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     some = F.col("text").rlike(LIKELY) & F.col("text").rlike(ANY)
-    parts = stage(found_parts(own.where(some)), "entity-parts")
+    parts = stage(with_mentions(stage(found_parts(own.where(some)), "entity-parts")), "entity-mentions")
     tokens = parts.where("kind IS NOT NULL")
     table = sized(surrogates(tokens.select("kind", "canonical").distinct(), key), "surrogate-table")
     changed = tokens.join(table, ["kind", "canonical"]).withColumn("part", written(F.col("kind"), F.col("part"), F.col("surrogate")))
@@ -190,6 +229,6 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     copies = own.where(some).groupBy("doc_id", "row").agg(F.count(F.lit(1)).cast("int").alias("copies")).withColumnsRenamed({"doc_id": "id", "row": "r"})
     joined = whole.join(copies, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("r")))
     joined = joined.select("doc_id", "parts", F.explode(F.array_repeat(F.lit(0), F.col("copies"))))
-    matches = F.size(F.array_distinct(F.transform(F.filter("parts", lambda p: p["new"] == 1), lambda p: p["at"])))
+    matches = F.size(F.array_distinct(F.transform(F.filter("parts", lambda p: p["new"] == 1), lambda p: F.struct(p["at"], F.least(p["word"], F.lit(0))))))
     done = joined.select("doc_id", F.array_join(F.transform("parts", lambda p: p["part"]), "").alias("text"), matches.cast("long").alias("n_entities"))
     return done.unionByName(own.where(~some).select("doc_id", "text", F.lit(0).cast("long").alias("n_entities")))
