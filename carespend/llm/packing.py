@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ from carespend.sources.io import stage
 SEQUENCE = 2048
 #: Pieces that one task ranks at most, about.
 RANKED = 1_000
-#: Word forms whose ids a task remembers at most.
+#: Word forms of a generation; a worker remembers two of them, over all its tasks.
 REMEMBERED = 400_000
 #: Word forms that are encoded at a time.
 TOGETHER = 2000
@@ -39,6 +40,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {b"": b""}
+        self.older: dict[bytes, bytes] = {}
         self.before_point = np.zeros(256, bool)
         for low, high in ((48, 57), (65, 90), (97, 122)):
             self.before_point[low : high + 1] = True
@@ -77,13 +79,28 @@ class Encoder:
         for k in opened:
             cut[k] = []
         if len(self.known) > REMEMBERED:
-            self.known = {b"": b""}
-        self.learn(list(set().union(*cut).difference(self.known)))
+            self.known, self.older = {b"": b""}, self.known
+        new = set().union(*cut).difference(self.known)
+        seen = new.intersection(self.older)
+        self.known.update((x, self.older[x]) for x in seen)
+        self.learn(list(new - seen))
         special = set(opened)
         for k, forms in enumerate(cut):
             yield self.whole(raw[offsets[k] : offsets[k + 1]]) if k in special else b"".join(map(self.known.__getitem__, forms))
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    """The encoder that this worker has for a vocabulary; Spark keeps workers, and so what was learned, over tasks."""
+    digest = hashlib.sha256(vocabulary.encode()).hexdigest()
+    if digest not in _ENCODERS:
+        _ENCODERS.clear()  # one vocabulary at a time
+        _ENCODERS[digest] = Encoder(vocabulary)
+    return _ENCODERS[digest]
+
+
 def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The tokens of each text and a closing id 0, cut into pieces of ``size`` tokens.
 
@@ -93,7 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str =
     content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(content.value)
+        encoder = encoder_of(content.value)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for a, b in slices(offsets):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +86,8 @@ def passage_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers  # where the vocabulary files lie; nothing else needs it
+
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 

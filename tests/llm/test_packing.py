@@ -114,3 +114,26 @@ def test_rank_over_buckets(spark):
     got = ranked(cut, {5: 250, 6: 250}, per_task=30).collect()
     for length in (5, 6):
         assert sorted(r["rank"] for r in got if r["length"] == length) == list(range(250))
+
+
+def test_forms_outlive_their_generation(monkeypatch):
+    """Forms that are still used move on to the new generation; the others go with the second change."""
+    import pyarrow as pa
+
+    from carespend.llm import packing
+
+    monkeypatch.setattr(packing, "REMEMBERED", 3)
+    encoder, plain = Encoder(open(VOCABULARY).read()), Encoder(open(VOCABULARY).read())
+    for k in range(12):
+        texts = pa.array([f"always word{k} other{k}", f"word{k} again{k // 2}"])
+        data, offsets = column_bytes(texts)
+        assert list(encoder.encode(data, offsets)) == [plain.whole(t.encode()) for t in texts.to_pylist()]
+        assert b"always" in encoder.known
+    assert b"word0" not in encoder.known and b"word0" not in encoder.older
+
+
+def test_a_worker_keeps_its_encoder():
+    from carespend.llm.packing import encoder_of
+
+    text = open(VOCABULARY).read()
+    assert encoder_of(text) is encoder_of(text)
