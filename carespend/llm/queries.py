@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carespend.llm import chat, decontaminate, exact, line_chunks, minhash, packing, pii, secret_scan, suffix, toxicity
+from carespend.llm import chat, decontaminate, exact, lexical, line_chunks, minhash, packing, pii, secret_scan, suffix, toxicity
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -91,6 +91,10 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_suffix_dedup": suffix_dedup,
@@ -104,6 +108,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_dedup,
         "op9_passage_dedup": passage_dedup,
         "op10_best_fit_packing": best_fit_packing,
+        "op13_lexical_search": lexical_search,
     }
 
 
@@ -202,6 +207,23 @@ FROM r GROUP BY doc_id
 """
 
 
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+LEXICAL_SQL = f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ws FROM documents),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(ws)) AS BIGINT) AS n_words FROM d WHERE len(ws) > 0),
+t AS (SELECT doc_id, w, count(*) AS tf FROM (SELECT doc_id, unnest(ws) AS w FROM d) GROUP BY doc_id, w),
+q AS (SELECT item_id, w, count(*) AS qf FROM (SELECT item_id, unnest({_TERMS}) AS w FROM benchmark) GROUP BY item_id, w),
+v AS (SELECT w, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS weight
+      FROM t, s GROUP BY w, n_docs),
+m AS (SELECT doc_id, 100 - 75 + (75 * len(ws) * n_docs) // n_words AS m FROM d, s),
+r AS (SELECT item_id, doc_id, CAST(sum(qf * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+      FROM q JOIN v USING (w) JOIN t USING (w) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": EXACT_SQL,
@@ -209,4 +231,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontaminate": DECONTAMINATE_SQL,
         "op8_secrets": SECRETS_SQL,
         "op9_line_dedup": LINES_SQL,
+        "op13_lexical_search": LEXICAL_SQL,
     }

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from xxhash import xxh3_64_intdigest
 
 #: Bytes of text that a task handles at a time; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
@@ -14,6 +15,9 @@ SLICE_BYTES = 1 << 20
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Sets word hashes apart from other uses of the same function.
+WORD_SEED = 0x5EED
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _CODES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
@@ -91,3 +95,40 @@ def bytes_except(*ranges: tuple[int, int]) -> np.ndarray:
 #: Words of documents and benchmark items, and words between white space, as fixed by the query contracts.
 ALNUM_WORD = bytes_except((0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F))
 SPACED_WORD = bytes_except((0x20, 0x20), (0x09, 0x0D))
+
+
+def distinct_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """The number of each word among the distinct ones, and these as bytes; words must not overlap."""
+    marks = np.zeros(len(data) + 1, np.int8)
+    marks[starts] += 1
+    marks[ends] -= 1
+    inside = np.cumsum(marks[:-1], dtype=np.int8).view(bool)
+    bounds = np.zeros(len(starts) + 1, np.int64)
+    np.cumsum(ends - starts, out=bounds[1:])
+    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(data[inside])])
+    coded = words.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words, each distinct one hashed as bytes."""
+    codes, distinct = distinct_words(data, starts, ends)
+    return np.array([xxh3_64_intdigest(w, WORD_SEED) for w in distinct.to_pylist()], np.uint64)[codes]
+
+
+def rolled(hashes: np.ndarray, n: int, times: int) -> np.ndarray:
+    """Hashes of the ``n`` neighbours from each place on, by doubling; ``times`` is an odd number that sets apart families of hashes."""
+    odd = np.uint64(times)
+    have, width = {1: hashes}, 1
+    while 2 * width <= n:
+        last = have[width]
+        have[2 * width] = mixed(last[: max(0, len(last) - width)] * odd + last[width:])
+        width *= 2
+    out, covered = have[width], width
+    for size in sorted(have, reverse=True):
+        if covered + size <= n:
+            rest = have[size][covered:]
+            m = max(0, min(len(out), len(rest)))
+            out = mixed(out[:m] * odd + rest[:m])
+            covered += size
+    return out
