@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carespend.llm import chat, decontaminate, exact, lexical, line_chunks, minhash, packing, pii, secret_scan, suffix, toxicity
+from carespend.llm import chat, decontaminate, exact, lexical, line_chunks, minhash, packing, pii, secret_scan, substring, suffix, toxicity
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -91,6 +91,12 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = substring.substring_dedup(table(spark, sf, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -108,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": line_dedup,
         "op9_passage_dedup": passage_dedup,
         "op10_best_fit_packing": best_fit_packing,
+        "op11_substring_dedup": substring_dedup,
         "op13_lexical_search": lexical_search,
     }
 

@@ -116,19 +116,26 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return np.array([xxh3_64_intdigest(w, WORD_SEED) for w in distinct.to_pylist()], np.uint64)[codes]
 
 
-def rolled(hashes: np.ndarray, n: int, times: int) -> np.ndarray:
-    """Hashes of the ``n`` neighbours from each place on, by doubling; ``times`` is an odd number that sets apart families of hashes."""
-    odd = np.uint64(times)
-    have, width = {1: hashes}, 1
-    while 2 * width <= n:
-        last = have[width]
-        have[2 * width] = mixed(last[: max(0, len(last) - width)] * odd + last[width:])
-        width *= 2
-    out, covered = have[width], width
-    for size in sorted(have, reverse=True):
-        if covered + size <= n:
-            rest = have[size][covered:]
-            m = max(0, min(len(out), len(rest)))
-            out = mixed(out[:m] * odd + rest[:m])
-            covered += size
-    return out
+class WordRuns:
+    """Hashes of runs of words, from hashes of the 1, 2, 4, ... words from each place on.
+
+    ``times`` is an odd number; runs are comparable within one such number only.
+    """
+
+    def __init__(self, hashes: np.ndarray, longest: int, times: int):
+        self.times = np.uint64(times)
+        self.levels = [hashes]
+        while 2 << (len(self.levels) - 1) <= longest:
+            last, width = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(mixed(last[: max(0, len(last) - width)] * self.times + last[width:]))
+
+    def of(self, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Two runs of a power of two, which may overlap, make up any run."""
+        out = np.zeros(len(starts), np.uint64)
+        lengths = np.broadcast_to(lengths, starts.shape)
+        level = np.frexp(lengths)[1] - 1
+        for k in np.unique(level):
+            own = level == k
+            held, a, n = self.levels[k], starts[own], lengths[own]
+            out[own] = mixed(held[a] * self.times + held[a + n - (1 << int(k))]) + n.astype(np.uint64)
+        return mixed(out)
