@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from carespend.llm import chat, decontaminate, exact, lexical, line_chunks, minhash, packing, pii, secret_scan, substring, suffix, toxicity
+from carespend.llm import chat, decontaminate, exact, lexical, line_chunks, minhash, packing, pii, secret_scan, spelling, substring, suffix, toxicity
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -97,6 +97,10 @@ def substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf, "documents"), slips=31)
+
+
 def lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -115,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_passage_dedup": passage_dedup,
         "op10_best_fit_packing": best_fit_packing,
         "op11_substring_dedup": substring_dedup,
+        "op12_spelling_variants": spelling_variants,
         "op13_lexical_search": lexical_search,
     }
 
@@ -214,6 +219,28 @@ FROM r GROUP BY doc_id
 """
 
 
+# A word without its letter at ``i``: two words with the same rest and place differ in that letter, and
+# a rest that is a word itself has one letter less.
+SPELLING_SQL = f"""
+WITH RECURSIVE u AS (SELECT doc_id, w, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{UPPER}', '{UPPER.lower()}'), '[a-z\u00C0-\u00FF]+')) AS w FROM documents)
+      WHERE length(w) >= 7 GROUP BY doc_id, w),
+b AS (SELECT doc_id, w, n, flatten(list_transform(string_split(doc_id || ':' || w, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)] ELSE [195, ord(c) - 64] END)) AS bs FROM u),
+c AS (SELECT w, n, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bs), lambda a, x:
+        list_reduce([xor(a, CAST(x AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0], lambda s, z: xor(s >> 1, CAST(3988292384 AS BIGINT) * (s & 1)))), CAST(4294967295 AS BIGINT)) AS h FROM b),
+s AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, n FROM c),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM s WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n FROM d a JOIN d b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+      UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+      UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+k AS (SELECT word, count(*) AS n_near, max(n) AS best_n, min(struct_pack(a := -n, b := other)).b AS best FROM p GROUP BY word),
+f AS (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * v.n THEN best END AS form, CASE WHEN best_n >= 10 * v.n THEN best_n END AS form_n
+      FROM v LEFT JOIN k USING (word)),
+r AS (SELECT word, word AS root, form AS next FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON r.next = f.word)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.next IS NULL
+"""
+
 _TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 
 LEXICAL_SQL = f"""
@@ -238,5 +265,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_decontaminate": DECONTAMINATE_SQL,
         "op8_secrets": SECRETS_SQL,
         "op9_line_dedup": LINES_SQL,
+        "op12_spelling_variants": SPELLING_SQL,
         "op13_lexical_search": LEXICAL_SQL,
     }

@@ -74,8 +74,12 @@ class SpanHash:
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Maximal runs of bytes for which ``inside`` holds, none across two texts: text number, start and end of each."""
-    held = inside[data]
-    edge = np.zeros(len(data) + 1, bool)
+    return mask_spans(inside[data], offsets)
+
+
+def mask_spans(held: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a mark on each byte."""
+    edge = np.zeros(len(held) + 1, bool)
     edge[offsets] = True
     begins, ends = held.copy(), held.copy()
     begins[1:] &= ~held[:-1] | edge[1:-1]
