@@ -1,4 +1,4 @@
-"""Gradient boosting of leaf-wise trees over binned features, for many fits at once."""
+"""Boosted and bagged leaf-wise trees over binned features, for many fits at once."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,14 +30,22 @@ BITS = 34
 #: How far above the first gradients later ones may lie.
 HEADROOM = 8
 #: Rounds after which the scores of all rows are written; later rounds start from there.
-STAGED = 20
+STAGED = 10
+#: Trees that are grown together.
+TOGETHER = 64
+#: Rows that a task counts at least, where there are so many.
+TASK_ROWS = 1 << 12
 #: Tasks that add up the histograms of a node.
 SLOTS = 16
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``quantile``: the quantile to predict, by pinball loss; without one it is the mean, by squared loss."""
+    """``quantile``: the quantile to predict, by pinball loss; without one it is the mean, by squared loss.
+
+    ``subsample`` is the share of rows that a round sees; with ``bootstrap`` it sees each row as
+    often as a draw with replacement would, once on average.
+    """
 
     rounds: int = 300
     rate: float = 0.05
@@ -44,6 +54,7 @@ class Settings:
     least: int = 8
     subsample: float = 1.0
     quantile: float | None = None
+    bootstrap: bool = False
     seed: int = 42
 
     @property
@@ -68,17 +79,16 @@ class Fit:
         return used
 
 
-def feature_cuts(df: DataFrame, features: str = "features", bins: int = BINS) -> list[np.ndarray]:
-    """Up to ``bins - 1`` values of each feature between its bins, at equal shares of the rows; one pass."""
+def feature_cuts(df: DataFrame, size: int, features: str = "features", bins: int = BINS) -> list[np.ndarray]:
+    """Up to ``bins - 1`` values of each of ``size`` features between its bins, at equal shares of the rows; one pass."""
     values = df.select(vector_to_array(features).alias("v"))
-    size = values.select(F.max(F.size("v"))).first()[0] or 0
     shares = "array(" + ", ".join(f"{k / bins}D" for k in range(1, bins)) + ")"
     row = values.agg(*[F.expr(f"percentile_approx(v[{f}], {shares}, {ACCURACY}) AS c{f}") for f in range(size)]).first() if size else []
     return [np.unique(np.array(c or [], np.float64)) for c in row]
 
 
-def blocks(df: DataFrame, layout: Layout, n_fits: int, label: str, features: str, part: str | None) -> DataFrame:
-    """Rows of ``df`` packed: ``n, y, part, row, bins, scores``, with a score per fit and row, 0 at first."""
+def blocks(df: DataFrame, layout: Layout, label: str, features: str, part: str | None) -> DataFrame:
+    """Rows of ``df`` packed: ``n, y, part, row, bins, scores``; the scores, one per fit and row, are left out while they are all 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +96,7 @@ def blocks(df: DataFrame, layout: Layout, n_fits: int, label: str, features: str
                 cut = batch.slice(a, BLOCK)
                 values = cut.column(0).flatten().to_numpy().reshape(len(cut), -1)
                 y, own, row = (cut.column(k).to_numpy() for k in (1, 2, 3))
-                content = [y.astype("<f8"), own.astype("<i4"), row.astype("<i8"), layout.bins(values), np.zeros((n_fits, len(cut)))]
+                content = [y.astype("<f8"), own.astype("<i4"), row.astype("<i8"), layout.bins(values), np.zeros(0)]
                 yield pa.RecordBatch.from_arrays([pa.array([len(cut)], pa.int32()), *(pa.array([x.tobytes()]) for x in content)], _BLOCK_NAMES)
 
     values = vector_to_array(features)
@@ -117,12 +127,16 @@ def read_blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
             yield Block(y, part, row, bins.reshape(n, -1), scores.reshape(-1, n))
 
 
-def drawn(row: np.ndarray, share: float, seed: int, turn: int) -> np.ndarray:
-    """A share of rows, another one each round, by a hash of what they hold."""
+def drawn(row: np.ndarray, seed: int, turn: int) -> np.ndarray:
+    """A number from 0 to 1 for each row, another one each round, by a hash of what the row holds."""
     x = row.view(np.uint64) ^ np.uint64((seed * 0x9E3779B97F4A7C15 + turn * 0xD1B54A32D192ED03) % (1 << 64))
     for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(times)
-    return (x ^ (x >> np.uint64(31))) < np.uint64(min(int(share * 2.0**64), 2**64 - 1))
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**53
+
+
+#: The chance that a row is drawn at most 0, 1, 2, ... times, once on average.
+_DRAWS = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(18)])
 
 
 @dataclass
@@ -135,15 +149,17 @@ class State:
     trees: tuple[Tree, ...] = ()
 
     def scores(self, block: Block, k: int) -> np.ndarray:
-        out = block.scores[k].copy()
+        out = block.scores[k].copy() if len(block.scores) else np.zeros(len(block.y))
         for tree in self.trees:
             out += tree.predict(block.bins)
         return out
 
     def used(self, block: Block, turn: int) -> np.ndarray:
-        used = self.fit.uses(block.part)
-        s = self.fit.settings
-        return used & drawn(block.row, s.subsample, s.seed, turn) if s.subsample < 1 else used
+        """Numbers of the rows that a round sees, one that is drawn several times as often."""
+        rows, s = np.flatnonzero(self.fit.uses(block.part)), self.fit.settings
+        if s.bootstrap:
+            return np.repeat(rows, np.searchsorted(_DRAWS, drawn(block.row[rows], s.seed, turn), "right"))
+        return rows[drawn(block.row[rows], s.seed, turn) < s.subsample] if s.subsample < 1 else rows
 
     def gradients(self, block: Block, k: int) -> np.ndarray:
         """How the loss changes with the score, as whole numbers."""
@@ -155,58 +171,70 @@ class State:
 
 @dataclass
 class Boosted:
-    """A fitted model: a base value and the trees that are added to it."""
+    """A fitted model: a base value and the trees that are added to it, each with the weight ``share``."""
 
     base: float
     trees: list[Tree]
     cuts: list[np.ndarray]
     features: str = "features"
     predictionCol: str = "prediction"
+    share: float = 1.0
 
     def copy(self, names: dict | None = None) -> Boosted:
         return replace(self, predictionCol=(names or {}).get(self.predictionCol, self.predictionCol))
 
     def transform(self, df: DataFrame) -> DataFrame:
-        layout, trees, base = Layout(self.cuts), self.trees, self.base
+        layout, trees, base, share = Layout(self.cuts), self.trees, self.base, self.share
 
         @F.pandas_udf("double")
         def predict(values: pd.Series) -> pd.Series:
             if not len(values):
                 return pd.Series([], dtype="float64")
             bins = layout.bins(np.stack(values.to_numpy()))
-            return pd.Series(base + sum((t.predict(bins) for t in trees), np.zeros(len(bins))))
+            return pd.Series(base + share * sum((t.predict(bins) for t in trees), np.zeros(len(bins))))
 
         return df.withColumn(self.predictionCol, predict(vector_to_array(self.features)))
 
+    def leaves(self, df: DataFrame, name: str = "leaves") -> DataFrame:
+        """Add the node of each tree that a row ends in."""
+        layout, trees = Layout(self.cuts), self.trees
+
+        @F.pandas_udf("array<int>")
+        def find(values: pd.Series) -> pd.Series:
+            if not len(values):
+                return pd.Series([], dtype=object)
+            bins = layout.bins(np.stack(values.to_numpy()))
+            return pd.Series(list(np.stack([t.leaves(bins) for t in trees], axis=1)))
+
+        return df.withColumn(name, find(vector_to_array(self.features)))
+
     def save(self, spark: SparkSession, path: str) -> None:
         """Write the model below ``path``, replacing what is there."""
-        rows = [
-            (k, n, *(x.item() for x in node))
-            for k, t in enumerate(self.trees)
-            for n, node in enumerate(zip(t.feature, t.bin, t.left, t.right, t.value, strict=True))
-        ]
-        schema = "tree int, node int, feature int, bin int, left int, right int, value double"
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
+        nodes = pd.concat([pd.DataFrame({"tree": k, "node": np.arange(len(t.feature)), **vars(t)}) for k, t in enumerate(self.trees)])
+        spark.createDataFrame(nodes).coalesce(1).write.mode("overwrite").parquet(f"{path}/trees")
         cuts = [(f, c.tolist()) for f, c in enumerate(self.cuts)]
         spark.createDataFrame(cuts, "feature int, cuts array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/cuts")
-        write_meta(spark, f"{path}/boosted", {"base": self.base, "features": self.features})
+        write_meta(spark, f"{path}/ensemble", {"base": self.base, "features": self.features, "share": self.share})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Boosted:
-        meta = read_meta(spark, f"{path}/boosted")
-        # Both tables are bounded by the settings: rounds and leaves, features and bins.
+        meta = read_meta(spark, f"{path}/ensemble")
+        # Both tables are bounded by the settings: trees and leaves, features and bins.
         table = spark.read.parquet(f"{path}/trees").toPandas().sort_values(["tree", "node"])
         cuts = {r["feature"]: np.array(r["cuts"], np.float64) for r in spark.read.parquet(f"{path}/cuts").collect()}
-        kinds = {"feature": np.int32, "bin": np.int32, "left": np.int32, "right": np.int32, "value": np.float64}
+        kinds = {"feature": np.int32, "bin": np.int32, "left": np.int32, "right": np.int32, "value": np.float64, "gain": np.float64}
         trees = [Tree(**{c: t[c].to_numpy(kind) for c, kind in kinds.items()}) for _, t in table.groupby("tree")]
-        return cls(meta["base"], trees, [cuts[f] for f in range(len(cuts))], meta["features"])
+        return cls(meta["base"], trees, [cuts[f] for f in range(len(cuts))], meta["features"], share=meta["share"])
 
-    def importances(self) -> np.ndarray:
-        """How often each feature splits, as shares."""
-        used = np.zeros(len(self.cuts))
+    @property
+    def featureImportances(self) -> DenseVector:
+        """Each feature's share of a tree's gains, as a mean over the trees that split at all."""
+        total, n = np.zeros(len(self.cuts)), 0
         for t in self.trees:
-            np.add.at(used, t.feature[t.feature >= 0], 1.0)
-        return used / max(1.0, used.sum())
+            gains = np.bincount(t.feature[t.feature >= 0], t.gain[t.feature >= 0], len(self.cuts))
+            if gains.sum() > 0:
+                total, n = total + gains / gains.sum(), n + 1
+        return DenseVector(total / max(1, n))
 
 
 class Rounds:
@@ -223,13 +251,22 @@ class Rounds:
 
     def __init__(self, df: DataFrame, fits: list[Fit], label: str, features: str, part: str | None, gathered: int = GATHERED):
         self.fits, self.gathered = fits, gathered
-        self.layout = Layout(feature_cuts(df, features))
-        self.frame = stage(blocks(df, self.layout, len(fits), label, features, part), "boosting")
+        self.frame: DataFrame | None = None
+        n, size = df.select(F.count(F.lit(1)), F.max(F.size(vector_to_array(features)))).first()
+        self.layout = Layout(feature_cuts(df, size or 0, features))
+        tasks = max(1, -(-n // TASK_ROWS))
+        self.hold(blocks(df.coalesce(tasks), self.layout, label, features, part))
         self.states = [State(f) for f in fits]
         self.trees: list[list[Tree]] = [[] for _ in fits]
         self.rows = [0] * len(fits)
         self.turn = 0
 
+    def hold(self, frame: DataFrame) -> None:
+        """Write a frame, and keep it in memory for the requests to come."""
+        old, self.frame = self.frame, stage(frame, "boosting").persist(StorageLevel.MEMORY_AND_DISK)
+        if old is not None:
+            old.unpersist()
+
     def start(self) -> None:
         """Base values and scales."""
         fits = self.fits
@@ -245,8 +282,7 @@ class Rounds:
         found = {r["fit"]: r for r in sums.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).collect()}
         if len(found) < len(fits):
             raise ValueError("a fit has no rows")
-        leaf = Tree(np.array([-1]), np.array([0]), np.array([-1]), np.array([-1]), np.array([0.0]))
-        quantiles = self.leaf_quantiles([leaf] * len(fits), every=True) if any(f.settings.quantile is not None for f in fits) else {}
+        quantiles = self.leaf_quantiles([Tree.leaf()] * len(fits), every=True) if any(f.settings.quantile is not None for f in fits) else {}
         for k, (f, state) in enumerate(zip(fits, self.states, strict=True)):
             r, q = found[k], f.settings.quantile
             self.rows[k] = r["n"]
@@ -258,12 +294,17 @@ class Rounds:
     def run(self) -> list[Boosted]:
         self.start()
         for self.turn in range(max(f.settings.rounds for f in self.fits)):
-            grown = self.grow()
+            going = [k for k, f in enumerate(self.fits) if self.turn < f.settings.rounds]
+            grown: dict[int, Tree] = {}
+            for first in range(0, len(going), TOGETHER):
+                grown |= self.grow(going[first : first + TOGETHER])
             for k, tree in grown.items():
                 self.trees[k].append(tree)
-                self.states[k].trees += (tree,)
-            if (self.turn + 1) % STAGED == 0:
+                if self.turn + 1 < self.fits[k].settings.rounds:
+                    self.states[k].trees += (tree,)
+            if (self.turn + 1) % STAGED == 0 and any(s.trees for s in self.states):
                 self.write_scores()
+        self.frame.unpersist()
         return [Boosted(s.base, t, self.layout.cuts) for s, t in zip(self.states, self.trees, strict=True)]
 
     def write_scores(self) -> None:
@@ -274,13 +315,12 @@ class Rounds:
                 new = [np.stack([s.scores(block, k) for k, s in enumerate(states)]).tobytes() for block in read_blocks([batch])]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(new, pa.binary())], _BLOCK_NAMES)
 
-        self.frame = stage(self.frame.mapInArrow(run, _BLOCK), "boosting")
+        self.hold(self.frame.mapInArrow(run, _BLOCK))
         for s in self.states:
             s.trees = ()
 
-    def grow(self) -> dict[int, Tree]:
-        """The next tree of each fit that is not complete, with its leaf values."""
-        going = [k for k, f in enumerate(self.fits) if self.turn < f.settings.rounds]
+    def grow(self, going: list[int]) -> dict[int, Tree]:
+        """The next tree of each of some fits, with its leaf values."""
         roots = {k: Node(self.rows[k], 0) for k in going}
         above: dict[int, tuple[Node, Node]] = {}  # of a node its parent and its sibling
         held: dict[int, Histogram] = {}
@@ -341,7 +381,7 @@ class Rounds:
             for block in read_blocks(batches):
                 slot = int(block.row[0]) % SLOTS if len(block.row) else 0
                 for k, tree in trees.items():
-                    used = np.flatnonzero(states[k].used(block, turn))
+                    used = states[k].used(block, turn)
                     at = tree.leaves(block.bins[used])
                     g = states[k].gradients(block, k)[used]
                     for leaf in np.unique(at).tolist():
@@ -402,6 +442,11 @@ class Rounds:
                 node.known = True
             else:
                 node.split_by(layout, h, self.fits[key[0]].settings.least)
+        for key, node in nodes.items():  # a parent's histogram has served when its children have theirs or need none
+            if id(node) in above:
+                parent, growth = above[id(node)][0], self.fits[key[0]].settings.growth
+                if all(id(c) in held or c.known or c.stays(growth) for c in parent.children):
+                    held.pop(id(parent), None)
 
     def leaf_quantiles(self, trees: list[Tree | None], every: bool = False) -> dict[tuple[int, int], float]:
         """Of each fit with a tree and a quantile, the residuals' quantile in each leaf."""
@@ -414,7 +459,7 @@ class Rounds:
                     state = states[k]
                     if tree is None or state.fit.settings.quantile is None:
                         continue
-                    used = np.flatnonzero(state.fit.uses(block.part) if every else state.used(block, turn))
+                    used = np.flatnonzero(state.fit.uses(block.part)) if every else state.used(block, turn)
                     residual = block.y[used] - state.base - state.scores(block, k)[used]
                     leaf = tree.leaves(block.bins[used]).astype(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(used), k, np.int64)), pa.array(leaf), pa.array(residual)], ["fit", "leaf", "r"])
@@ -447,8 +492,43 @@ class Boosting:
     label: str = TARGET
     features: str = "features"
 
+    def fits(self, without: int | None = None, below: int | None = None) -> list[Fit]:
+        return [Fit(self.settings, without, below)]
+
+    def model(self, parts: list[Boosted]) -> Boosted:
+        return parts[0]
+
+    def fit(self, df: DataFrame) -> Boosted:
+        return fit_learners(df, [(self, None, None)], self.label, self.features)[0]
+
+
+@dataclass(frozen=True)
+class Forest:
+    """Trees of rows drawn with replacement, over all features at each split; the prediction is their mean."""
+
+    trees: int = 300
+    depth: int = 13
+    least: int = 3
+    seed: int = 42
+    label: str = TARGET
+    features: str = "features"
+
+    def fits(self, without: int | None = None, below: int | None = None) -> list[Fit]:
+        own = Settings(1, 1.0, None, self.depth, self.least, bootstrap=True)
+        return [Fit(replace(own, seed=self.seed + k), without, below) for k in range(self.trees)]
+
+    def model(self, parts: list[Boosted]) -> Boosted:
+        return replace(parts[0], trees=[t for p in parts for t in p.trees], share=1 / len(parts))
+
     def fit(self, df: DataFrame) -> Boosted:
-        return fit_together(df, [Fit(self.settings)], self.label, self.features)[0]
+        return fit_learners(df, [(self, None, None)], self.label, self.features)[0]
+
+
+def fit_learners(df: DataFrame, asked: list[tuple[Boosting | Forest, int | None, int | None]], label: str = TARGET, features: str = "features", part: str | None = None) -> list[Boosted]:
+    """A model for each learner, without one part or below one where that is asked for; all are grown together."""
+    each = [learner.fits(without, below) for learner, without, below in asked]
+    fitted = iter(fit_together(df, [f for fits in each for f in fits], label, features, part))
+    return [learner.model([next(fitted) for _ in fits]) for (learner, _, _), fits in zip(asked, each, strict=True)]
 
 
 @dataclass

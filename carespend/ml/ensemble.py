@@ -8,62 +8,38 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import StorageLevel
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from carespend.ml.boosting import Boosting, Forest, Settings, fit_learners
 from carespend.session import ensure_checkpoint_dir
 from carespend.sources.schema import TARGET
 
 SEED = 42
 
 
-def forest(**params: object):
+def forest(**params: object) -> Forest:
     """Random forest over all features at each split; 300 trees of depth 13 unless told otherwise."""
-    options = {
-        "numTrees": 300,
-        "maxDepth": 13,
-        "minInstancesPerNode": 3,
-        "featureSubsetStrategy": "all",
-        "maxMemoryInMB": 1024,
-        "seed": SEED,
-        "labelCol": TARGET,
-    }
-    return RandomForestRegressor(**{**options, **params})
-
-
-def boosted(**params: object):
+    return Forest(**{"seed": SEED, **params})
+
+
+def boosted(**params: object) -> Boosting:
     """Gradient boosting; 300 rounds of depth 4 unless told otherwise."""
-    options = {
-        "maxIter": 300,
-        "maxDepth": 4,
-        "stepSize": 0.05,
-        "minInstancesPerNode": 4,
-        "subsamplingRate": 0.85,
-        "maxMemoryInMB": 1024,
-        "checkpointInterval": 10,
-        "seed": SEED,
-        "labelCol": TARGET,
-    }
-    return GBTRegressor(**{**options, **params})
-
-
-def binned_boosted(**params: object):
-    """Boosting over fine feature bins; depth 5 stands for 31 leaves."""
-    options = {
-        "maxDepth": 5,
-        "minInstancesPerNode": 8,
-        "subsamplingRate": 1.0,
-        "maxBins": 255,
-    }
-    return boosted(**{**options, **params})
+    options = {"rounds": 300, "rate": 0.05, "leaves": None, "depth": 4, "least": 4, "subsample": 0.85, "seed": SEED}
+    return Boosting(Settings(**{**options, **params}))
+
+
+def binned_boosted(**params: object) -> Boosting:
+    """Leaf-wise gradient boosting; 300 rounds of up to 31 leaves of 8 rows unless told otherwise."""
+    options = {"rounds": 300, "rate": 0.05, "leaves": 31, "depth": None, "least": 8, "seed": SEED}
+    return Boosting(Settings(**{**options, **params}))
 
 
 def fit(estimator, df: DataFrame):
-    """Fit with the rows kept while the fit reads them repeatedly."""
-    ensure_checkpoint_dir(df.sparkSession)
-    if df.is_cached:
+    """Fit a learner; one of Spark's with the rows kept while the fit reads them repeatedly."""
+    if hasattr(estimator, "fits") or df.is_cached:
         return estimator.fit(df)
+    ensure_checkpoint_dir(df.sparkSession)
     kept = df.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return estimator.fit(kept)
@@ -166,23 +142,28 @@ class Stacked:
     def with_folds(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_fold", F.pmod(F.xxhash64(*self.fold_by), F.lit(self.cv)).cast("int"))
 
-    def out_of_fold(self, df: DataFrame, pool: ThreadPoolExecutor) -> DataFrame:
-        """Each row once, predicted by base learners that did not see its fold."""
-
-        def fit(task):
-            fold, est = task
-            return est.fit(df.where(F.col("_fold") != fold))
+    def fit_folds(self, df: DataFrame, folds: list[int | None], pool: ThreadPoolExecutor) -> dict[tuple[str, int | None], object]:
+        """Each base learner fitted without each of the folds (None: on all rows). The library's own learners are grown together."""
+        own = [(m, est, fold) for m, est in self.bases.items() if hasattr(est, "fits") for fold in folds]
+        rest = [(m, est, fold) for m, est in self.bases.items() if not hasattr(est, "fits") for fold in folds]
+        fitted = fit_learners(df, [(est, fold, None) for _, est, fold in own], self.label, part="_fold") if own else []
+        found = {(m, fold): model for (m, _, fold), model in zip(own, fitted, strict=True)}
+        others = pool.map(lambda t: t[1].fit(df if t[2] is None else df.where(F.col("_fold") != t[2])), rest)
+        return found | {(m, fold): model for (m, _, fold), model in zip(rest, others, strict=True)}
 
-        tasks = [(fold, est) for fold in range(self.cv) for est in self.bases.values()]
-        models = list(pool.map(fit, tasks))
+    def predicted(self, df: DataFrame, models: Mapping[tuple[str, int | None], object]) -> DataFrame:
+        """Each row once, predicted by base learners that did not see its fold."""
         parts = None
         for fold in range(self.cv):
             part = df.where(F.col("_fold") == fold)
-            for i, m in enumerate(self.bases):
-                part = _predict(models[fold * len(self.bases) + i], part, f"p_{m}")
+            for m in self.bases:
+                part = _predict(models[m, fold], part, f"p_{m}")
             parts = part if parts is None else parts.unionByName(part)
         return parts
 
+    def out_of_fold(self, df: DataFrame, pool: ThreadPoolExecutor) -> DataFrame:
+        return self.predicted(df, self.fit_folds(df, list(range(self.cv)), pool))
+
     def fit(self, df: DataFrame) -> StackedModel:
         ensure_checkpoint_dir(df.sparkSession)
         folded = self.with_folds(df)
@@ -190,9 +171,8 @@ class Stacked:
             folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             with ThreadPoolExecutor(self.parallelism) as pool:
-                oof = self.out_of_fold(folded, pool)
-                meta = fit_ridge(oof, [f"p_{m}" for m in self.bases], self.label, self.alpha)
-                fitted = list(pool.map(lambda est: est.fit(folded), self.bases.values()))
+                models = self.fit_folds(folded, [*range(self.cv), None], pool)
+            meta = fit_ridge(self.predicted(folded, models), [f"p_{m}" for m in self.bases], self.label, self.alpha)
         finally:
             folded.unpersist()
-        return StackedModel(dict(zip(self.bases, fitted)), meta)
+        return StackedModel({m: models[m, None] for m in self.bases}, meta)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.regression import GBTRegressionModel, RandomForestRegressionModel
 from pyspark.ml.util import DefaultParamsReader
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from carespend.functions.clean import cap_at, drop_null, feature_columns, fix_categories, impute_defaults
 from carespend.functions.features import clinical_features, date_features, monthly_prior, period
+from carespend.ml.boosting import Band, Boosted, QuantileBoosting
 from carespend.ml.encode import Design, OneHotDropFirst, Scale
 from carespend.ml.ensemble import Ridge, Stacked, StackedModel, binned_boosted, boosted, forest
 from carespend.ml.evaluate import evaluate, importances
@@ -25,6 +25,7 @@ from carespend.plans.forecast import adjust_period
 from carespend.sources.io import read_meta, spread, stage, write_meta
 from carespend.sources.schema import IDS, TARGET
 
+#: Spark's own models, which a bundle can hold as well.
 _KINDS = {"forest": RandomForestRegressionModel, "boosted": GBTRegressionModel}
 
 
@@ -48,7 +49,7 @@ class Bundle:
 
     design: Design
     model: StackedModel
-    quantiles: QuantileForestModel | None = None
+    quantiles: Band | QuantileForestModel | None = None
     log_target: bool = False
     #: The first month of the training rows, from which months are counted, and their greatest cost.
     first_month: str | None = None
@@ -70,14 +71,14 @@ def default_bases(small: dict | None = None) -> dict[str, object]:
 def train_bundle(
     frame: DataFrame,
     bases: dict[str, object] | None = None,
-    quantile_params: dict | None = None,
+    quantiles: QuantileBoosting | QuantileForest | None = None,
     cv: int = 3,
     log_target: bool = False,
     parallelism: int = 4,
 ) -> Bundle:
-    """Fit encoder, scaler, stack and quantile forest on the rows before the holdout; measure on the holdout.
+    """Fit encoder, scaler, stack and quantiles on the rows before the holdout; measure on the holdout.
 
-    Rows without a cost or a month take part in neither.
+    ``quantiles`` is the learner of the band: boosted quantiles unless told otherwise. Rows without a cost or a month take part in neither.
     """
     spark = frame.sparkSession
     numeric = feature_columns(frame, drop=(*IDS, TARGET, "Unnamed: 0", "holdout"))
@@ -91,15 +92,15 @@ def train_bundle(
         fit_rows = fit_rows.withColumn(TARGET, F.log1p(TARGET))
     fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
     stack = Stacked(bases or default_bases(), cv=cv, parallelism=parallelism).fit(fit_rows)
-    quantiles = QuantileForest(params=quantile_params).fit(fit_rows)
+    bands = (quantiles or QuantileBoosting()).fit(fit_rows)
     known = source.agg(F.min("month").cast("string") if "month" in source.columns else F.lit(None), F.max(TARGET)).first()
-    bundle = Bundle(design, stack, quantiles, log_target, known[0], known[1])
+    bundle = Bundle(design, stack, bands, log_target, known[0], known[1])
     test = design.transform(source.where("holdout"), keep)
-    scored = invert_log(quantiles.transform(stack.transform(test)), log_target)
+    scored = invert_log(bands.transform(stack.transform(test)), log_target)
     row = evaluate(scored, TARGET, "prediction", "q10", "q90").first()
     bundle.metrics = {k: row[k] for k in ("n", "r2", "rmse", "mae", "mape", "coverage")}
     for model in stack.bases.values():
-        if isinstance(model, RandomForestRegressionModel):
+        if isinstance(model, RandomForestRegressionModel) or getattr(model, "share", 1) < 1:
             top = importances(model, design.names, spark).limit(15).collect()
             bundle.top_features = [(r["feature"], r["importance"]) for r in top]
             break
@@ -208,13 +209,24 @@ def forecast_latest(bundle: Bundle, claims: DataFrame) -> DataFrame:
 
 
 def _kind(model) -> str:
-    return next(k for k, cls in _KINDS.items() if isinstance(model, cls))
+    return "trees" if isinstance(model, Boosted) else next(k for k, cls in _KINDS.items() if isinstance(model, cls))
+
+
+def _save(model, spark: SparkSession, path: str) -> None:
+    if isinstance(model, Boosted):
+        model.save(spark, path)
+    else:
+        model.write().overwrite().save(path)
+
+
+def _load(kind: str, spark: SparkSession, path: str):
+    return Boosted.load(spark, path) if kind == "trees" else _KINDS[kind].load(path)
 
 
 def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
     """Write models and metadata below ``path``, replacing what is there."""
     for name, model in bundle.model.bases.items():
-        model.write().overwrite().save(f"{path}/base-{name}")
+        _save(model, spark, f"{path}/base-{name}")
     meta = {
         "bases": [[n, _kind(m)] for n, m in bundle.model.bases.items()],
         "ridge": {"intercept": bundle.model.meta.intercept, "weights": bundle.model.meta.weights},
@@ -230,14 +242,15 @@ def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
         "top_features": bundle.top_features,
         "quantiles": None,
     }
-    if bundle.quantiles is not None:
-        q = bundle.quantiles
-        q.forest.write().overwrite().save(f"{path}/quantile-forest")
-        meta["quantiles"] = {"qs": list(q.qs), "shape": list(q.tables.shape)}
-        cells = [(int(t), int(n), [float(x) for x in q.tables[:, t, n]]) for t, n in zip(*np.nonzero(~np.isnan(q.tables[0])))]
-        spark.createDataFrame(cells, "tree int, leaf int, q array<double>").write.mode("overwrite").parquet(
-            f"{path}/quantile-leaves"
-        )
+    q = bundle.quantiles
+    if isinstance(q, Band):
+        meta["quantiles"] = {"boosted": list(q.models)}
+        for k, model in enumerate(q.models.values()):
+            model.save(spark, f"{path}/quantile-{k}")
+    elif q is not None:
+        meta["quantiles"] = {"qs": list(q.qs), "leaves": q.n_leaves}
+        q.forest.save(spark, f"{path}/quantile-forest")
+        q.table.write.mode("overwrite").parquet(f"{path}/quantile-leaves")
     write_meta(spark, f"{path}/meta", meta)
 
 
@@ -249,6 +262,8 @@ def _bare_model(spark: SparkSession, path: str, design: Design | None) -> Bundle
         return None
     if design is None:
         raise ValueError("a model without its bundle needs the design of its inputs")
+    if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, "ensemble")):
+        return Bundle(design, StackedModel({"model": Boosted.load(spark, path)}, Ridge(0.0, {"p_model": 1.0})))
     kind = DefaultParamsReader.loadMetadata(path, spark)["class"].rsplit(".", 1)[-1]
     model = next(cls for cls in _KINDS.values() if cls.__name__ == kind).load(path)
     return Bundle(design, StackedModel({"model": model}, Ridge(0.0, {"p_model": 1.0})))
@@ -260,17 +275,15 @@ def load_bundle(spark: SparkSession, path: str, design: Design | None = None) ->
     if bare is not None:
         return bare
     meta = read_meta(spark, f"{path}/meta")
-    bases = {n: _KINDS[kind].load(f"{path}/base-{n}") for n, kind in meta["bases"]}
+    bases = {n: _load(kind, spark, f"{path}/base-{n}") for n, kind in meta["bases"]}
     encoder = OneHotDropFirst(list(meta["vocabulary"]), meta["vocabulary"])
     design = Design(meta["numeric"], encoder, Scale(list(meta["mean"]), meta["mean"], meta["std"]))
-    quantiles = None
-    if meta["quantiles"]:
-        tables = np.full(meta["quantiles"]["shape"], np.nan)
-        for t, n, q in spark.read.parquet(f"{path}/quantile-leaves").collect():
-            tables[:, t, n] = q
-        quantiles = QuantileForestModel(
-            RandomForestRegressionModel.load(f"{path}/quantile-forest"), tuple(meta["quantiles"]["qs"]), tables
-        )
+    quantiles, known = None, meta["quantiles"]
+    if known and "boosted" in known:
+        quantiles = Band({q: Boosted.load(spark, f"{path}/quantile-{k}") for k, q in enumerate(known["boosted"])})
+    elif known:
+        table = spark.read.parquet(f"{path}/quantile-leaves")
+        quantiles = QuantileForestModel(Boosted.load(spark, f"{path}/quantile-forest"), tuple(known["qs"]), table, known["leaves"])
     model = StackedModel(bases, Ridge(meta["ridge"]["intercept"], meta["ridge"]["weights"]))
     return Bundle(
         design,

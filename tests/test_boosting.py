@@ -145,7 +145,7 @@ def test_a_model_survives_saving(spark, frame, tmp_path):
     model.save(spark, str(tmp_path / "m"))
     again = Boosted.load(spark, str(tmp_path / "m"))
     assert predictions(again, frame).tolist() == predictions(model, frame).tolist()
-    assert again.importances().sum() == pytest.approx(1)
+    assert again.featureImportances.toArray().sum() == pytest.approx(1)
 
 
 def test_quantiles_cover_what_they_say(frame, data):
@@ -162,3 +162,48 @@ def test_one_constant_label(spark):
     assert {r["prediction"] for r in model.transform(df).collect()} == {7.0}
     with pytest.raises(ValueError):
         Boosting(Settings(rounds=1), "y").fit(df.limit(0))
+
+
+def test_a_forest_is_the_mean_of_trees_of_drawn_rows(spark, frame, data, tmp_path):
+    x, y = data
+    forest = boosting.Forest(trees=12, depth=6, least=3, label="y")
+    model = forest.fit(frame)
+    assert len(model.trees) == 12 and len({t.feature.tobytes() for t in model.trees}) > 1
+    bins = boosting.Layout(model.cuts).bins(x)
+    each = np.array([model.base + t.predict(bins) for t in model.trees])
+    assert predictions(model, frame) == pytest.approx(each.mean(axis=0))
+    assert 1 - ((y - each.mean(axis=0)) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.9
+    model.save(spark, str(tmp_path / "f"))
+    assert predictions(Boosted.load(spark, str(tmp_path / "f")), frame) == pytest.approx(each.mean(axis=0))
+    leaves = {r["id"]: r["leaves"] for r in model.leaves(frame).select("id", "leaves").collect()}
+    assert leaves[7] == [t.leaves(bins[7:8])[0] for t in model.trees]
+    top = model.featureImportances.toArray()
+    assert top[0] + top[2] > 0.9 and top[3] == 0
+
+
+def test_rows_are_drawn_once_on_average():
+    row = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 200_000)
+    counts = np.searchsorted(boosting._DRAWS, boosting.drawn(row, 3, 0), "right")
+    assert counts.mean() == pytest.approx(1, abs=0.01) and (counts == 0).mean() == pytest.approx(np.exp(-1), abs=0.01)
+    assert (boosting.drawn(row, 3, 0) < 0.85).mean() == pytest.approx(0.85, abs=0.01)
+    assert np.corrcoef(boosting.drawn(row, 3, 0), boosting.drawn(row, 3, 1))[0, 1] == pytest.approx(0, abs=0.02)
+
+
+def test_sorted_rows_and_histograms_split_alike():
+    """The two ways to settle a node, with ties and few values."""
+    from carespend.ml.trees import Layout, Node
+
+    rng = np.random.default_rng(2)
+    for turn in range(300):
+        n, least = int(rng.integers(2, 60)), int(rng.integers(1, 6))
+        cuts = [np.arange(k, dtype=float) for k in (1, 3, 9, 0)]
+        bins = np.column_stack([rng.integers(0, len(c) + 1, n) for c in cuts]).astype(np.uint8)
+        g = rng.integers(-5, 6, n).astype(float) * 2.0**30
+        if n < 2 * least:
+            continue
+        a, b = Node(n, int(g.sum())), Node(n, int(g.sum()))
+        layout = Layout(cuts)
+        a.split_by(layout, layout.histogram(bins, g), least)
+        b.split_by_rows(bins, g, least)
+        assert (a.feature, a.bin, a.gain) == (b.feature, b.bin, b.gain), turn
+        assert [(c.n, c.g) for c in a.children] == [(c.n, c.g) for c in b.children]

@@ -4,29 +4,34 @@ import pytest
 
 from carespend import queries
 from carespend.ml import ensemble, scoring, search
+from carespend.ml.boosting import Forest, QuantileBoosting, Settings
 
 
 class Asked(Exception):
     pass
 
 
-def settings(est):
-    return {p.name: v for p, v in est.extractParamMap().items() if p.name not in ("predictionCol", "leafCol")}
-
-
 @pytest.mark.parametrize("name, make", [("forest_predictions", ensemble.forest), ("boosted_predictions", ensemble.boosted), ("binned_boosted_predictions", ensemble.binned_boosted)])
 def test_single_learners(spark, sf, monkeypatch, name, make):
     asked = []
 
     def fit(est, df):
-        asked.append(settings(est))
+        asked.append(est)
         raise Asked
 
     monkeypatch.setattr(queries, "design_rows", lambda *_: (None, None, None))
     monkeypatch.setattr(ensemble, "fit", fit)
     with pytest.raises(Asked):
         queries.queries()[name](spark, sf)
-    assert asked == [settings(make())]
+    assert asked == [make()]
+
+
+def test_defaults():
+    """The settings that the work asks for."""
+    assert ensemble.forest() == Forest(300, 13, 3)
+    assert ensemble.boosted().settings == Settings(300, 0.05, None, 4, 4, 0.85)
+    assert ensemble.binned_boosted().settings == Settings(300, 0.05, 31, None, 8)
+    assert QuantileBoosting() == QuantileBoosting((0.1, 0.9), Settings(200, 0.06, 31, None, 20))
 
 
 def test_bundle_and_bands(spark, sf, monkeypatch):

@@ -4,13 +4,15 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.ml.linalg import Vectors
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from carespend.ml import encode, ensemble, evaluate, scoring, search, split
+from carespend.ml.boosting import QuantileBoosting, Settings
 from carespend.ml.quantile import QuantileForest
 from carespend.sources.schema import TARGET
 
-TINY = {"rf": {"numTrees": 5, "maxDepth": 4}, "gb": {"maxIter": 4, "stepSize": 0.3}, "hist_gb": {"maxIter": 4, "maxDepth": 3, "stepSize": 0.3}}
+TINY = {"rf": {"trees": 5, "depth": 4}, "gb": {"rounds": 4, "rate": 0.3}, "hist_gb": {"rounds": 4, "leaves": 8, "rate": 0.3}}
 
 
 def claims(spark, members=60, months=12):
@@ -40,7 +42,7 @@ def frame(spark):
 
 @pytest.fixture(scope="module")
 def bundle(frame):
-    return scoring.train_bundle(frame, scoring.default_bases(TINY), {"numTrees": 10, "maxDepth": 4, "minInstancesPerNode": 10})
+    return scoring.train_bundle(frame, scoring.default_bases(TINY), QuantileBoosting(settings=Settings(rounds=20, rate=0.2, leaves=6)))
 
 
 def test_one_hot_drops_the_first_and_zeroes_the_unknown(spark):
@@ -159,31 +161,54 @@ def test_out_of_fold_covers_each_row_once_by_models_that_did_not_see_it(spark):
 
 def test_quantile_forest(spark):
     df = vectors(spark, 400)
-    model = QuantileForest(params={"numTrees": 10, "maxDepth": 4, "minInstancesPerNode": 15}).fit(df)
+    model = QuantileForest(params={"trees": 10, "depth": 4, "least": 15}).fit(df)
     out = model.transform(df).toPandas()
     assert (out["q10"] <= out["q90"]).all()
     inside = ((out[TARGET] >= out["q10"]) & (out[TARGET] <= out["q90"])).mean()
     assert 0.6 < inside <= 1.0
 
 
-def test_leaf_quantiles_match_pandas(spark):
-    """With more bins than rows, the quantiles in a leaf are those of its labels."""
-    from pyspark.ml.functions import vector_to_array
+@pytest.fixture(scope="module")
+def quantile_forest(spark):
+    learner = QuantileForest(qs=(0.1, 0.5, 0.9), params={"trees": 3, "depth": 3, "least": 20}, bins=5000)
+    return learner.fit(vectors(spark, 300))
 
-    df = vectors(spark, 300)
-    learner = QuantileForest(qs=(0.1, 0.5, 0.9), params={"numTrees": 3, "maxDepth": 3, "minInstancesPerNode": 20}, bins=5000)
-    model = learner.fit(df)
-    leaves = model.forest.copy({model.forest.leafCol: "leaf"}).transform(df)
-    rows = leaves.select(vector_to_array("leaf").alias("leaf"), TARGET).toPandas()
+
+def test_leaf_quantiles_match_pandas(spark, quantile_forest):
+    """With more bins than rows, the quantiles in a leaf are those of its labels."""
+    df, model = vectors(spark, 300), quantile_forest
+    rows = model.forest.leaves(df, "leaf").select("leaf", TARGET).toPandas()
     width = rows[TARGET].max() - rows[TARGET].min()
+    table = {(r["tree"], r["leaf"]): np.array(r["q"]) for r in model.table.collect()}
+    assert len(table) == model.n_leaves
     for tree in range(3):
         for leaf, group in rows.groupby(rows["leaf"].map(lambda a: int(a[tree])))[TARGET]:
             want = group.quantile([0.1, 0.5, 0.9], interpolation="lower").to_numpy()
             above = group.quantile([0.1, 0.5, 0.9], interpolation="higher").to_numpy()
-            got = model.tables[:, tree, leaf]
+            got = table[tree, leaf]
             assert (got >= want - 0.02 * width).all() and (got <= above + 0.02 * width).all()
 
 
+def test_leaf_table_is_joined_at_any_size(spark, quantile_forest, monkeypatch):
+    """Broadcast or shuffled, the quantiles are the means of the leaves' ones, and nothing comes to the driver."""
+    from carespend.ml import quantile
+
+    df, model = vectors(spark, 300), quantile_forest
+    table = {(r["tree"], r["leaf"]): np.array(r["q"]) for r in model.table.collect()}
+    rows = model.forest.leaves(df, "leaf").select(TARGET, "leaf").collect()
+    want = {r[TARGET]: np.mean([table[t, leaf] for t, leaf in enumerate(r["leaf"])], axis=0) for r in rows}
+    for limit, join in ((10**6, "BroadcastHashJoin"), (0, "SortMergeJoin")):
+        monkeypatch.setattr(quantile, "BROADCAST_LEAVES", limit)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+        monkeypatch.setattr(DataFrame, "collect", lambda *_: pytest.fail("collected"))
+        out = model.transform(df)
+        monkeypatch.undo()
+        assert join in out._jdf.queryExecution().executedPlan().toString()
+        got = {r[TARGET]: (r["q10"], r["q50"], r["q90"]) for r in out.collect()}
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert len(got) == len(want) and all(got[y] == pytest.approx(tuple(q)) for y, q in want.items())
+
+
 def test_metrics(spark):
     df = spark.createDataFrame(
         [(10.0, 12.0, 9.0, 13.0), (20.0, 19.0, 21.0, 25.0), (0.0, 1.0, 0.0, 1.0)], "y double, p double, lo double, hi double"
@@ -198,13 +223,27 @@ def test_metrics(spark):
 def test_search_space_and_order(spark):
     drawn = search.draw(search.BOOSTED_SPACE, search.BOOSTED_DRAWS)
     assert len(drawn) == 10 and drawn == search.draw(search.BOOSTED_SPACE, 10)
-    assert all(2 <= d["maxDepth"] < 5 and 0.7 <= d["subsamplingRate"] <= 1.0 for d in drawn)
+    assert all(2 <= d["depth"] < 5 and 0.7 <= d["subsample"] <= 1.0 for d in drawn)
     df = vectors(spark).withColumn("time_index", (F.monotonically_increasing_id() % 8).cast("int"))
-    space = {"numTrees": ("int", 2, 5), "maxDepth": ("int", 1, 5)}
+    space = {"trees": ("int", 2, 5), "depth": ("int", 1, 5)}
     table, best = search.random_search(ensemble.forest, df, space, 3)
     rows = table.orderBy("rank").collect()
     assert [r["rmse"] for r in rows] == sorted(r["rmse"] for r in rows)
-    assert rows[0]["setting"]["maxDepth"] == best["maxDepth"]
+    assert rows[0]["setting"]["depth"] == best["depth"]
+
+
+def test_search_scores_models_of_earlier_months(spark):
+    """Each score is the mean error over the folds of models that saw the months before; the winner can be fitted anew."""
+    df = vectors(spark).withColumn("time_index", (F.monotonically_increasing_id() % 8).cast("int")).cache()
+    space = {"rounds": ("int", 2, 6), "depth": ("int", 1, 4), "rate": ("float", 0.1, 0.5)}
+    learner, table = search.tuned(ensemble.boosted, df, space, 3)
+    rows = table.orderBy("rank").collect()
+    assert rows[0]["setting"]["rounds"] == learner.settings.rounds and rows[0]["setting"]["rate"] == learner.settings.rate
+    errors = []
+    for train, valid in split.time_folds(df):
+        out = learner.fit(train).transform(valid)
+        errors.append(evaluate.evaluate(out).first()["rmse"])
+    assert rows[0]["rmse"] == pytest.approx(np.mean(errors), rel=0.05)  # bins are cut on all months there
 
 
 def test_training_frame(frame):
@@ -295,12 +334,33 @@ def test_model_without_bundle(spark, tmp_path):
     rows = [(float(x), "a" if x % 2 else "b", float(2 * x)) for x in range(40)]
     df = spark.createDataFrame(rows, "x double, gender string, monthly_medical_cost double")
     design = encode.Design.fit(df, ["x"], ["gender"])
-    fitted = ensemble.fit(ensemble.forest(numTrees=3, maxDepth=3), design.transform(df, ["monthly_medical_cost"]))
+    fitted = ensemble.fit(ensemble.forest(trees=3, depth=3), design.transform(df, ["monthly_medical_cost"]))
     path = f"{tmp_path}/model"
-    fitted.write().save(path)
+    fitted.save(spark, path)
     with pytest.raises(ValueError):
         scoring.load_bundle(spark, path)
     loaded = scoring.load_bundle(spark, path, design)
     got = scoring.predict(loaded, df, ["x"]).select("x", "prediction").orderBy("x").collect()
     want = fitted.transform(design.transform(df, ["x"])).select("x", "prediction").orderBy("x").collect()
     assert [round(r["prediction"], 9) for r in got] == [round(r["prediction"], 9) for r in want]
+
+
+def test_sparks_own_models_still_serve(spark, tmp_path):
+    """A model of Spark ML in a stack, and alone on disk."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rows = [(f"m{x % 7}", float(x), "a" if x % 2 else "b", float(2 * x)) for x in range(60)]
+    df = spark.createDataFrame(rows, "member_id string, x double, gender string, monthly_medical_cost double")
+    design = encode.Design.fit(df, ["x"], ["gender"])
+    learner = RandomForestRegressor(numTrees=3, maxDepth=3, labelCol=TARGET, seed=1)
+    train = design.transform(df, ["member_id", TARGET])
+    stack = ensemble.Stacked({"spark": learner, "gb": ensemble.boosted(rounds=3)}).fit(train)
+    assert set(stack.meta.weights) == {"p_spark", "p_gb"}
+    fitted = ensemble.fit(learner, train)
+    fitted.write().save(f"{tmp_path}/model")
+    loaded = scoring.load_bundle(spark, f"{tmp_path}/model", design)
+    assert scoring.predict(loaded, df, ["x"]).count() == 60
+    bundle = scoring.Bundle(design, stack, QuantileForest(params={"trees": 2, "depth": 2, "least": 3}).fit(train))
+    scoring.save_bundle(bundle, spark, f"{tmp_path}/bundle")
+    again = scoring.load_bundle(spark, f"{tmp_path}/bundle")
+    assert sorted(map(tuple, scoring.predict(again, df, ["x"]).collect())) == sorted(map(tuple, scoring.predict(bundle, df, ["x"]).collect()))
