@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -324,6 +325,7 @@ class Rounds:
         roots = {k: Node(self.rows[k], 0) for k in going}
         above: dict[int, tuple[Node, Node]] = {}  # of a node its parent and its sibling
         held: dict[int, Histogram] = {}
+        whole: dict[int, Tree] = {}  # trees without a limit of leaves that one task has grown
         while True:
             asked: dict[int, list[Node]] = {k: [] for k in going}
             split = {k: best_first(roots[k], self.fits[k].settings.growth, asked[k].append) for k in going}
@@ -333,29 +335,31 @@ class Rounds:
                 for node in split[k]:
                     a, b = node.children
                     above[id(a)], above[id(b)] = (node, b), (node, a)
-            self.settle(roots, split, asked, above, held)
+            self.settle(roots, split, asked, above, held, whole)
         trees, nodes = {}, {}
         for k in going:
-            trees[k], nodes[k] = Tree.of(roots[k], split[k])
+            trees[k], nodes[k] = (whole[k], []) if k in whole else Tree.of(roots[k], split[k])
         quantile = {k: f.settings.quantile for k, f in enumerate(self.fits)}
         leaf = self.leaf_quantiles([trees.get(k) if quantile[k] is not None else None for k in range(len(self.fits))]) if any(quantile[k] is not None for k in going) else {}
         for k in going:
             rate, scale = self.fits[k].settings.rate, self.states[k].scale
+            if k in whole:
+                trees[k].value *= -rate / scale
             for at, node in enumerate(nodes[k]):
                 if trees[k].feature[at] < 0:
                     value = -node.g / max(1, node.n) / scale if quantile[k] is None else leaf.get((k, at), 0.0)
                     trees[k].value[at] = rate * value
         return trees
 
-    def settle(self, roots: dict, split: dict, asked: dict, above: dict, held: dict) -> None:
+    def settle(self, roots: dict, split: dict, asked: dict, above: dict, held: dict, whole: dict) -> None:
         """Find the best splits of the nodes asked for."""
         states, layout, turn = self.states, self.layout, self.turn
-        trees, small, large, nodes = {}, {}, {}, {}
+        trees, orders, small, large, nodes = {}, {}, {}, {}, {}
         for k, wanted in asked.items():
             if not wanted:
                 continue
-            trees[k], order = Tree.of(roots[k], split[k])
-            number = {id(n): at for at, n in enumerate(order)}
+            trees[k], orders[k] = Tree.of(roots[k], split[k])
+            number = {id(n): at for at, n in enumerate(orders[k])}
             growth = self.fits[k].settings.growth
             budget = None if growth.leaves is None else growth.leaves - 1
             for node in wanted:
@@ -372,8 +376,7 @@ class Rounds:
             node = nodes[k, at]
             if (k, at) not in small and (k, at) not in large:
                 sibling = above[id(node)][1]
-                order = {id(n): i for i, n in enumerate(Tree.of(roots[k], split[k])[1])}
-                large[k, order[id(sibling)]] = None
+                large[k, next(i for i, n in enumerate(orders[k]) if n is sibling)] = None
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums: dict[tuple[int, int], Histogram] = {}
@@ -420,12 +423,15 @@ class Rounds:
                 h = Histogram(np.frombuffer(r["a"], np.int64), np.frombuffer(r["b"], np.int64))
                 fresh[key] = fresh[key] + h if key in fresh else h
             else:
-                node = nodes[key]
+                node, rows = nodes[key], np.frombuffer(r["a"], _RECORD)
                 node.n, node.g = r["n"], int(np.frombuffer(r["b"], np.int64)[0])
-                from_records(node, np.frombuffer(r["a"], _RECORD))
-        order = {k: Tree.of(roots[k], split[k])[1] for k in trees}
+                fit = self.fits[key[0]].settings
+                if node is roots[key[0]] and fit.leaves is None and fit.quantile is None:
+                    node.known, whole[key[0]] = True, Tree.of_records(rows)
+                else:
+                    from_records(node, rows)
         for (k, at), h in fresh.items():
-            held[id(order[k][at])] = h
+            held[id(orders[k][at])] = h
         for key, node in nodes.items():
             if key in small:
                 if not node.known:  # no row came
@@ -527,8 +533,18 @@ class Forest:
 def fit_learners(df: DataFrame, asked: list[tuple[Boosting | Forest, int | None, int | None]], label: str = TARGET, features: str = "features", part: str | None = None) -> list[Boosted]:
     """A model for each learner, without one part or below one where that is asked for; all are grown together."""
     each = [learner.fits(without, below) for learner, without, below in asked]
-    fitted = iter(fit_together(df, [f for fits in each for f in fits], label, features, part))
-    return [learner.model([next(fitted) for _ in fits]) for (learner, _, _), fits in zip(asked, each, strict=True)]
+    # Forests take few large requests, boosting many small ones, so neither has to wait for the other.
+    kinds = [[k for k, (learner, _, _) in enumerate(asked) if isinstance(learner, Forest) == forest] for forest in (True, False)]
+
+    def fit(kind: list[int]) -> list[Boosted]:
+        return fit_together(df, [f for k in kind for f in each[k]], label, features, part) if kind else []
+
+    with ThreadPoolExecutor(2) as pool:
+        fitted = {}
+        for kind, models in zip(kinds, pool.map(fit, kinds), strict=True):
+            parts = iter(models)
+            fitted |= {k: asked[k][0].model([next(parts) for _ in each[k]]) for k in kind}
+    return [fitted[k] for k in range(len(asked))]
 
 
 @dataclass

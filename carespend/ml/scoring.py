@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
@@ -91,8 +92,10 @@ def train_bundle(
     if log_target:
         fit_rows = fit_rows.withColumn(TARGET, F.log1p(TARGET))
     fit_rows = fit_rows.persist(StorageLevel.MEMORY_AND_DISK)
-    stack = Stacked(bases or default_bases(), cv=cv, parallelism=parallelism).fit(fit_rows)
-    bands = (quantiles or QuantileBoosting()).fit(fit_rows)
+    fit_rows.count()  # kept before both read it
+    learners = (Stacked(bases or default_bases(), cv=cv, parallelism=parallelism), quantiles or QuantileBoosting())
+    with ThreadPoolExecutor(2) as pool:
+        stack, bands = pool.map(lambda learner: learner.fit(fit_rows), learners)
     known = source.agg(F.min("month").cast("string") if "month" in source.columns else F.lit(None), F.max(TARGET)).first()
     bundle = Bundle(design, stack, bands, log_target, known[0], known[1])
     test = design.transform(source.where("holdout"), keep)

@@ -214,7 +214,7 @@ def grow_rows(root: Node, bins: np.ndarray, g: np.ndarray, layout: Layout, growt
 
 
 def to_records(root: Node) -> np.ndarray:
-    """The known nodes below ``root``, ``root`` first: ``gain, feature, bin, n_left, g_left, left, right`` (-1 where a child is not known)."""
+    """The known nodes below ``root``, ``root`` first: ``rows, sum, gain, feature, bin``, the left child's ``n, g``, and ``left, right`` (-1 where a child is not known)."""
     rows, order = [], [root]
     for node in order:
         order.extend(c for c in node.children if c.known)
@@ -222,8 +222,8 @@ def to_records(root: Node) -> np.ndarray:
     for node in order:
         left, right = (number.get(id(c), -1) for c in node.children) if node.splits else (-1, -1)
         first = node.children[0] if node.splits else None
-        rows.append((node.gain, node.feature, node.bin, first.n if first else 0, first.g if first else 0, left, right))
-    return np.array(rows, [("gain", "f8"), ("feature", "i4"), ("bin", "i4"), ("n", "i8"), ("g", "i8"), ("left", "i4"), ("right", "i4")])
+        rows.append((node.n, node.g, node.gain, node.feature, node.bin, first.n if first else 0, first.g if first else 0, left, right))
+    return np.array(rows, [("rows", "i8"), ("sum", "i8"), ("gain", "f8"), ("feature", "i4"), ("bin", "i4"), ("n", "i8"), ("g", "i8"), ("left", "i4"), ("right", "i4")])
 
 
 def from_records(root: Node, rows: np.ndarray) -> None:
@@ -277,6 +277,25 @@ class Tree:
         )
         return tree, order
 
+    @classmethod
+    def of_records(cls, rows: np.ndarray) -> Tree:
+        """The tree of all splits in records, with the mean of each leaf as its value."""
+        inner = rows["feature"] >= 0
+        side = {"left": (rows["n"], rows["g"]), "right": (rows["rows"] - rows["n"], rows["sum"] - rows["g"])}
+        total, link = [(rows["rows"], rows["sum"])], {}
+        at = len(rows)
+        for name, (n, g) in side.items():
+            last = inner & (rows[name] < 0)  # children that stay leaves have no record
+            link[name] = np.where(inner, rows[name], -1)
+            link[name][last] = np.arange(at, at + last.sum())
+            at += int(last.sum())
+            total.append((n[last], g[last]))
+        n, g = (np.concatenate([t[k] for t in total]) for k in (0, 1))
+        pad = lambda x, fill: np.concatenate([x, np.full(at - len(rows), fill, x.dtype)])
+        value = np.where(pad(inner, False), 0.0, g / np.maximum(n, 1))
+        split = [pad(np.where(inner, rows[c], fill), fill) for c, fill in (("feature", -1), ("bin", 0))]
+        return cls(*split, *(pad(link[c].astype(np.int32), -1) for c in ("left", "right")), value, pad(np.where(inner, rows["gain"], 0.0), 0.0))
+
     def leaves(self, bins: np.ndarray) -> np.ndarray:
         """The node that each row ends in."""
         at = np.zeros(len(bins), np.int32)

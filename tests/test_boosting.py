@@ -109,16 +109,17 @@ def test_splits_and_leaves_equal_the_plain_grower(frame, data, settings):
 
 
 @pytest.mark.parametrize("gathered", [0, 150, 700])
-def test_counted_and_gathered_nodes_give_the_same_trees(frame, gathered):
+def test_counted_and_gathered_nodes_give_the_same_trees(frame, data, gathered):
     """Histograms added up over tasks, siblings by subtraction, or rows in one task."""
     fits = [Fit(Settings(rounds=3, rate=0.3)), Fit(Settings(rounds=2, leaves=None, depth=3, subsample=0.6)), Fit(Settings(rounds=2, quantile=0.2))]
     here = fit_together(frame, fits, "y")
     there = fit_together(frame, fits, "y", gathered=gathered)
     for a, b in zip(here, there, strict=True):
         assert a.base == b.base and len(a.trees) == len(b.trees)
+        bins = boosting.Layout(a.cuts).bins(data[0])
         for s, t in zip(a.trees, b.trees, strict=True):
-            for c in ("feature", "bin", "left", "right", "value"):
-                assert getattr(s, c).tolist() == getattr(t, c).tolist()
+            assert s.predict(bins).tolist() == t.predict(bins).tolist()
+            assert sorted(zip(s.gain, s.feature, s.bin, strict=True)) == sorted(zip(t.gain, t.feature, t.bin, strict=True))
 
 
 def test_scores_written_in_between_change_nothing(frame, monkeypatch):
@@ -207,3 +208,21 @@ def test_sorted_rows_and_histograms_split_alike():
         b.split_by_rows(bins, g, least)
         assert (a.feature, a.bin, a.gain) == (b.feature, b.bin, b.gain), turn
         assert [(c.n, c.g) for c in a.children] == [(c.n, c.g) for c in b.children]
+
+
+def test_a_tree_of_records_is_the_tree_of_its_nodes():
+    from carespend.ml.trees import Growth, Layout, Node, Tree, best_first, grow_rows, to_records
+
+    rng = np.random.default_rng(4)
+    cuts = [np.arange(30.0), np.arange(3.0), np.zeros(0)]
+    bins = np.column_stack([rng.integers(0, len(c) + 1, 500) for c in cuts]).astype(np.uint8)
+    g = rng.integers(-1000, 1000, 500).astype(float)
+    for growth in (Growth(None, 4, 3), Growth(None, None, 20), Growth(None, 0, 1), Growth(None, 9, 400)):
+        root = Node(500, int(g.sum()))
+        if not root.stays(growth):
+            grow_rows(root, bins, g, Layout(cuts), growth, None)
+        tree = Tree.of_records(to_records(root))
+        other, order = Tree.of(root, best_first(root, growth, lambda n: None))
+        other.value = np.array([n.g / n.n for n in order])
+        assert tree.predict(bins) == pytest.approx(other.predict(bins))
+        assert sorted(tree.gain[tree.gain > 0]) == sorted(other.gain[other.gain > 0])
