@@ -14,13 +14,13 @@ from pyspark.sql import types as T
 
 from carespend.llm.components import components
 from carespend.llm.joins import sized
-from carespend.llm.text import LOWER, SPACED_WORD, SpanHash, column_bytes, mixed, slices, word_spans
+from carespend.llm.text import LOWER, SPACED_WORD, column_bytes, mixed, slices, word_hashes, word_spans
 from carespend.sources.io import stage
 
 #: Coordinates of a signature.
 COORDINATES = 64
-#: Standard deviations that a pair at the threshold may fall below its expected matches; six miss one pair in a billion.
-SLACK = 6.0
+#: The chance that a pair at the threshold shares fewer coordinates than are asked for, at most.
+MISSED = 1e-9
 #: Members of a family that are compared with as many others in one task.
 BLOCK = 256
 #: Shingles that are hashed or counted at a time.
@@ -32,16 +32,20 @@ _FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)[:, None]
 
 
 def least_matches(percent: int) -> int:
-    """Coordinates that linked pairs share, but for one in a billion."""
-    p = percent / 100
-    return max(1, math.floor(COORDINATES * p - SLACK * math.sqrt(COORDINATES * p * (1 - p))))
+    """The most coordinates that linked pairs share but for a chance of ``MISSED``, by the binomial tail."""
+    p, tail = percent / 100, 0.0
+    for shared in range(COORDINATES + 1):
+        tail += math.comb(COORDINATES, shared) * p**shared * (1 - p) ** (COORDINATES - shared)
+        if tail > MISSED:
+            return max(1, shared)
+    return COORDINATES
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its ``k``-word shingles; of all words together if there are fewer."""
     lowered = LOWER[data]
     text, starts, ends = word_spans(lowered, offsets, SPACED_WORD)
-    hashes = SpanHash(lowered).of(starts, ends)
+    hashes = word_hashes(lowered, starts, ends)
     bounds = np.searchsorted(text, np.arange(len(offsets)))
     rolled = hashes
     for shift in range(1, k):
@@ -134,6 +138,19 @@ def prefixes(classes: DataFrame, matches: int) -> DataFrame:
     return shared.select("rep", "alone", F.explode(rarest).alias("l")).select("l.posting", "rep", "alone")
 
 
+def collisions(pairs: DataFrame) -> DataFrame:
+    """``pivot, rep, matches``: the coordinates that two signatures share; ``pairs`` holds ``pivot, rep, one, two``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            one, two = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, COORDINATES) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array((one == two).sum(axis=1), pa.int32())], ["pivot", "rep", "matches"])
+
+    kind = pairs.schema["rep"].dataType
+    fields = [T.StructField("pivot", kind), T.StructField("rep", kind), T.StructField("matches", T.IntegerType())]
+    return pairs.select("pivot", "rep", "one", "two").mapInArrow(run, T.StructType(fields))
+
+
 def linked(inter, size_a, size_b, percent: int):
     """The exact test, for columns as well as for arrays."""
     return 100 * inter >= percent * (size_a + size_b - inter)
@@ -229,44 +246,62 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``component_id`` is the least id that is reachable over links and kept rows are those ids.
 
     Texts of the same shingle set are one class. Classes are posted under each coordinate and
-    value of their signature; the longest lists of each are skipped, and what meets in the
-    others is compared on full sets. Lists are not paired off: all their members are compared
-    with one pivot first, and only members that are not linked with it go on to be compared
-    with the rest, block by block. Every link between members of a list is found, or its ends
-    are connected already. The chance that a linked pair meets in no list is below 1e-8.
+    value of their signature; the longest lists of each are skipped. Lists are not paired off:
+    all their members meet one pivot first. Where the signatures of the two share too few
+    coordinates they are not linked; the others are compared on full sets. Members that are
+    not linked with the pivot go on to be compared with the rest, block by block. Every link
+    between members of a list is found, or its ends are connected already. A linked pair meets
+    in no list, or is passed over by its count, with a chance of at most 1e-9 each.
 
     Text is split at white space and A-Z is lower-cased. A text of fewer words than ``k`` has
     one shingle; null, empty and blank texts have none and are linked with nothing, as are rows
-    without an id. Rows that repeat an id are one document; if their texts differ, one of them
-    counts for near links. No rows give no rows; other columns are ignored, whatever their names.
+    without an id. Rows that repeat an id are one document, whose texts are linked with each
+    other and keep their other links. No rows give no rows; other columns are ignored, whatever
+    their names.
     """
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = stage(signatures(own, k), "signatures")
     usable = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = usable.groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("rows"))
-    classes = stage(classes, "classes")
-    lists = stage(prefixes(classes.dropDuplicates(["rep"]), least_matches(percent)), "lists")
+    several = usable.groupBy("doc_id").agg(F.min("class").alias("a"), F.max("class").alias("b")).where("a <> b")
+    several = sized(several.select(F.col("doc_id").alias("least"), F.lit(True).alias("several")), "ids-of-several-texts")
+    classes = usable.groupBy("class").agg(F.min("doc_id").alias("least"), F.first("signature").alias("signature"), F.count(F.lit(1)).alias("rows"))
+    # A class goes by its least id, or by a hash where that id has several texts.
+    own_rep = F.when(F.col("several"), F.xxhash64("class")).otherwise(F.col("least").cast("long"))
+    classes = stage(classes.join(several, "least", "left").select("class", "least", own_rep.alias("rep"), "signature", "rows"), "classes")
+    matches = least_matches(percent)
+    lists = stage(prefixes(classes, matches), "lists")
     pivots = lists.groupBy("posting").agg(F.min(F.struct("alone", "rep")).alias("p"), F.count(F.lit(1)).alias("n")).where("n > 1")
     stars = lists.join(pivots.select("posting", F.col("p.rep").alias("pivot")), "posting").where("rep <> pivot")
-    stars = stage(stars.groupBy("pivot", "rep").agg(F.count(F.lit(1)).alias("collisions")), "stars-to-check")
+    stars = stage(stars.select("pivot", "rep").distinct(), "stars-to-check")
+    signs = classes.select("rep", F.col("signature").alias("two"))
+    counted = stars.join(signs, "rep").join(classes.select(F.col("rep").alias("pivot"), F.col("signature").alias("one")), "pivot")
+    counted = stage(collisions(counted), "collisions")
 
-    met = sized(stars.select("rep").union(stars.select("pivot")).distinct(), "met")
-    wanted = classes.select(F.col("rep").alias("doc_id"), "class").join(met, F.col("doc_id") == met["rep"], "left_semi").dropDuplicates(["doc_id"])
+    met = sized(counted.select("rep").union(counted.select("pivot")).distinct(), "met")
+    wanted = classes.select(F.col("least").alias("doc_id"), "class", "rep").join(met, "rep", "left_semi")
     wanted = sized(wanted, "wanted")
-    texts = own.join(met, F.col("doc_id") == met["rep"], "left_semi")
-    sets = full_sets(texts, k).join(wanted, ["doc_id", "class"], "left_semi").dropDuplicates(["doc_id"])
-    sets = stage(sets.select(F.col("doc_id").alias("rep"), "shingles"), "sets")
+    texts = own.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = full_sets(texts, k).join(wanted, ["doc_id", "class"]).dropDuplicates(["rep"])
+    sets = stage(sets.select("rep", "shingles"), "sets")
 
     size = lambda c: F.size(c).cast("long")
-    pairs = stars.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("center")), "pivot")
+    likely = counted.where(F.col("matches") >= matches).drop("matches")
+    pairs = likely.join(sets, "rep").join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("center")), "pivot")
     test = linked(size(F.array_intersect("shingles", "center")), size("shingles"), size("center"), percent)
-    checked = stage(pairs.select("pivot", "rep", (~test).alias("out")), "checked")
+    checked = pairs.select("pivot", "rep", (~test).alias("out"))
+    checked = stage(checked.unionByName(counted.where(F.col("matches") < matches).select("pivot", "rep", F.lit(True).alias("out"))), "checked")
     direct = checked.where("NOT out").select(F.col("pivot").alias("u"), F.col("rep").alias("v"))
-    links = direct.unionByName(family_links(checked, sets, percent))
-    merged = components(links)
-
-    labels = merged.select(F.col("u").alias("rep"), "component")
-    copies = classes.where("rows > 1").select("class", F.col("rep").alias("same"))
-    found = signed.join(copies, "class", "left").withColumn("rep", F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("same")), F.col("doc_id"))))
-    found = found.join(labels, "rep", "left").withColumn("component_id", F.coalesce("component", "rep"))
-    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    reps = classes.select("class", "rep")
+    own_texts = usable.join(several, F.col("doc_id") == F.col("least"), "left_semi").join(reps, "class")
+    hubs = own_texts.groupBy("doc_id").agg(F.min("rep").alias("u"))
+    same_id = own_texts.join(hubs, "doc_id").select("u", F.col("rep").alias("v")).where("u <> v").distinct()
+    merged = components(direct.unionByName(family_links(checked, sets, percent)).unionByName(same_id))
+
+    labels = merged.join(classes.select(F.col("rep").alias("u"), "least"), "u")
+    labels = labels.join(labels.groupBy("component").agg(F.min("least").alias("component_id")), "component")
+    labels = stage(labels.select(F.col("u").alias("rep"), "component_id"), "labels")
+    named = classes.where("rows > 1").select("class", "rep", "least").unionByName(classes.where("rows = 1").select("class", "rep", "least").join(labels.select("rep"), "rep", "left_semi"))
+    named = named.join(labels, "rep", "left").select("class", F.coalesce("component_id", "least").alias("found"))
+    usable_class = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class"))
+    out = signed.withColumn("class", usable_class).join(named, "class", "left").withColumn("component_id", F.coalesce("found", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

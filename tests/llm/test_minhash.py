@@ -1,5 +1,6 @@
 """Near-duplicate groups against all pairs of full shingle sets."""
 
+import math
 import random
 
 import pytest
@@ -106,5 +107,34 @@ def test_components(spark):
 
 
 def test_matches_asked_for():
-    assert least_matches(85) == 37
-    assert least_matches(80) == 32
+    """The largest counts that a linked pair falls short of with a chance of 1e-9 at most."""
+    for percent in (80, 85, 100):
+        p, m = percent / 100, least_matches(percent)
+        below = lambda n: sum(math.comb(64, k) * p**k * (1 - p) ** (64 - k) for k in range(n))
+        assert below(m) <= 1e-9 and (m == 64 or below(m + 1) > 1e-9)
+
+
+def test_words_with_the_same_polynomial(spark):
+    """The Thue-Morse word and its complement collide in polynomials modulo a power of two."""
+    word = "a"
+    while len(word) < 2048:
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    check(spark, [(1, word), (2, other), (3, f"{word} x y z"), (4, f"{other} x y z")])
+
+
+def test_texts_of_an_id_keep_their_links(spark):
+    """An id with several texts is one document; each text links it with others."""
+    rng = random.Random(8)
+    a, b, c = (family(rng, 3, 120, 2) for _ in range(3))
+    rows = [(5, a[0]), (5, b[0]), (2, b[1]), (9, a[1]), (9, a[1]), (7, c[0]), (8, c[1]), (8, "nothing like it"), (3, a[2]), (11, c[2]), (11, None)]
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string"), k=3).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(2, 2), (3, 2), (5, 2), (5, 2), (7, 7), (8, 7), (8, 7), (9, 2), (9, 2), (11, 7), (11, 11)]
+
+
+@pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
+def test_recall_on_more_documents(spark, k, percent):
+    """Every group that all pairs give, on a thousand documents."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    assert sorted(map(tuple, near_dedup(docs, k=k, percent=percent).collect())) == expected(rows, k, percent)
