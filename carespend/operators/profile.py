@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carespend.functions.clean import number, numeric_columns
 from carespend.operators.quantiles import Span, quantiles_within
+from carespend.sources.io import stage
 from carespend.sources.schema import TARGET
 
+#: Hashes of repeated rows up to which they are broadcast.
+BROADCAST_HASHES = 1_000_000
+
 # The candidate cost drivers to look at, and the column behind each.
 CANDIDATE_DRIVERS = [
     ("Specialty / Drug Category", "drug_category"),
@@ -87,19 +91,43 @@ def null_profile(df: DataFrame) -> DataFrame:
     )
 
 
+def head(df: DataFrame, order: Iterable[str], k: int = 5) -> DataFrame:
+    """The first ``k`` rows in an order; nulls come first."""
+    return df.orderBy(*order).limit(k)
+
+
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Two 64-bit hashes of a whole row that are equal for equal rows; 0.0 and -0.0 are equal, as they are in groups."""
+    values = [F.col(f"`{f.name}`") + F.lit(0.0) if isinstance(f.dataType, (T.FloatType, T.DoubleType)) else F.col(f"`{f.name}`") for f in df.schema.fields]
+    return [F.xxhash64(*values), F.xxhash64(F.lit("second"), *reversed(values))]
+
+
+def repeated_rows(df: DataFrame, hashes: Callable[[DataFrame], list[Column]] = row_hashes) -> DataFrame:
+    """Each distinct row that occurs more than once, with its ``copies``.
+
+    Only hashes of all rows are shuffled at first. Rows whose hash occurs once cannot repeat
+    and stay where they are; the others are compared as a whole, so hashes that meet by
+    chance do no harm. ``df`` is read twice. Above ``BROADCAST_HASHES`` repeated hashes these
+    meet the rows by a shuffle of all rows.
+    """
+    names = ["_hash_0", "_hash_1"]
+    hashed = df.withColumns(dict(zip(names, hashes(df), strict=True)))
+    often = stage(hashed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names), "repeated-hashes")
+    often = F.broadcast(often) if often.count() <= BROADCAST_HASHES else often
+    rows = hashed.join(often, names, "left_semi").drop(*names)
+    return rows.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+
+
 def duplicates(df: DataFrame) -> DataFrame:
-    """How many rows repeat an earlier row. Copies are counted before the shuffle, so many are cheap."""
-    counts = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(
-        F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"),
-        F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"),
-    )
+    """How many rows repeat an earlier row; rows that occur once are not moved."""
+    total = df.agg(F.count(F.lit(1))).scalar()
+    counts = repeated_rows(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
+    return counts.select(total.alias("row_count"), "duplicate_rows")
 
 
 def duplicate_sample(df: DataFrame, k: int = 5) -> DataFrame:
     """The ``k`` distinct rows that occur most often, more than once, with how often; ties in column order."""
-    counts = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("copies"))
-    return counts.where("copies > 1").orderBy(F.desc("copies"), *[F.col(f"`{c}`") for c in df.columns]).limit(k)
+    return repeated_rows(df).orderBy(F.desc("copies"), *[F.col(f"`{c}`") for c in df.columns]).limit(k)
 
 
 def histogram(df: DataFrame, col: str = TARGET, bins: int = 50) -> DataFrame:
@@ -137,6 +165,20 @@ def scatter_bins(df: DataFrame, x: str, y: str = TARGET, y_width: float = 5000.0
     )
 
 
+def scatter_points(df: DataFrame, x: str, key: Iterable[Column], y: str = TARGET, y_width: float = 5000.0, k: int = 20, seed: str = "points") -> DataFrame:
+    """Points to draw: of each cell (an ``x`` value by steps of ``y``) the ``k`` rows with the least keyed hash.
+
+    ``key`` tells rows apart. The choice is repeatable, does not depend on how rows are dealt,
+    and that of two tables together follows from their own. Each task passes on ``k`` rows of a
+    cell at most. Returns ``x, y, y_bin``; rows without ``x`` or ``y`` take no part.
+    """
+    hashed = F.md5(F.concat_ws("|", F.lit(seed), *[c.cast("string") for c in key]))
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = rows.select(F.col(x).alias("x"), F.col(y).alias("y"), F.floor(F.col(y) / y_width).cast("long").alias("y_bin"), hashed.alias("_h"))
+    place = F.row_number().over(Window.partitionBy("x", "y_bin").orderBy("_h", "y"))
+    return rows.withColumn("_place", place).where(F.col("_place") <= k).drop("_h", "_place")
+
+
 def correlations(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of columns, over the rows where both are present.
 

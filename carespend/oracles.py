@@ -327,6 +327,28 @@ SELECT member_id, CAST(month AS VARCHAR) AS month, {out}
 FROM indexed, (SELECT {stats} FROM indexed WHERE time_index < last_index - 3)"""
 
 
+def _leafwise(splits: int, least: int) -> str:
+    """Best-first growth, a common table expression per split: of all leaves, inputs and cuts the one of the greatest gain."""
+    inputs = ["time_index", "month(month)", "quarter(month)", "member_id % 17"]
+    parts = [
+        ",\nr0 AS (SELECT monthly_medical_cost AS y, monthly_medical_cost - avg(monthly_medical_cost) OVER () AS g, 0 AS leaf, "
+        + ", ".join(f"CAST({x} AS DOUBLE) AS f{k}" for k, x in enumerate(inputs))
+        + " FROM indexed)"
+    ]
+    for k in range(splits):
+        long = " UNION ALL ".join(f"SELECT leaf, {f} AS f, f{f} AS v, g FROM r{k}" for f in range(len(inputs)))
+        parts.append(
+            f"""
+c{k} AS (SELECT leaf, f, v, sum(n) OVER w AS nl, sum(s) OVER w AS sl, sum(n) OVER a AS n, sum(s) OVER a AS s
+      FROM (SELECT leaf, f, v, count(*) AS n, sum(g) AS s FROM ({long}) GROUP BY leaf, f, v) WINDOW w AS (PARTITION BY leaf, f ORDER BY v), a AS (PARTITION BY leaf, f)),
+b{k} AS (SELECT leaf AS node, f, v FROM c{k} WHERE nl >= {least} AND n - nl >= {least}
+      ORDER BY sl * sl / nl + (s - sl) * (s - sl) / (n - nl) - s * s / n DESC, leaf, f, v LIMIT 1),
+r{k + 1} AS (SELECT y, g, {", ".join(f"f{f}" for f in range(len(inputs)))},
+      CASE WHEN leaf <> node THEN leaf WHEN [{", ".join(f"f{f}" for f in range(len(inputs)))}][f + 1] <= v THEN {2 * k + 1} ELSE {2 * k + 2} END AS leaf FROM r{k}, b{k})"""
+        )
+    return ",".join(parts) + f"\nSELECT count(*) AS n, round(avg(y), 1) AS mean_cost FROM r{splits} GROUP BY leaf"
+
+
 def _time_folds() -> str:
     return """,
 months AS (SELECT time_index, row_number() OVER (ORDER BY time_index) - 1 AS pos, count(*) OVER () AS total
@@ -804,4 +826,72 @@ SELECT member_id, CAST(month AS VARCHAR) AS month, round(exp(ln(1 + prev_month_c
         PANEL,
         HISTORY,
     )
+    o["rolling_over_table"] = _with(
+        """,
+shifted AS (SELECT *, lag(monthly_medical_cost) OVER (PARTITION BY member_id ORDER BY month) AS before FROM panel)
+SELECT member_id, CAST(month AS VARCHAR) AS month,
+       round(coalesce(avg(before) OVER (ORDER BY member_id, month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), previous_year_medical_cost / 12), 6) AS cost_3m_avg
+FROM shifted""",
+        PANEL,
+    )
+    o["position_folds"] = _with(
+        """,
+placed AS (SELECT *, row_number() OVER (ORDER BY member_id, month) - 1 AS pos, count(*) OVER () AS total FROM panel),
+folds AS (SELECT p.*, CAST(i AS INT) AS fold, total - (4 - i) * (total // 4) AS start FROM placed p, range(1, 4) t(i))
+SELECT fold, part, count(*) AS n, min(member_id) AS first_member, max(member_id) AS last_member, round(sum(monthly_medical_cost), 2) AS total
+FROM (SELECT *, CASE WHEN pos < start THEN 'fit' WHEN pos < start + total // 4 THEN 'validate' END AS part FROM folds)
+WHERE part IS NOT NULL GROUP BY fold, part""",
+        PANEL,
+    )
+    o["conformal_bands"] = _with(
+        f"""{_INDEXED.format(source="history")},
+t AS (SELECT {TIER.replace("monthly_medical_cost", "prev_month_cost")} AS tier, monthly_medical_cost AS y, prev_month_cost AS p,
+             time_index >= last_index - 3 AS held FROM indexed),
+d AS (SELECT tier, abs(y - p) AS d, row_number() OVER (PARTITION BY tier ORDER BY abs(y - p)) AS r, count(*) OVER (PARTITION BY tier) AS n FROM t WHERE NOT held),
+w AS (SELECT tier, n, CAST(ceil((n + 1) * 0.8e0 - 1e-9) AS BIGINT) AS rank, max(CASE WHEN r = CAST(ceil((n + 1) * 0.8e0 - 1e-9) AS BIGINT) THEN d END) AS width
+      FROM d GROUP BY tier, n),
+c AS (SELECT t.tier, count(*) AS rows, count(*) FILTER (y >= greatest(0, coalesce(p - width, 0)) AND coalesce(y <= p + width, true)) AS inside
+      FROM t LEFT JOIN w USING (tier) WHERE held GROUP BY t.tier)
+SELECT tier, n, rank, round(width, 4) AS width, rows, inside FROM w LEFT JOIN c USING (tier)""",
+        PANEL, HISTORY,
+    )
+    o["sparse_inputs"] = _with(
+        """,
+e AS (SELECT member_id, month, c, v FROM (
+        SELECT member_id, month, 0 AS c, CAST(member_id AS VARCHAR) AS v FROM fixed UNION ALL
+        SELECT member_id, month, 1, drug_category FROM fixed UNION ALL SELECT member_id, month, 2, site_of_care FROM fixed)),
+k AS (SELECT c, v, row_number() OVER (PARTITION BY c ORDER BY v NULLS LAST) - 1 AS r, count(*) OVER (PARTITION BY c) AS size FROM (SELECT DISTINCT c, v FROM e)),
+b AS (SELECT c, sum(size - 1) OVER (ORDER BY c) - (size - 1) AS base FROM (SELECT DISTINCT c, size FROM k))
+SELECT CAST(1 + base + r - 1 AS INT) AS place, count(*) AS n, count(DISTINCT member_id) AS members
+FROM e JOIN k ON e.c = k.c AND e.v IS NOT DISTINCT FROM k.v JOIN b ON b.c = e.c WHERE r > 0 GROUP BY 1""",
+        FIXED,
+    )
+    o["table_replaced"] = _with(
+        """
+SELECT CAST(year(month) AS INT) AS year, drug_category, count(*) AS n, round(sum(monthly_medical_cost), 2) AS total, 2 AS versions
+FROM claims WHERE drug_category IS NOT NULL GROUP BY 1, 2"""
+    )
+    o["parse_mixed"] = """
+SELECT o_orderkey AS order_key, CASE WHEN o_orderkey % 50 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS written, false AS ambiguous
+FROM orders"""
+    o["date_shapes"] = """
+WITH w AS (SELECT CASE WHEN o_orderkey % 50 = 0 THEN 'unknown' WHEN o_orderkey % 4 = 0 THEN strftime(o_orderdate, '%Y-%m-%d')
+                       WHEN o_orderkey % 4 = 1 THEN strftime(o_orderdate, '%d/%m/%Y') WHEN o_orderkey % 4 = 2 THEN strftime(o_orderdate, '%b %-d, %Y')
+                       ELSE strftime(o_orderdate, '%-m-%-d-%Y') END AS t,
+                  CASE WHEN o_orderkey % 50 <> 0 THEN ['yyyy-M-d', 'd/M/yyyy', 'MMM d, yyyy', 'M-d-yyyy'][CAST(o_orderkey % 4 + 1 AS INT)] END AS format FROM orders)
+SELECT regexp_replace(regexp_replace(regexp_replace(t, '[0-9]', '9', 'g'), '[A-Za-z]+', 'a', 'g'), '\\b99\\b', '9', 'g') AS shape, count(*) AS rows, format,
+       CASE WHEN format IS NULL THEN 0 ELSE count(*) END AS parsed, false AS ambiguous
+FROM w GROUP BY 1, format"""
+    o["scatter_points"] = _with(
+        """,
+h AS (SELECT hospital_admissions AS x, monthly_medical_cost AS y, CAST(floor(monthly_medical_cost / 5000) AS BIGINT) AS y_bin,
+             md5('points|' || member_id || '|' || CAST(month AS VARCHAR) || '|' || doctor_visits || '|' || CAST(round(monthly_medical_cost * 10000) AS BIGINT)) AS h FROM claims)
+SELECT x, round(y, 4) AS y, y_bin FROM (SELECT *, row_number() OVER (PARTITION BY x, y_bin ORDER BY h, y) AS k FROM h) WHERE k <= 20"""
+    )
+    o["first_rows"] = _with(
+        """
+SELECT member_id, CAST(month AS VARCHAR) AS month, round(monthly_medical_cost, 4) AS monthly_medical_cost, doctor_visits, medication_count
+FROM claims ORDER BY member_id, claims.month, claims.monthly_medical_cost, doctor_visits, medication_count LIMIT 5"""
+    )
+    o["leafwise_tree"] = _with(_leafwise(5, 20), PANEL, _INDEXED.format(source="panel"))
     return o

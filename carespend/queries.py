@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carespend.functions import clean, features
-from carespend.ml import encode, ensemble, evaluate, scoring, search, split
+from carespend.ml import boosting, conformal, encode, ensemble, evaluate, scoring, search, split
 from carespend.ml.quantile import QuantileForest
-from carespend.operators import aggregates, lookup, profile, quantiles, windows
+from carespend.operators import aggregates, lookup, order, profile, quantiles, windows
 from carespend.plans import advice, forecast, kpis, scenario
 from carespend.session import shared_path
 from carespend.sources import fixture, io
@@ -889,3 +891,120 @@ def bundle_same(spark, sf):
     after = scoring.predict(scoring.load_bundle(spark, path), frame, ["record_id"])
     same = F.col("p").eqNullSafe(F.col("prediction")) & F.col("a").eqNullSafe(F.col("q10"))
     return before.join(after, "record_id").select("record_id", same.alias("same"))
+
+
+# --- orders over whole tables, bands by tier, sparse inputs, versions, date shapes -----
+
+
+@query
+def rolling_over_table(spark, sf):
+    """The trailing mean over the whole table in the order of members and months, in runs of a few thousand rows."""
+    out = order.rolling_over_table(panel(spark, sf), run_rows=4000)
+    return rounded(out.select("member_id", day(), "cost_3m_avg"), cost_3m_avg=6)
+
+
+@query
+def position_folds(spark, sf):
+    """Rows and bounds of expanding folds by position in the order of members and months."""
+    folds = order.position_folds(panel(spark, sf), ["member_id", "month"], run_rows=4000)
+    out = folds.groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"), F.min("member_id").alias("first_member"), F.max("member_id").alias("last_member"), F.sum(TARGET).alias("total"))
+    return rounded(out, total=2)
+
+
+@query
+def conformal_bands(spark, sf):
+    """Bands around last month's cost, calibrated by tier on the months before the holdout and measured on the holdout."""
+    rows = io.stage(history(spark, sf).withColumn("tier", advice.cost_tier("prev_month_cost")), "history")
+    before, after = split.time_split(rows)
+    band = conformal.fit_band(before, "tier", "prev_month_cost", share=0.8)
+    inside = conformal.coverage(band.transform(after, "prev_month_cost"), "tier")
+    return rounded(band.table.join(inside, "tier", "left"), width=4)
+
+
+@query
+def sparse_inputs(spark, sf):
+    """The places of the categories of each claim in its sparse vector, the member being one of them."""
+    rows = io.stage(fixed(spark, sf).select("member_id", day(), "drug_category", "site_of_care", "age"), "categories")
+    design = encode.SparseDesign.fit(rows, ["age"], ["member_id", "drug_category", "site_of_care"])
+    found = design.transform(rows, ["member_id", "month"])
+    entries = F.col("features").cast("string")
+    listed = F.from_json(F.regexp_extract(entries, r"^\(\d+,(\[[^\]]*\])", 1), "array<int>")
+    out = found.select("member_id", "month", F.explode(listed).alias("place")).where(F.col("place") > 0)
+    return out.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("member_id").alias("members"))
+
+
+@query
+def table_replaced(spark, sf):
+    """A table replaced by rows computed from itself, its old version kept until it is dropped."""
+    path, name = shared_path(spark, "claims-versions"), f"carespend_replaced_{uuid.uuid4().hex[:8]}"
+    first = raw(spark, sf).withColumn("year", F.year("month")).select("member_id", "year", "drug_category", TARGET)
+    io.replace_table(first, name, path, ["year"])
+    io.replace_table(spark.table(name).where("drug_category IS NOT NULL"), name, path, ["year"])
+    out = spark.table(name).groupBy("year", "drug_category").agg(F.count(F.lit(1)).alias("n"), F.sum(TARGET).alias("total"))
+    kept = len(io.versions(spark, path))
+    return rounded(out.withColumn("versions", F.lit(kept)), total=2)
+
+
+def written_dates(spark: SparkSession, sf: str) -> DataFrame:
+    """Order dates as text, written in four ways, some of them not at all."""
+    key, date = F.col("o_orderkey"), F.col("o_orderdate")
+    ways = {0: "yyyy-MM-dd", 1: "dd/MM/yyyy", 2: "MMM d, yyyy", 3: "M-d-yyyy"}
+    text = F.when(key % 50 == 0, F.lit("unknown"))
+    for k, way in ways.items():
+        text = text.when(key % 4 == k, F.date_format(date, way))
+    return fixture.table(spark, sf, "orders").select(key.alias("order_key"), text.alias("written"))
+
+
+@query
+def parse_mixed(spark, sf):
+    rows = io.stage(written_dates(spark, sf), "written-dates")
+    out = clean.parse_mixed_dates(rows, "written")
+    return out.select("order_key", day("written"), F.col("written_ambiguous").alias("ambiguous"))
+
+
+@query
+def date_shapes(spark, sf):
+    """How the dates of a column are written, and by which format each shape is read."""
+    return clean.date_shapes(written_dates(spark, sf), "written")
+
+
+@query
+def scatter_points(spark, sf):
+    """Points of cost against admissions, the same ones wherever rows lie."""
+    cost = F.round(F.col(TARGET) * 10000).cast("long")
+    out = profile.scatter_points(raw(spark, sf), "hospital_admissions", [F.col("member_id"), F.col("month"), F.col("doctor_visits"), cost], k=20)
+    return rounded(out, y=4)
+
+
+@query
+def first_rows(spark, sf):
+    """The first claims by member, month and cost."""
+    cols = ["member_id", "month", TARGET, "doctor_visits", "medication_count"]
+    return rounded(profile.head(raw(spark, sf).select(cols), cols, 5).withColumn("month", F.col("month").cast("string")), **{TARGET: 4})
+
+
+# --- boosting that SQL can check, and quantiles -----------------------------------------
+
+
+def tree_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Claims per member and month with inputs of few values."""
+    rows = features.date_features(staged_panel(spark, sf))
+    inputs = [F.col(c).cast("double") for c in ("time_index", "month_num", "quarter")] + [(F.col("member_id") % 17).cast("double")]
+    return rows.select("member_id", "month", TARGET, array_to_vector(F.array(*inputs)).alias("features"))
+
+
+@query
+def leafwise_tree(spark, sf):
+    """The leaves of one leaf-wise tree: rows and mean cost of each."""
+    rows = io.stage(tree_rows(spark, sf), "tree-rows")
+    model = boosting.Boosting(boosting.Settings(rounds=1, rate=1.0, leaves=6, least=20)).fit(rows)
+    placed = model.leaves(model.transform(rows), "leaf")
+    out = placed.groupBy(F.col("leaf")[0].alias("leaf")).agg(F.count(F.lit(1)).alias("n"), F.min("prediction").alias("mean_cost"))
+    return rounded(out.drop("leaf"), mean_cost=1)
+
+
+@query
+def boosted_quantiles(spark, sf):
+    """P10 and P90 of the holdout by boosted quantiles."""
+    train, test, _ = design_rows(spark, sf)
+    return boosting.QuantileBoosting().fit(train).transform(test).select("record_id", TARGET, "q10", "q90")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
+import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -110,6 +113,54 @@ def write_claims(
     writer.format("parquet").saveAsTable(table)
 
 
+def _files(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """The complete versions of a table below ``path``, oldest first. A version whose write did not end is not among them."""
+    folder, files = _files(spark, path)
+    if not files.exists(folder):
+        return []
+    names = sorted(s.getPath().getName() for s in files.listStatus(folder) if s.getPath().getName().startswith("version-"))
+    return [n for n in names if files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, f"{n}/_SUCCESS"))]
+
+
+def replace_table(df: DataFrame, name: str, path: str, partition_by: Iterable[str] = ()) -> DataFrame:
+    """Replace the rows of the table ``name``, or make it, and return the new table.
+
+    The rows are written beside the old ones, as a version of their own below ``path``; then
+    the name, a view over one version, is pointed at them in a single catalog call. A write
+    that fails leaves the old table as it was, readers that have begun keep their files, and
+    a table can be replaced by what is computed from itself. ``drop_versions`` deletes old files.
+    """
+    spark = df.sparkSession
+    version = f"{path}/version-{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    columns = list(partition_by)
+    writer = df.hint("rebalance", *columns).write if columns else df.write
+    (writer.partitionBy(*columns) if columns else writer).parquet(version)
+    stored = spark.read.schema(df.schema).parquet(version).select(df.columns)
+    if columns and stored.isEmpty():  # a partitioned write without rows leaves no file to tell the columns
+        stored.coalesce(1).write.mode("append").parquet(version)
+    fields = ", ".join(f"CAST(`{f.name}` AS {f.dataType.simpleString()}) AS `{f.name}`" for f in df.schema.fields)
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {fields} FROM parquet.`{version}`")
+    return stored
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Delete all but the newest ``keep`` complete versions, and what failed writes have left before them. Call it when no reader needs them."""
+    folder, files = _files(spark, path)
+    kept = versions(spark, path)[-max(1, keep) :]
+    gone = []
+    for s in files.listStatus(folder) if kept else []:
+        name = s.getPath().getName()
+        if name.startswith("version-") and name < kept[0]:
+            files.delete(s.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 def read_records(spark: SparkSession, path: str, bad_fields: str | None = None) -> DataFrame:
     """Scoring records from JSON lines; fields a record leaves out are null.
 

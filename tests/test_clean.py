@@ -149,3 +149,34 @@ def test_dates_of_one_pattern(spark):
     df = spark.createDataFrame([("31/12/2024",), ("2024-12-31",), (None,)], "d string")
     got = clean.parse_dates(df, ["d"], fmt="dd/MM/yyyy").collect()
     assert [str(r["d"]) for r in got] == ["2024-12-31", "None", "None"]
+
+
+def written(spark, texts):
+    return spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, d string")
+
+
+def test_mixed_dates(spark):
+    texts = ["2024-03-05", "2024-12-31", "31/12/2023", "01/02/2023", " 5/6/2022 ", "12-25-2021", "3-4-2021", "Mar 7, 2020", "8 Apr 2019", "20180910", "2017-11", "junk", "", None, "99/99/2020"]
+    rows = clean.parse_mixed_dates(written(spark, texts), "d").orderBy("k").collect()
+    assert [r["d"] and r["d"].isoformat() for r in rows] == [
+        "2024-03-05", "2024-12-31", "2023-12-31", "2023-02-01", "2022-06-05", "2021-12-25", "2021-03-04", "2020-03-07", "2019-04-08", "2018-09-10", "2017-11-01", None, None, None, None,
+    ]
+    assert not any(r["d_ambiguous"] for r in rows)
+
+
+def test_days_and_months_that_cannot_be_told_apart(spark):
+    df = written(spark, ["01/02/2023", "03/04/2023", "2023-01-02"])
+    shapes = {r["shape"]: r for r in clean.date_shapes(df, "d").collect()}
+    assert shapes["9/9/9999"]["ambiguous"] and shapes["9/9/9999"]["format"] == "d/M/yyyy" and not shapes["9999-9-9"]["ambiguous"]
+    rows = clean.parse_mixed_dates(df, "d").orderBy("k").collect()
+    assert [r["d_ambiguous"] for r in rows] == [True, True, False] and rows[0]["d"].isoformat() == "2023-02-01"
+    # the same day and month read alike either way
+    alike = clean.date_shapes(written(spark, ["01/01/2023", "02/02/2023"]), "d").first()
+    assert not alike["ambiguous"]
+
+
+def test_known_shapes_serve_new_rows(spark):
+    shapes = clean.date_shapes(written(spark, ["12/31/2023", "01/02/2023"]), "d")
+    rows = clean.parse_mixed_dates(written(spark, ["03/04/2023", "2020-01-01"]), "d", shapes=shapes).orderBy("k").collect()
+    assert rows[0]["d"].isoformat() == "2023-03-04" and rows[1]["d"] is None
+    assert clean.parse_mixed_dates(written(spark, ["x"]).limit(0), "d").collect() == []

@@ -364,3 +364,39 @@ def test_sparks_own_models_still_serve(spark, tmp_path):
     scoring.save_bundle(bundle, spark, f"{tmp_path}/bundle")
     again = scoring.load_bundle(spark, f"{tmp_path}/bundle")
     assert sorted(map(tuple, scoring.predict(again, df, ["x"]).collect())) == sorted(map(tuple, scoring.predict(bundle, df, ["x"]).collect()))
+
+
+def test_sparse_design_is_the_dense_one(spark):
+    """The same entries as one column per category, without centring."""
+    from pyspark.ml.functions import vector_to_array
+
+    fit = spark.createDataFrame([("b", 1.0, "x"), ("a", 2.0, "x"), (None, 4.0, "x"), ("c", 5.0, "x")], "g string, n double, one string")
+    design = encode.SparseDesign.fit(fit, ["n"], ["g", "one"])
+    assert design.size == 4 and design.sizes == {"g": 4, "one": 1}
+    new = spark.createDataFrame([(1, "a", 3.0), (2, "b", 3.0), (3, "zzz", None), (4, None, 0.0), (5, "c", 1.0)], "k int, g string, n double")
+    out = {r["k"]: r["f"] for r in design.transform(new, ["k"]).select("k", vector_to_array("features").alias("f")).collect()}
+    dense = encode.OneHotDropFirst.fit(fit, ["g"])
+    for r in dense.transform(new).collect():
+        assert out[r["k"]][1:] == [r[c] for c in dense.names()]
+        assert out[r["k"]][0] == pytest.approx(((r["n"] or 0.0) - design.scaler.mean["n"]) / design.scaler.std["n"])
+    absent = design.transform(new.select("k", "n"), ["k"]).select(vector_to_array("features").alias("f")).first()["f"]
+    assert absent[1:] == [0.0, 0.0, 0.0]
+
+
+def test_a_column_of_a_hundred_thousand_categories(spark, monkeypatch):
+    df = spark.range(100_000).select("id", F.concat(F.lit("c"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("g"), F.col("id").cast("double").alias("n"))
+    design = encode.SparseDesign.fit(df, ["n"], ["g"])
+    assert design.size == 100_000
+    for limit in (10**6, 10):
+        monkeypatch.setattr(encode, "BROADCAST_VALUES", limit)
+        rows = {r["id"]: r["features"] for r in design.transform(df.where("id IN (0, 1, 99999)"), ["id"]).collect()}
+        assert rows[0].indices.tolist() == [0] and rows[1].indices.tolist() == [0, 1] and rows[99999].indices.tolist() == [0, 99_999]
+        assert rows[1].size == 100_000
+
+
+def test_boosting_takes_sparse_vectors(spark):
+    df = spark.range(400).select(F.col("id").cast("string").substr(-1, 1).alias("g"), F.col("id").cast("double").alias("n"), ((F.col("id") % 10) * 100.0).alias(TARGET))
+    design = encode.SparseDesign.fit(df, ["n"], ["g"])
+    rows = design.transform(df, [TARGET])
+    out = ensemble.binned_boosted(rounds=10, rate=0.5).fit(rows).transform(rows)
+    assert evaluate.evaluate(out).first()["r2"] > 0.99

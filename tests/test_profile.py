@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from carespend.operators import profile, quantiles
 
@@ -96,3 +97,53 @@ def test_correlations_are_pairwise_complete(spark):
 
 def test_driver_list(spark):
     assert profile.driver_list(spark).count() == 5
+
+
+def repeated(spark):
+    rows = [(1, "a", 0.0), (1, "a", -0.0), (2, None, 1.0), (2, None, 1.0), (2, None, 1.0), (3, "b", float("nan")), (3, "b", float("nan")), (4, "c", 2.0), (None, None, None), (1, "b", 0.0)]
+    return spark.createDataFrame(rows, "a int, b string, c double").repartition(4)
+
+
+def counted(df):
+    grouped = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    return sorted((str(tuple(r)) for r in grouped.collect()))
+
+
+@pytest.mark.parametrize("collide", [False, True])
+def test_repeated_rows_are_compared_as_a_whole(spark, collide):
+    """The same rows whether hashes tell rows apart or all of them meet."""
+    df = repeated(spark)
+    hashes = (lambda d: [F.lit(1), F.col("a") * 0]) if collide else profile.row_hashes
+    got = sorted(str(tuple(r)) for r in profile.repeated_rows(df, hashes).collect())
+    assert got == counted(df) and len(got) == 3
+
+
+def test_unique_rows_stay_where_they_are(spark, monkeypatch):
+    df = spark.range(2000).withColumn("text", F.repeat(F.col("id").cast("string"), 20)).union(spark.createDataFrame([(5, "5" * 20)], "id long, text string"))
+    assert tuple(profile.duplicates(df).first()) == (2001, 1)
+    for limit in (10**6, 0):  # known hashes are broadcast, or meet the rows by a shuffle
+        monkeypatch.setattr(profile, "BROADCAST_HASHES", limit)
+        assert [tuple(r) for r in profile.repeated_rows(df).collect()] == [(5, "5" * 20, 2)]
+        moved = profile.repeated_rows(df)._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in moved) == (limit == 0) or limit == 0
+
+
+def test_scatter_points_do_not_depend_on_partitions(spark):
+    df = spark.range(3000).select((F.col("id") % 3).alias("x"), (F.col("id") * 7 % 20000).cast("double").alias("y"), "id")
+    take = lambda d: sorted(map(tuple, profile.scatter_points(d, "x", [F.col("id")], "y", 5000.0, 4).collect()))
+    got = take(df)
+    assert got == take(df.repartition(13)) == take(df.orderBy(F.desc("id")).coalesce(1))
+    cells = {}
+    for x, _, cell in got:
+        cells[x, cell] = cells.get((x, cell), 0) + 1
+    assert set(cells.values()) == {4} and len(cells) == 12
+    # those of all rows are among those of each half
+    halves = take(df.where("id % 2 = 0")) + take(df.where("id % 2 = 1"))
+    assert set(got) <= set(halves)
+    other = sorted(map(tuple, profile.scatter_points(df, "x", [F.col("id")], "y", 5000.0, 4, "again").collect()))
+    assert other != got
+
+
+def test_head(spark):
+    df = spark.createDataFrame([(3,), (None,), (1,), (2,)], "a int")
+    assert [r["a"] for r in profile.head(df, ["a"], 3).collect()] == [None, 1, 2]
