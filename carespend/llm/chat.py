@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 #: Message numbers that one task orders at a time within a conversation.
 BLOCK = 1024
-#: Room for rows that repeat a turn.
-REPEATS = 1 << 20
+#: Room for rows that repeat a turn, bound for turns, and room for the events of a message.
+REPEATS, TURNS, EVENTS = 1 << 32, 1 << 28, 8
 
 
 def escape(text: Column) -> Column:
@@ -108,18 +108,31 @@ def read_turns(text: Column) -> Column:
 
 
 def turn_events(turns: DataFrame) -> DataFrame:
-    """An event log of stored turns ``conv_id, turn, role, text``: each row is a message that arrives as two deltas.
+    """An event log whose fold is the stored turns ``conv_id, turn, role, text``, each row a message of its own.
 
-    Rows that repeat a turn are messages of their own, by role and text; rows without a turn come first.
+    A message begins with a wrong draft. An answer is then regenerated, after an early event of
+    the message behind it, which goes with that; any other message is edited. Its text comes in
+    two parts, and the second one is delivered twice. Events come in no order.
+
+    Rows that repeat a turn are ordered by role and text; rows without a turn come first. Turns
+    lie between -2 to the 28 and 2 to the 28, and a turn has at most 2 to the 32 rows.
     """
-    number = F.coalesce("turn", F.lit(-1)) * F.lit(REPEATS) + F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
+    place = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text")) - 1
+    number = F.coalesce(F.col("turn").cast("long"), F.lit(-TURNS)) * F.lit(REPEATS) + place
     text = F.coalesce("text", F.lit(""))
     half = F.floor(F.length(text) / 2).cast("int")
-    halves = F.array(F.substr(text, F.lit(1), half), F.substr(text, half + 1))
-    numbered = turns.select("conv_id", "role", number.alias("message"), halves.alias("halves"))
-    return numbered.select("conv_id", "role", "message", F.posexplode("halves").alias("k", "text")).select(
-        "conv_id", (F.col("message") * 2 + F.col("k")).alias("seq"), "message", F.lit("delta").alias("kind"), "role", "text"
-    )
+    numbered = turns.select("conv_id", "role", number.alias("message"), F.substr(text, F.lit(1), half).alias("one"), F.substr(text, half + 1).alias("two"))
+    own, answer = F.col("message"), F.col("role").eqNullSafe("assistant")
+
+    def event(step: int, kind: Column, said: Column, message: Column = own, role: Column | None = None) -> Column:
+        return F.struct((own * EVENTS + step).alias("seq"), message.alias("message"), kind.alias("kind"), (F.col("role") if role is None else role).alias("role"), said.alias("text"))
+
+    delta = F.lit("delta")
+    second = event(3, delta, F.col("two"))
+    early = event(1, delta, F.lit("too early"), own + 1, F.lit("user"))
+    settled = event(2, F.when(answer, "regenerate").otherwise("edit"), F.col("one"))
+    events = F.filter(F.array(second, settled, F.when(answer, early), event(0, delta, F.lit("a wrong draft")), second), lambda e: e.isNotNull())
+    return numbered.select("conv_id", F.inline(events))
 
 
 def digest(chats: DataFrame) -> DataFrame:

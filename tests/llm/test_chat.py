@@ -81,3 +81,15 @@ def test_round_trip(spark):
         assert r["turns_sha256"] == hashlib.sha256(lines.encode()).hexdigest()
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r["formatted_chars"] == len(raw[conv])
+
+
+def test_the_log_of_stored_turns_needs_every_kind_of_event(spark):
+    """Without edits, regenerations or the rule for repeated events, the fold would not be the stored turns."""
+    turns = [(1, 0, "user", "question"), (1, 1, "assistant", "answer"), (1, -1, "system", "s"), (1, None, "system", "first"), (2, 5, "assistant", "only")]
+    log = chat.turn_events(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    rows = log.collect()
+    assert {r["kind"] for r in rows} == {"delta", "edit", "regenerate"} and len(set(rows)) < len(rows)
+    assert [r["seq"] for r in rows if r["conv_id"] == 2] != sorted(r["seq"] for r in rows if r["conv_id"] == 2)
+    events = [(r["conv_id"], r["seq"], r["message"], r["kind"], r["role"], r["text"]) for r in rows]
+    assert [(c, role, text) for c, _, role, text in folded(spark, events)] == [(1, "system", "first"), (1, "system", "s"), (1, "user", "question"), (1, "assistant", "answer"), (2, "assistant", "only")]
+    assert folded(spark, events) == replay(events)
