@@ -22,7 +22,7 @@ SEQUENCE = 2048
 #: Pieces that one task ranks at most, about.
 RANKED = 1_000
 #: Word forms of a generation; a worker remembers two of them, over all its tasks.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 #: Word forms that are encoded at a time.
 TOGETHER = 2000
 
@@ -110,6 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str =
     content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier stages have left in this worker
         encoder = encoder_of(content.value)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
