@@ -171,8 +171,13 @@ FROM w LEFT JOIN c USING (doc_id) LEFT JOIN o USING (doc_id)
 """
 
 
-def _kind_sql(number: int, name: str, pattern: str, group: int, least: int) -> str:
-    rule = pattern.replace("'", "''")
+# The patterns of the contract, and of the added kind of long mixed values, as SQL text; the group that holds the value and its least length.
+_ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+_KINDS = [("assign", _ASSIGN, 2, 8), ("access", "AKIA[A-Z0-9]{12,}", 0, 16), ("hex", "[0-9a-f]{32,}", 0, 32), ("owned", "[A-Za-z0-9+/_-]{24,}={0,2}", 0, 24)]
+
+
+def _kind_sql(number: int) -> str:
+    name, rule, group, least = _KINDS[number]
     return f"""
     SELECT doc_id, owner, {number} AS kind, '{name}' AS name, v AS value, pos AS start, pos + length(m) AS stop
     FROM (SELECT doc_id, owner, m, v, CAST(sum(length(b)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS pos
@@ -183,19 +188,20 @@ def _kind_sql(number: int, name: str, pattern: str, group: int, least: int) -> s
     WHERE length(v) >= {least}"""
 
 
+# A value under three owners or in ten documents is a copied example; one that a single owner has in fewer is live.
 SECRETS_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS text FROM documents),
-base AS ({" UNION ALL ".join(_kind_sql(k, *rule) for k, rule in enumerate(secret_scan.BASE))}),
-more AS (SELECT * FROM ({_kind_sql(len(secret_scan.BASE), *secret_scan.OWNED)}) AS o
+base AS ({_kind_sql(0)} UNION ALL {_kind_sql(1)} UNION ALL {_kind_sql(2)}),
+more AS (SELECT * FROM ({_kind_sql(3)}) AS o
          WHERE regexp_matches(value, '[0-9]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[A-Z]')
            AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = o.doc_id AND b.start < o.stop AND o.start < b.stop)),
 found AS (SELECT * FROM base UNION ALL SELECT * FROM more),
-owned AS (SELECT value, count(DISTINCT owner) AS owners FROM found GROUP BY value),
-judged AS (SELECT *, name || ':' || start || ':' || stop AS written FROM found JOIN owned USING (value) WHERE kind < {len(secret_scan.BASE)} OR owners = 1),
+owned AS (SELECT value, count(DISTINCT owner) AS owners, count(DISTINCT doc_id) AS repos FROM found GROUP BY value),
+judged AS (SELECT *, name || ':' || start || ':' || stop AS written, owners = 1 AND repos < 10 AS live, owners >= 3 OR repos >= 10 AS example
+           FROM found JOIN owned USING (value) WHERE kind < 3 OR (owners = 1 AND repos < 10)),
 t AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
-             count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (owners = 1) AS n_live,
-             count(*) FILTER (owners >= {secret_scan.EXAMPLE_OWNERS}) AS n_example,
-             string_agg(written, ',' ORDER BY start, kind) FILTER (kind < {len(secret_scan.BASE)}) AS base,
+             count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (live) AS n_live, count(*) FILTER (example) AS n_example,
+             string_agg(written, ',' ORDER BY start, kind) FILTER (kind < 3) AS base,
              string_agg(written, ',' ORDER BY start, kind) AS spans
       FROM judged GROUP BY doc_id)
 SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_access", "n_hex", "n_owned", "n_live", "n_example"))},
@@ -203,14 +209,14 @@ SELECT doc_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("n_assign", "n_ac
 FROM d LEFT JOIN t USING (doc_id)
 """
 
-LINES_SQL = f"""
+LINES_SQL = """
 WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i
            FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 h AS (SELECT *, CAST('0x' || substr(md5(line), 1, 8) AS BIGINT) AS h FROM l),
-e AS (SELECT *, (lag(h, 1, 0) OVER w * 31 + h) % {line_chunks.MEAN_LINES} = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+e AS (SELECT *, (lag(h, 1, 0) OVER w * 31 + h) % 4 = 0 AS ends FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
 n AS (SELECT *, coalesce(sum(CAST(ends AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM e),
 c AS (SELECT doc_id, pos, count(*) AS lines, string_agg(line, chr(10) ORDER BY i) AS chunk FROM n GROUP BY doc_id, pos),
-r AS (SELECT *, lines >= {line_chunks.LEAST_LINES} AND regexp_matches(chunk, '[^ \\t\\n\\x0B\\f\\r]')
+r AS (SELECT *, lines >= 2 AND regexp_matches(chunk, '[^ \\t\\n\\x0B\\f\\r]')
              AND row_number() OVER (PARTITION BY chunk ORDER BY doc_id, pos) > 1 AS gone FROM c)
 SELECT doc_id, CAST(sum(lines) AS BIGINT) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
        CAST(coalesce(sum(lines) FILTER (gone), 0) AS BIGINT) AS n_removed_lines,
