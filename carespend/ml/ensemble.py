@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 from pyspark import StorageLevel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -113,6 +114,25 @@ def apply_ridge(df: DataFrame, ridge: Ridge, name: str = "prediction") -> DataFr
     return df.withColumn(name, total)
 
 
+@dataclass(frozen=True)
+class FixedLinear:
+    """A linear model with given weights, for scoring by a formula that is known."""
+
+    weights: tuple[float, ...]
+    intercept: float = 0.0
+    features: str = "features"
+    predictionCol: str = "prediction"
+
+    def copy(self, names: Mapping[str, str]) -> FixedLinear:
+        return replace(self, predictionCol=names.get(self.predictionCol, self.predictionCol))
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        values, total = vector_to_array(self.features), F.lit(self.intercept)
+        for k, w in enumerate(self.weights):
+            total = total + values[k] * w
+        return df.withColumn(self.predictionCol, total)
+
+
 @dataclass
 class StackedModel:
     bases: dict[str, object]

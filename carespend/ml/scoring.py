@@ -44,13 +44,16 @@ def training_frame(claims: DataFrame, q: float = 0.995, fit_on: str = "train", h
     return clinical_features(cost_history(capped, order=order, hot_rows=hot_rows))
 
 
+Quantiles = Band | QuantileForestModel
+
+
 @dataclass
 class Bundle:
     """Everything needed to score new records."""
 
     design: Design
     model: StackedModel
-    quantiles: Band | QuantileForestModel | None = None
+    quantiles: Quantiles | None = None
     log_target: bool = False
     #: The first month of the training rows, from which months are counted, and their greatest cost.
     first_month: str | None = None
@@ -226,34 +229,63 @@ def _load(kind: str, spark: SparkSession, path: str):
     return Boosted.load(spark, path) if kind == "trees" else _KINDS[kind].load(path)
 
 
+def save_stack(model: StackedModel, spark: SparkSession, path: str) -> None:
+    for name, base in model.bases.items():
+        _save(base, spark, f"{path}/base-{name}")
+    known = {"bases": [[n, _kind(m)] for n, m in model.bases.items()], "intercept": model.meta.intercept, "weights": model.meta.weights}
+    write_meta(spark, f"{path}/stack", known)
+
+
+def load_stack(spark: SparkSession, path: str) -> StackedModel:
+    known = read_meta(spark, f"{path}/stack")
+    bases = {n: _load(kind, spark, f"{path}/base-{n}") for n, kind in known["bases"]}
+    return StackedModel(bases, Ridge(known["intercept"], known["weights"]))
+
+
+def save_quantiles(q: Quantiles, spark: SparkSession, path: str) -> None:
+    if isinstance(q, Band):
+        for k, model in enumerate(q.models.values()):
+            model.save(spark, f"{path}/quantile-{k}")
+        write_meta(spark, f"{path}/quantiles", {"boosted": list(q.models)})
+        return
+    q.forest.save(spark, f"{path}/quantile-forest")
+    q.table.write.mode("overwrite").parquet(f"{path}/quantile-leaves")
+    write_meta(spark, f"{path}/quantiles", {"qs": list(q.qs), "leaves": q.n_leaves})
+
+
+def load_quantiles(spark: SparkSession, path: str) -> Quantiles:
+    known = read_meta(spark, f"{path}/quantiles")
+    if "boosted" in known:
+        return Band({q: Boosted.load(spark, f"{path}/quantile-{k}") for k, q in enumerate(known["boosted"])})
+    table = spark.read.parquet(f"{path}/quantile-leaves")
+    return QuantileForestModel(Boosted.load(spark, f"{path}/quantile-forest"), tuple(known["qs"]), table, known["leaves"])
+
+
+def save_design(design: Design, spark: SparkSession, path: str) -> None:
+    known = {"numeric": design.numeric, "vocabulary": design.encoder.vocabulary, "mean": design.scaler.mean, "std": design.scaler.std, "feature_names": design.names}
+    write_meta(spark, f"{path}/design", known)
+
+
+def load_design(spark: SparkSession, path: str) -> Design:
+    known = read_meta(spark, f"{path}/design")
+    encoder = OneHotDropFirst(list(known["vocabulary"]), known["vocabulary"])
+    return Design(known["numeric"], encoder, Scale(list(known["mean"]), known["mean"], known["std"]))
+
+
 def save_bundle(bundle: Bundle, spark: SparkSession, path: str) -> None:
     """Write models and metadata below ``path``, replacing what is there."""
-    for name, model in bundle.model.bases.items():
-        _save(model, spark, f"{path}/base-{name}")
+    save_design(bundle.design, spark, path)
+    save_stack(bundle.model, spark, path)
+    if bundle.quantiles is not None:
+        save_quantiles(bundle.quantiles, spark, path)
     meta = {
-        "bases": [[n, _kind(m)] for n, m in bundle.model.bases.items()],
-        "ridge": {"intercept": bundle.model.meta.intercept, "weights": bundle.model.meta.weights},
-        "numeric": bundle.design.numeric,
-        "vocabulary": bundle.design.encoder.vocabulary,
-        "mean": bundle.design.scaler.mean,
-        "std": bundle.design.scaler.std,
-        "feature_names": bundle.design.names,
         "log_target": bundle.log_target,
         "first_month": bundle.first_month,
         "cap": bundle.cap,
         "metrics": bundle.metrics,
         "top_features": bundle.top_features,
-        "quantiles": None,
+        "quantiles": bundle.quantiles is not None,
     }
-    q = bundle.quantiles
-    if isinstance(q, Band):
-        meta["quantiles"] = {"boosted": list(q.models)}
-        for k, model in enumerate(q.models.values()):
-            model.save(spark, f"{path}/quantile-{k}")
-    elif q is not None:
-        meta["quantiles"] = {"qs": list(q.qs), "leaves": q.n_leaves}
-        q.forest.save(spark, f"{path}/quantile-forest")
-        q.table.write.mode("overwrite").parquet(f"{path}/quantile-leaves")
     write_meta(spark, f"{path}/meta", meta)
 
 
@@ -278,23 +310,13 @@ def load_bundle(spark: SparkSession, path: str, design: Design | None = None) ->
     if bare is not None:
         return bare
     meta = read_meta(spark, f"{path}/meta")
-    bases = {n: _load(kind, spark, f"{path}/base-{n}") for n, kind in meta["bases"]}
-    encoder = OneHotDropFirst(list(meta["vocabulary"]), meta["vocabulary"])
-    design = Design(meta["numeric"], encoder, Scale(list(meta["mean"]), meta["mean"], meta["std"]))
-    quantiles, known = None, meta["quantiles"]
-    if known and "boosted" in known:
-        quantiles = Band({q: Boosted.load(spark, f"{path}/quantile-{k}") for k, q in enumerate(known["boosted"])})
-    elif known:
-        table = spark.read.parquet(f"{path}/quantile-leaves")
-        quantiles = QuantileForestModel(Boosted.load(spark, f"{path}/quantile-forest"), tuple(known["qs"]), table, known["leaves"])
-    model = StackedModel(bases, Ridge(meta["ridge"]["intercept"], meta["ridge"]["weights"]))
     return Bundle(
-        design,
-        model,
-        quantiles,
+        load_design(spark, path),
+        load_stack(spark, path),
+        load_quantiles(spark, path) if meta["quantiles"] else None,
         meta["log_target"],
-        meta.get("first_month"),
-        meta.get("cap"),
+        meta["first_month"],
+        meta["cap"],
         meta["metrics"],
         [tuple(t) for t in meta["top_features"]],
     )

@@ -894,4 +894,24 @@ SELECT member_id, CAST(month AS VARCHAR) AS month, round(monthly_medical_cost, 4
 FROM claims ORDER BY member_id, claims.month, claims.monthly_medical_cost, doctor_visits, medication_count LIMIT 5"""
     )
     o["leafwise_tree"] = _with(_leafwise(5, 20), PANEL, _INDEXED.format(source="panel"))
+    o["pipeline_same"] = o["bundle_same"]
+    o["linear_score"] = _with(
+        """,
+ranked AS (SELECT *, row_number() OVER (PARTITION BY member_id ORDER BY month DESC) AS r FROM panel),
+recent AS (SELECT member_id, max(CASE WHEN r = 1 THEN monthly_medical_cost END) AS last, avg(monthly_medical_cost) AS mean FROM ranked WHERE r <= 3 GROUP BY member_id),
+p AS (SELECT member_id || '/' || CAST(s.month AS VARCHAR) AS record_id, year(s.month) + 30 AS y, month(s.month) AS m,
+             last * 0.9e0 + mean * 0.1e0 + (time_index + 360) * 12e0 AS prediction
+      FROM indexed s JOIN recent USING (member_id)),
+a AS (SELECT *, pow(1.114e0, y - 2026) * coalesce(f, 1e0) AS scale FROM p LEFT JOIN season USING (m))
+SELECT record_id, printf('%04d-%02d', y, m) AS prediction_period, round(prediction, 3) AS prediction, round(prediction * scale, 2) AS adjusted_cost,
+       round(prediction * scale * 0.85e0, 2) AS lower, round(prediction * scale * 1.15e0, 2) AS upper
+FROM a""",
+        PANEL, _INDEXED.format(source="panel"), SEASON,
+    )
+    o["linear_latest"] = _with(
+        """
+SELECT CAST(year(month) AS INT) AS latest_year, round(prev_month_cost * 0.9e0 + cost_3m_avg * 0.1e0 + time_index * 12e0, 3) AS predicted_cost
+FROM indexed ORDER BY month DESC, member_id || '/' || CAST(month AS VARCHAR) DESC LIMIT 1""",
+        PANEL, HISTORY, _INDEXED.format(source="history"),
+    )
     return o

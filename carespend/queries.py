@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from carespend.functions import clean, features
-from carespend.ml import boosting, conformal, encode, ensemble, evaluate, scoring, search, split
+from carespend.ml import boosting, conformal, encode, ensemble, evaluate, pipeline, scoring, search, split
 from carespend.ml.quantile import QuantileForest
 from carespend.operators import aggregates, lookup, order, profile, quantiles, windows
 from carespend.plans import advice, forecast, kpis, scenario
@@ -1008,3 +1009,45 @@ def boosted_quantiles(spark, sf):
     """P10 and P90 of the holdout by boosted quantiles."""
     train, test, _ = design_rows(spark, sf)
     return boosting.QuantileBoosting().fit(train).transform(test).select("record_id", TARGET, "q10", "q90")
+
+
+@query
+def pipeline_same(spark, sf):
+    """Whether each holdout row gets the same scores from a small fitted pipeline and from the one loaded again."""
+    frame = training_rows(spark, sf)
+    numeric = clean.feature_columns(frame, drop=("record_id", "member_id", "month", TARGET, "holdout"))
+    stack = ensemble.Stacked({"rf": ensemble.forest(trees=4, depth=5), "gb": ensemble.boosted(rounds=4, rate=0.3)}, cv=2)
+    made = pipeline.scoring_pipeline(numeric, stack, QuantileForest(params={"trees": 3, "depth": 4}))
+    fitted = made.fit(io.stage(frame.where(~F.col("holdout")), "train"))
+    path = shared_path(spark, "pipeline")
+    fitted.write().overwrite().save(path)
+    rows = io.stage(frame.where("holdout"), "holdout")
+    scores = ["prediction", "q10", "q90"]
+    before = fitted.transform(rows).select("record_id", F.struct(*scores).alias("a"))
+    after = PipelineModel.load(path).transform(rows).select("record_id", F.struct(*scores).alias("b"))
+    return before.join(after, "record_id").select("record_id", (F.col("a").eqNullSafe(F.col("b")) & F.col("a.q10").isNotNull()).alias("same"))
+
+
+def fixed_bundle(months: DataFrame) -> scoring.Bundle:
+    """A bundle whose model is a known formula: nine tenths of last month's cost, a tenth of the mean, and 12 a month."""
+    inputs = ["prev_month_cost", "cost_3m_avg", "time_index"]
+    plain = encode.Scale([f"x_{c}" for c in inputs], {f"x_{c}": 0.0 for c in inputs}, {f"x_{c}": 1.0 for c in inputs})
+    design = encode.Design(inputs, encode.OneHotDropFirst([], {}), plain)
+    model = ensemble.StackedModel({"linear": ensemble.FixedLinear((0.9, 0.1, 12.0))}, ensemble.Ridge(0.0, {"p_linear": 1.0}))
+    return scoring.Bundle(design, model, first_month=months.agg(F.min("month").cast("string")).first()[0])
+
+
+@query
+def linear_score(spark, sf):
+    """Every member-month scored for its month of a projected year by a known formula, with the member's claims as history."""
+    months = io.stage(fixture.member_months(raw(spark, sf)), "member-months")
+    asked = F.format_string("%04d-%02d", F.year("month") + TO_PROJECTION, F.month("month"))
+    out = scoring.score(fixed_bundle(months), months.withColumn("prediction_month", asked).drop("month", TARGET), months)
+    return rounded(out.select("record_id", "prediction_period", "prediction", "adjusted_cost", "lower", "upper"), prediction=3, adjusted_cost=2, lower=2, upper=2)
+
+
+@query
+def linear_latest(spark, sf):
+    """The newest record's cost by the same formula, from its own month and its member's earlier claims."""
+    months = io.stage(fixture.member_months(raw(spark, sf)), "member-months")
+    return rounded(scoring.forecast_latest(fixed_bundle(months), months), predicted_cost=3)

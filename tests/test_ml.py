@@ -400,3 +400,23 @@ def test_boosting_takes_sparse_vectors(spark):
     rows = design.transform(df, [TARGET])
     out = ensemble.binned_boosted(rounds=10, rate=0.5).fit(rows).transform(rows)
     assert evaluate.evaluate(out).first()["r2"] > 0.99
+
+
+def test_a_fitted_pipeline_is_saved_and_loaded_as_one(spark, frame, tmp_path):
+    """Encoder, stack and either band as stages of a PipelineModel."""
+    from pyspark.ml import PipelineModel
+
+    from carespend.functions.clean import feature_columns
+    from carespend.ml.pipeline import scoring_pipeline
+
+    numeric = feature_columns(frame, drop=("record_id", "member_id", "month", TARGET, "holdout"))
+    rows = frame.where("holdout")
+    for k, learner in enumerate((QuantileForest(params={"trees": 3, "depth": 3}), QuantileBoosting(settings=Settings(rounds=4, leaves=4, rate=0.3)))):
+        stack = ensemble.Stacked({"rf": ensemble.forest(trees=3, depth=3), "gb": ensemble.boosted(rounds=3)}, cv=2)
+        fitted = scoring_pipeline(numeric, stack, learner).fit(frame.where(~F.col("holdout")))
+        fitted.write().overwrite().save(f"{tmp_path}/{k}")
+        loaded = PipelineModel.load(f"{tmp_path}/{k}")
+        assert [s.uid for s in loaded.stages] == [s.uid for s in fitted.stages]
+        scores = ["record_id", "prediction", "q10", "q90"]
+        a, b = (sorted(map(tuple, m.transform(rows).select(scores).collect())) for m in (fitted, loaded))
+        assert a == b and len(a) == rows.count()
