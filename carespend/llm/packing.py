@@ -22,7 +22,7 @@ SEQUENCE = 2048
 #: Pieces that one task ranks at most, about.
 RANKED = 1_000
 #: Word forms of a generation; a worker remembers two of them, over all its tasks.
-REMEMBERED = 150_000
+REMEMBERED = 320_000
 #: Word forms that are encoded at a time.
 TOGETHER = 2000
 
@@ -35,9 +35,11 @@ class Encoder:
     opening of a special token are encoded whole.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
+        self.remembered = remembered
+
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[bytes, bytes] = {b"": b""}
         self.older: dict[bytes, bytes] = {}
@@ -78,7 +80,7 @@ class Encoder:
         cut = self.forms(data, offsets)
         for k in opened:
             cut[k] = []
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known, self.older = {b"": b""}, self.known
         new = set().union(*cut).difference(self.known)
         seen = new.intersection(self.older)
@@ -92,26 +94,27 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(vocabulary: str) -> Encoder:
+def encoder_of(vocabulary: str, remembered: int = REMEMBERED) -> Encoder:
     """The encoder that this worker has for a vocabulary; Spark keeps workers, and so what was learned, over tasks."""
     digest = hashlib.sha256(vocabulary.encode()).hexdigest()
     if digest not in _ENCODERS:
         _ENCODERS.clear()  # one vocabulary at a time
         _ENCODERS[digest] = Encoder(vocabulary)
+    _ENCODERS[digest].remembered = remembered
     return _ENCODERS[digest]
 
 
-def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """The tokens of each text and a closing id 0, cut into pieces of ``size`` tokens.
 
     ``vocabulary`` is the path of a tokenizer file; the driver reads it and sends its few
-    megabytes along. Columns: ``doc_id, piece, start, length, ids_crc32``.
+    megabytes along. A worker remembers ``remembered`` forms twice over, about 150 bytes each. Columns: ``doc_id, piece, start, length, ids_crc32``.
     """
     content = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pa.default_memory_pool().release_unused()  # what earlier stages have left in this worker
-        encoder = encoder_of(content.value)
+        encoder = encoder_of(content.value, remembered)
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
             for a, b in slices(offsets):
@@ -204,7 +207,7 @@ def ranked(cut: DataFrame, counts: dict[int, int], per_task: int = RANKED) -> Da
     )
 
 
-def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Place every text, as tokens with a closing id 0, into sequences of ``size`` tokens.
 
     Returns a row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
@@ -214,7 +217,7 @@ def pack(docs: DataFrame, vocabulary: str, size: int = SEQUENCE, id_col: str = "
     Null text counts as empty and gives the closing id alone. Rows that repeat an id are
     packed each. No rows give no rows; other columns are ignored, whatever their names.
     """
-    cut = stage(pieces(docs, vocabulary, size, id_col, text_col), "pieces")
+    cut = stage(pieces(docs, vocabulary, size, id_col, text_col, remembered), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     slots = docs.sparkSession.createDataFrame(
         plan_slots(counts, size), "length long, _rank long, _count long, _each long, _sequence long, _offset long"

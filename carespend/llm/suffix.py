@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from carespend.llm.joins import sized
 from carespend.llm.text import SpanHash, column_bytes, mixed, slices
+from carespend.operators.order import positions
 from carespend.sources.io import stage
 
 #: Bytes of a string that counts as repeated.
@@ -393,6 +394,17 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return spans
 
 
+def with_places(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key per id and text: the id, or the place in the order of ids and texts where an id has several texts."""
+    told = docs.withColumn("told", F.xxhash64("text"))
+    rows = stage(told.select("key", "told"), "texts-of-ids")
+    several = rows.groupBy("key").agg(F.min("told").alias("a"), F.max("told").alias("b")).where("a <> b")
+    if not several.take(1):
+        return docs
+    placed = sized(positions(rows.distinct(), ["key", "told"], "place"), "places")
+    return told.join(placed, ["key", "told"]).drop("key", "told").withColumnRenamed("place", "key").select(docs.columns)
+
+
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """Texts without the bytes of strings of ``length`` bytes that also start earlier, in a lesser id or before in the same text.
 
@@ -401,12 +413,13 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     judged on the input and may overlap; none crosses texts.
 
     Null text counts as empty. Ids are integers; a null id comes before all others. Rows that
-    repeat an id are one document, so they lose the same bytes and none to each other at the
-    same place; if their texts differ, the result is right for copies of a run in other ids. No
+    repeat an id and its text are one document: they lose the same bytes and none to each
+    other. Other rows that repeat an id are documents of their own, in the order of a hash. No
     rows give no rows; other columns are ignored, whatever their names.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))
     own = docs.select(F.col(id_col).alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    own = with_places(own)
     found = repeated_spans(own, length, gram)
     lists = found.groupBy("key").agg(F.collect_list(F.struct("begin", "end")).alias("found"))
     ids = sized(found.select("key").distinct(), "keys-of-spans")

@@ -116,14 +116,11 @@ def test_rank_over_buckets(spark):
         assert sorted(r["rank"] for r in got if r["length"] == length) == list(range(250))
 
 
-def test_forms_outlive_their_generation(monkeypatch):
+def test_forms_outlive_their_generation():
     """Forms that are still used move on to the new generation; the others go with the second change."""
     import pyarrow as pa
 
-    from carespend.llm import packing
-
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
-    encoder, plain = Encoder(open(VOCABULARY).read()), Encoder(open(VOCABULARY).read())
+    encoder, plain = Encoder(open(VOCABULARY).read(), 3), Encoder(open(VOCABULARY).read())
     for k in range(12):
         texts = pa.array([f"always word{k} other{k}", f"word{k} again{k // 2}"])
         data, offsets = column_bytes(texts)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from carespend.llm import suffix
 from carespend.llm.suffix import common_prefixes, first_windows, suffix_dedup, suffix_order, word_ranks
@@ -104,6 +105,21 @@ def test_repeated_ids(spark):
     assert got == [(1, len(text)), (1, len(text)), (2, 0)]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_texts_of_an_id_are_documents_of_their_own(spark, seed):
+    """In the order of ids, and of a hash within an id; no other id is spoilt by them."""
+    rng = random.Random(seed)
+    p, q, fill = ("".join(rng.choice("abcdefgh ") for _ in range(n)) for n in (400, 400, 90))
+    rows = [(1, p), (1, q + p), (1, q[:200]), (2, "five " + p[:250]), (3, q[:130] + "!"), (4, p + q), (1, q[:200]), (None, fill + q[300:]), (None, fill), (5, fill + fill)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    told = {r["text"]: r["h"] for r in docs.select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, told[r[1]]))
+    want = expected([(k, t) for k, (_, t) in enumerate(order)], 100)
+    kept = {r: want[k][1] for k, r in enumerate(order)}
+    got = sorted((str(r["doc_id"]), bytes(r["kept"])) for r in suffix_dedup(docs).collect())
+    assert got == sorted((str(i), kept[i, t]) for i, t in rows)
+
+
 def test_empty(spark):
     assert suffix_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
