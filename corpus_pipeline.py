@@ -9,6 +9,8 @@ from carespend.llm import decontaminate, line_chunks, minhash, packing, toxicity
 from carespend.llm.joins import sized
 from carespend.sources.io import stage
 
+#: Word forms that packing remembers, twice over; fewer than by default, as workers also hold what earlier stages left.
+REMEMBERED = 150_000
 #: SQL has neither the language models nor the tokenizer.
 ORACLE_SQL = None
 
@@ -56,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents and their places in sequences of 2048 tokens."""
     import public_tokenizers  # where the vocabulary files lie; no other stage needs it
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), remembered=REMEMBERED)
 
 
 STAGES = [
