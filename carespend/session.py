@@ -30,20 +30,22 @@ def shared_root(spark: SparkSession) -> str:
     return (named or spark.conf.get("spark.sql.warehouse.dir") + "/_staged").rstrip("/")
 
 
-def staged_root(spark: SparkSession) -> str:
-    """The part of the shared folder that belongs to this application."""
-    return f"{shared_root(spark)}/staged-{spark.sparkContext.applicationId}"
+#: What each application has put into the shared folder.
+_staged: dict[str, list[str]] = {}
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{staged_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _staged.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete what this application has staged; frames that read it cannot be used any more."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(staged_root(spark))
-    root.getFileSystem(spark._jsc.hadoopConfiguration()).delete(root, True)
+    for path in _staged.pop(spark.sparkContext.applicationId, []):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:

@@ -125,3 +125,17 @@ def test_record_numbers_as_text(spark, tmp_path):
             "Row(age=None, bmi=None, hospital_admissions=None, bad=[])",
         ]
     )
+
+
+def test_staged_files_are_deleted_on_request(spark, monkeypatch):
+    """Those of this application that were staged since, and no others."""
+    from pathlib import Path
+
+    monkeypatch.setattr(session, "_staged", {})
+    other = Path(session.shared_root(spark)) / "of-others"
+    other.mkdir()
+    kept = io.stage(spark.range(3), "kept")
+    paths = [Path(p) for ps in session._staged.values() for p in ps]
+    assert kept.count() == 3 and len(paths) == 1 and paths[0].is_dir()
+    session.drop_staged(spark)
+    assert not paths[0].exists() and other.is_dir() and session._staged == {}
