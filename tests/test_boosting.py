@@ -226,3 +226,44 @@ def test_a_tree_of_records_is_the_tree_of_its_nodes():
         other.value = np.array([n.g / n.n for n in order])
         assert tree.predict(bins) == pytest.approx(other.predict(bins))
         assert sorted(tree.gain[tree.gain > 0]) == sorted(other.gain[other.gain > 0])
+
+
+def test_columns_that_features_share_give_the_same_histogram():
+    from carespend.ml.trees import Layout
+
+    rng = np.random.default_rng(6)
+    cuts = [np.arange(float(k)) for k in (254, 1, 2, 9, 0, 60, 254, 1, 1, 2, 2, 2, 30)]
+    bins = np.column_stack([rng.integers(0, len(c) + 1, 3000) for c in cuts]).astype(np.uint8)
+    g = rng.integers(-(2**34), 2**34, 3000).astype(float)
+    layout = Layout(cuts)
+    assert len(layout.shared) < len(cuts) and sorted(f for fs in layout.shared for f in fs) == list(range(len(cuts)))
+    for rows in (None, np.sort(rng.integers(0, 3000, 2500))):
+        own = np.arange(3000) if rows is None else rows
+        codes = (bins[own] + layout.starts).ravel()
+        h = layout.counted(layout.columns(bins), rows, g[own])
+        assert h.counts.tolist() == np.bincount(codes, minlength=layout.total).tolist()
+        assert h.sums.tolist() == np.bincount(codes, np.repeat(g[own], len(cuts)), layout.total).tolist()
+
+
+def test_a_fit_of_few_rows_needs_no_request_per_round(frame, monkeypatch):
+    """Each round used to be a job of its own, so hundreds of rounds took minutes on few rows."""
+    fits = [Fit(Settings(rounds=4, leaves=6)), Fit(Settings(rounds=3, quantile=0.3, leaves=6)), Fit(Settings(rounds=2, depth=3, leaves=None), without=1)]
+    node_by_node = fit_together(frame, fits, "y", part="part", gathered=0)
+
+    def no_round(*args):
+        raise AssertionError("a request for a round")
+
+    monkeypatch.setattr(boosting.Rounds, "grow", no_round)
+    for a, b in zip(node_by_node, fit_together(frame, fits, "y", part="part"), strict=True):
+        assert [t.value[t.feature < 0].tolist() for t in a.trees] == [t.value[t.feature < 0].tolist() for t in b.trees]
+
+
+def test_subtrees_grown_apart_are_put_in_place(frame, data):
+    """Trees without a limit of leaves, whose lower parts come from several tasks."""
+    forest = boosting.Forest(trees=3, depth=7, least=3, label="y")
+    whole, parts = (fit_together(frame, forest.fits(), "y", gathered=n) for n in (5000, 600))
+    bins = boosting.Layout(whole[0].cuts).bins(data[0])
+    for a, b in zip(whole, parts, strict=True):
+        s, t = a.trees[0], b.trees[0]
+        assert s.predict(bins).tolist() == t.predict(bins).tolist() and sorted(s.gain) == sorted(t.gain)
+        assert s.leaves(bins).tolist() == s.leaves_by_column(np.ascontiguousarray(bins.T)).tolist()
