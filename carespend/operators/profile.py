@@ -102,26 +102,38 @@ def row_hashes(df: DataFrame) -> list[Column]:
     return [F.xxhash64(*values), F.xxhash64(F.lit("second"), *reversed(values))]
 
 
-def repeated_rows(df: DataFrame, hashes: Callable[[DataFrame], list[Column]] = row_hashes) -> DataFrame:
+def hash_counts(df: DataFrame, hashes: Callable[[DataFrame], list[Column]] = row_hashes) -> DataFrame:
+    """``key, n``: each pair of hashes that several rows have with its rows, and a null key with all other rows."""
+    names = ["_hash_0", "_hash_1"]
+    counts = df.select(*[h.alias(c) for c, h in zip(names, hashes(df), strict=True)]).groupBy(*names).agg(F.count(F.lit(1)).alias("_n"))
+    return stage(counts.groupBy(F.when(F.col("_n") > 1, F.struct(*names)).alias("key")).agg(F.sum("_n").alias("n")), "repeated-hashes")
+
+
+def repeated_rows(df: DataFrame, hashes: Callable[[DataFrame], list[Column]] = row_hashes, counts: DataFrame | None = None) -> DataFrame:
     """Each distinct row that occurs more than once, with its ``copies``.
 
-    Only hashes of all rows are shuffled at first. Rows whose hash occurs once cannot repeat
-    and stay where they are; the others are compared as a whole, so hashes that meet by
-    chance do no harm. ``df`` is read twice. Above ``BROADCAST_HASHES`` repeated hashes these
-    meet the rows by a shuffle of all rows.
+    Only hashes of all rows are shuffled at first; ``counts`` are those of ``hash_counts``, if they
+    are there already. Rows whose hash occurs once cannot repeat and stay where they are; the
+    others are compared as a whole, so hashes that meet by chance do no harm. ``df`` is read
+    twice, or once where no hash repeats. Above ``BROADCAST_HASHES`` repeated hashes these meet
+    the rows by a shuffle of all rows.
     """
     names = ["_hash_0", "_hash_1"]
+    often = (hash_counts(df, hashes) if counts is None else counts).where("key IS NOT NULL").select("key.*")
+    n = often.count()
+    if not n:
+        return df.limit(0).withColumn("copies", F.lit(0).cast("long"))
     hashed = df.withColumns(dict(zip(names, hashes(df), strict=True)))
-    often = stage(hashed.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*names), "repeated-hashes")
-    often = F.broadcast(often) if often.count() <= BROADCAST_HASHES else often
+    often = F.broadcast(often) if n <= BROADCAST_HASHES else often
     rows = hashed.join(often, names, "left_semi").drop(*names)
     return rows.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
 def duplicates(df: DataFrame) -> DataFrame:
-    """How many rows repeat an earlier row; rows that occur once are not moved."""
-    total = df.agg(F.count(F.lit(1))).scalar()
-    counts = repeated_rows(df).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
+    """How many rows repeat an earlier row; rows that occur once are not moved, and rows are counted along with their hashes."""
+    found = hash_counts(df)
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+    counts = repeated_rows(df, counts=found).agg(F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicate_rows"))
     return counts.select(total.alias("row_count"), "duplicate_rows")
 
 

@@ -147,3 +147,19 @@ def test_scatter_points_do_not_depend_on_partitions(spark):
 def test_head(spark):
     df = spark.createDataFrame([(3,), (None,), (1,), (2,)], "a int")
     assert [r["a"] for r in profile.head(df, ["a"], 3).collect()] == [None, 1, 2]
+
+
+def test_rows_are_counted_along_with_their_hashes(spark):
+    """Where nothing repeats, the rows are read once; otherwise twice."""
+    for copies, passes in ((1, 1), (2, 2)):
+        read = spark.sparkContext.accumulator(0)
+
+        def counted(batches, read=read):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        rows = [(i, None if i % 5 == 0 else f"v{i}") for i in range(30)] + [(7, "v7")] * (copies - 1)
+        df = spark.createDataFrame(rows, "a int, b string").mapInArrow(counted, "a int, b string")
+        assert [tuple(r) for r in profile.duplicates(df).collect()] == [(len(rows), copies - 1)]
+        assert read.value == passes * len(rows)
