@@ -86,3 +86,23 @@ def test_no_documents(spark, tmp_path):
 
 def test_no_sql():
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_workers_get_few_rows_at_a_time_while_stages_are_written(spark, tmp_path, monkeypatch):
+    """Batches of 10,000 texts left the workers too large for the stages after them."""
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+
+    def sizes(spark, docs, folder):
+        def run(batches):
+            for batch in batches:
+                yield batch.append_column("n", [[batch.num_rows] * batch.num_rows])
+
+        return docs.mapInArrow(run, "doc_id long, text string, n long")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", sizes), ("all", lambda spark, docs, folder: docs)])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 9000 and out.agg({"n": "max"}).first()[0] <= corpus_pipeline.BATCH
+    assert spark.conf.get(key) == before
