@@ -1,6 +1,7 @@
 """The pipeline, stage by stage, against brute force on its own inputs."""
 
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from test_decontaminate import expected as hits
 from test_line_chunks import expected as lines
@@ -96,7 +97,7 @@ def test_workers_get_few_rows_at_a_time_while_stages_are_written(spark, tmp_path
     def sizes(spark, docs, folder):
         def run(batches):
             for batch in batches:
-                yield batch.append_column("n", [[batch.num_rows] * batch.num_rows])
+                yield batch.append_column("n", pa.array([batch.num_rows] * batch.num_rows))
 
         return docs.mapInArrow(run, "doc_id long, text string, n long")
 
