@@ -267,3 +267,36 @@ def test_subtrees_grown_apart_are_put_in_place(frame, data):
         s, t = a.trees[0], b.trees[0]
         assert s.predict(bins).tolist() == t.predict(bins).tolist() and sorted(s.gain) == sorted(t.gain)
         assert s.leaves(bins).tolist() == s.leaves_by_column(np.ascontiguousarray(bins.T)).tolist()
+
+
+def test_a_fit_of_more_rows_than_a_gathered_node_needs_no_request_per_round(frame, monkeypatch):
+    """Fits of more rows than a node that goes to one task took a job or more per level of each tree."""
+    fits = [Fit(Settings(rounds=4, depth=4, leaves=None, subsample=0.85)), Fit(Settings(rounds=3, leaves=6), without=1)]
+    node_by_node = fit_together(frame, fits, "y", part="part", gathered=150)
+    monkeypatch.setattr(boosting, "GATHERED", 150)
+
+    def no_round(*args):
+        raise AssertionError("a request for a round")
+
+    monkeypatch.setattr(boosting.Rounds, "grow", no_round)
+    for a, b in zip(node_by_node, fit_together(frame, fits, "y", part="part"), strict=True):
+        assert sorted(np.concatenate([t.gain for t in a.trees])) == sorted(np.concatenate([t.gain for t in b.trees]))
+        assert predictions(a, frame) == pytest.approx(predictions(b, frame))
+
+
+def test_a_fit_of_many_bins_is_not_grown_by_one_task(frame, monkeypatch):
+    monkeypatch.setattr(boosting, "GATHERED", 150)
+    monkeypatch.setattr(boosting, "ALONE", 1000)
+    monkeypatch.setattr(boosting.Rounds, "grow_alone", lambda *args: pytest.fail("grown by one task"))
+    assert len(fit_together(frame, [Fit(Settings(rounds=2, leaves=6))], "y")[0].trees) == 2
+
+
+def test_sums_of_many_large_gradients_are_exact():
+    """Their floating-point sum goes beyond 2 to the 53."""
+    from carespend.ml.trees import EXACT, Layout
+
+    n = 4 * EXACT + 3
+    bins = np.zeros((n, 1), np.uint8)
+    g = np.full(n, 2.0**34 - 1)
+    h = Layout([np.zeros(0)]).histogram(bins, g)
+    assert h.counts.tolist() == [n] and h.sums.tolist() == [n * (2**34 - 1)]
