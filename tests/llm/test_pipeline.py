@@ -107,3 +107,22 @@ def test_workers_get_few_rows_at_a_time_while_stages_are_written(spark, tmp_path
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() == 9000 and out.agg({"n": "max"}).first()[0] <= corpus_pipeline.BATCH
     assert spark.conf.get(key) == before
+
+
+def test_a_stage_by_itself_gives_workers_few_rows_at_a_time(spark, monkeypatch):
+    """Stages are also run one by one; batches were small only where ``run`` ran them all."""
+    key, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", []
+    before = spark.conf.get(key)
+    docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+
+    def asked(*args, **options):
+        seen.append(int(spark.conf.get(key)))
+        return docs.selectExpr("doc_id", "text", "true AS kept", "0 AS predicted")
+
+    monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *args: None)
+    monkeypatch.setattr(corpus_pipeline.toxicity, "score", asked)
+    monkeypatch.setattr(corpus_pipeline.minhash, "near_dedup", asked)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack", asked)
+    for step in (corpus_pipeline.drop_toxic, corpus_pipeline.drop_near_copies, corpus_pipeline.pack):
+        step(spark, docs, "/root/testdata/sf0.001")
+    assert seen == [corpus_pipeline.BATCH] * 3 and spark.conf.get(key) == before
