@@ -300,3 +300,55 @@ def test_sums_of_many_large_gradients_are_exact():
     g = np.full(n, 2.0**34 - 1)
     h = Layout([np.zeros(0)]).histogram(bins, g)
     assert h.counts.tolist() == [n] and h.sums.tolist() == [n * (2**34 - 1)]
+
+
+def test_the_compiled_grower_gives_the_trees_that_are_grown_node_by_node(spark):
+    """Rows enough for shared columns and several packed sums; drawn rows, limits of leaves and quantiles."""
+    from carespend.ml import kernel
+
+    rng = np.random.default_rng(8)
+    n = 40_000
+    x = np.column_stack([rng.normal(size=n), rng.integers(0, 3, n), rng.integers(0, 7, n), rng.integers(0, 200, n) / 4, np.ones(n)])
+    y = 50 * x[:, 0] + 30 * x[:, 1] * (x[:, 2] > 3) + x[:, 3] + rng.normal(size=n) * 9
+    rows = [(Vectors.dense(a), b) for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    df = spark.createDataFrame(rows, ["features", "y"]).repartition(5).cache()
+    fits = [
+        Fit(Settings(rounds=2, rate=0.3, leaves=9)),
+        Fit(Settings(rounds=2, rate=0.3, leaves=None, depth=4, least=4, subsample=0.7)),
+        Fit(Settings(rounds=1, rate=1.0, leaves=None, depth=9, least=3, bootstrap=True)),
+        Fit(Settings(rounds=2, rate=0.2, leaves=8, quantile=0.5, least=20)),
+    ]
+    bins = None
+    for a, b in zip(fit_together(df, fits, "y"), fit_together(df, fits, "y", gathered=3000), strict=True):
+        bins = boosting.Layout(a.cuts).bins(x) if bins is None else bins
+        for s, t in zip(a.trees, b.trees, strict=True):
+            assert sorted(zip(s.feature, s.bin, s.gain, strict=True)) == sorted(zip(t.feature, t.bin, t.gain, strict=True))
+            # Quantiles of many rows are sketched where a leaf's rows lie in several tasks.
+            assert s.predict(bins) == pytest.approx(t.predict(bins), rel=1e-3, abs=1e-3)
+    assert spark.sparkContext.applicationId in kernel._classes
+
+
+def test_cuts_are_the_values_at_equal_shares(spark):
+    rng = np.random.default_rng(3)
+    n = 150_000
+    few, many = rng.integers(0, 40, n).astype(float), rng.normal(size=n)
+    df = spark.createDataFrame(list(zip(few.tolist(), many.tolist(), strict=True)), "a double, b double")
+    df = df.select(F.expr("array(a, b)").alias("v")).repartition(3)
+    from pyspark.ml.functions import array_to_vector
+
+    cuts = boosting.feature_cuts(df.select(array_to_vector("v").alias("features")), 2)
+    at = lambda v: np.sort(v)[[int(np.ceil(k / 255 * n)) - 1 for k in range(1, 255)]]
+    assert cuts[0].tolist() == np.unique(at(few)).tolist()
+    ranks = np.searchsorted(np.sort(many), cuts[1], "right") / n
+    assert ranks == pytest.approx(np.arange(1, 255) / 255, abs=1 / boosting.ACCURACY)
+    assert [c.tolist() for c in boosting.feature_cuts(df.select(array_to_vector("v").alias("features")).limit(0), 2)] == [[], []]
+
+
+def test_the_limit_of_methods_is_put_back(spark):
+    from carespend.session import JIT_LIMIT, small_methods
+
+    key = "spark.sql.codegen.hugeMethodLimit"
+    old = spark.conf.get(key)
+    with small_methods(spark), small_methods(spark):
+        assert spark.conf.get(key) == str(JIT_LIMIT)
+    assert spark.conf.get(key) == old
